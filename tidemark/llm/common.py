@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a worker turns into arrays at once.
@@ -52,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = S
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch[text]), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:

@@ -23,12 +23,44 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, summary
+
+    return summary(find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    return read_warc(write_warc(_table(spark, sf_dir, "pages"))).drop("url", "record_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_best_fit_packing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_best_fit_packing, op8_secret_scan, op9_warc_archive, op10_token_files)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+        e AS (SELECT doc_id, len(g) AS m, unnest(g) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.m) AS ma, any_value(b.m) AS mb, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * n >= 75 * (ma + mb - n)),
+        both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.b FROM reach r JOIN both_ways l ON r.y = l.a)
+        SELECT x AS doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(y) AS component_id FROM reach JOIN s ON s.doc_id = x GROUP BY x""",
+}
