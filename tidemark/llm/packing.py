@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .encoding import Encoder
+from .encoding import SLICE_BYTES, encoder
 
 CAPACITY = 4096
 #: Pieces that one task packs.
@@ -68,9 +68,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """A row for each piece: key, piece, start, length, ids_crc32 and, if asked for, its ids (uint32, little-endian)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
-        for batch in slices(batches):
-            ids, ends = encoder.encode(batch["text"])
+        words = encoder(tokenizer_path)
+        for batch in slices(batches, chars=SLICE_BYTES):
+            ids, ends = words.encode(batch["text"])
             begin, rows = 0, []
             for k, end in zip(batch["key"].to_pylist(), ends.tolist(), strict=True):
                 own = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4")

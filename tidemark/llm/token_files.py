@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, scratch, slices
-from .encoding import Encoder
+from .encoding import SLICE_BYTES, encoder
 
 MAGIC = b"TMHUF1\0\0"
 LIMIT = 20
@@ -133,10 +133,10 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id
     """doc_id, n_tokens and the ids (uint32, or uint16 where all fit) of each document, end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
-        kind = np.dtype("<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        for batch in slices(batches):
-            ids, ends = encoder.encode(batch["text"])
+        words = encoder(tokenizer_path)
+        kind = np.dtype("<u2" if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        for batch in slices(batches, chars=SLICE_BYTES):
+            ids, ends = words.encode(batch["text"])
             own = [np.append(x, np.uint32(end_id)).astype(kind) for x in np.split(ids, ends[:-1])]
             yield pa.record_batch([batch["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array([kind.itemsize] * len(own), pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "n_tokens", "width", "ids"])
 
