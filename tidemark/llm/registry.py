@@ -23,12 +23,31 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets, summary
 
@@ -47,11 +66,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_best_fit_packing, op8_secret_scan, op9_warc_archive, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_ngram_jaccard_join, op5_best_fit_packing, op6_benchmark_decontamination, op8_secret_scan, op9_warc_archive, op10_token_files)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\x0B\x0C]+', ' ', 'g')) AS form FROM l),
+        u AS (SELECT form, length(form) AS n, min((doc_id, i)) AS first_place FROM f WHERE length(form) >= 20 GROUP BY form),
+        k AS (SELECT *, n AS b FROM u UNION ALL SELECT *, n - 1 AS b FROM u),
+        c AS (SELECT x.form AS a, y.form AS o FROM k x JOIN k y ON x.b = y.b AND left(x.form, (x.b - 1) // 2) = left(y.form, (y.b - 1) // 2) AND y.first_place < x.first_place
+              UNION SELECT x.form, y.form FROM k x JOIN k y ON x.b = y.b AND right(x.form, (x.b - 1) // 2) = right(y.form, (y.b - 1) // 2) AND y.first_place < x.first_place),
+        g AS (SELECT DISTINCT a AS form FROM c WHERE abs(length(a) - length(o)) <= 1 AND levenshtein(a, o) <= 1),
+        r AS (SELECT f.*, length(form) >= 20 AND ((doc_id, i) <> first_place OR g.form IS NOT NULL) AS gone FROM f LEFT JOIN u USING (form) LEFT JOIN g USING (form))
+        SELECT d.doc_id, CAST(count(r.i) AS BIGINT) AS n_lines, CAST(count(*) FILTER (r.gone) AS BIGINT) AS n_removed,
+            CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(r.line, chr(10) ORDER BY r.i) FILTER (NOT coalesce(r.gone, false)), '') END AS text
+        FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, d.text""",
     "op3_ngram_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (
@@ -63,4 +94,16 @@ ORACLE_SQL: dict[str, str] = {
         both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.b FROM reach r JOIN both_ways l ON r.y = l.a)
         SELECT x AS doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(y) AS component_id FROM reach JOIN s ON s.doc_id = x GROUP BY x""",
+    "op6_benchmark_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        k AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+        g AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM k)),
+        p AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM g))),
+        m AS (SELECT doc_id, item_id, n, s FROM p JOIN g USING (n, g)),
+        h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM m) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM m) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
 }
