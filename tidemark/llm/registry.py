@@ -17,6 +17,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents")).drop("rejected_by")  # which of several rules rejects first depends on the order
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_pack
 
@@ -66,7 +72,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_ngram_jaccard_join, op5_best_fit_packing, op6_benchmark_decontamination, op8_secret_scan, op9_warc_archive, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_benchmark_decontamination, op8_secret_scan, op9_warc_archive, op10_token_files)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -94,6 +100,25 @@ ORACLE_SQL: dict[str, str] = {
         both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.b FROM reach r JOIN both_ways l ON r.y = l.a)
         SELECT x AS doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(y) AS component_id FROM reach JOIN s ON s.doc_id = x GROUP BY x""",
+    "op4_quality_rules": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        g AS (SELECT doc_id, s, array_to_string(w[s:s + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM w)),
+        r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (
+            SELECT doc_id, unnest(range(s, s + 8)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+        c AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+                length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters,
+                length(regexp_replace(text, '[^!?]', '', 'g')) AS n_loud, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits,
+                len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter
+            FROM w LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND 5 * n_symbols <= 2 * n_words AND 10 * n_dup_lines <= 3 * n_lines AND word_chars BETWEEN 2 * n_words AND 15 * n_words
+            AND 2 * n_upper <= n_letters AND 2 * n_loud <= n_words AND 2 * n_digits <= word_chars AND 10 * n_stutter <= 3 * n_words AS kept
+        FROM b""",
     "op6_benchmark_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
