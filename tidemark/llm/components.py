@@ -34,4 +34,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    # Each node but the least of a component now is linked to that one.
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -13,9 +13,13 @@ What follows the signatures, all exact:
   than a similar set would share;
 * of the rest, each leaves out its most frequent ones, one less than it would have to share;
 * in every group with one signature, all members are compared with the least; links are made from pairs whose sets
-  pass the test; after their components are known, members of a group that are still in different components are
-  compared too, unless sizes rule it out. A pair inside one component needs no comparison, so a group of copies costs
-  as many comparisons as it has members.
+  pass the test, and components from links. A pair inside one component needs no comparison, so a group of copies
+  costs as many comparisons as it has members;
+* for members of a group that still are in different components, one more count over their shingles finds those that
+  some other component has too; only these can be in a link between components, and a set needs three quarters of its
+  size of them. First the members of each group with the largest such share are compared with the others, as one link
+  joins whole components. Then, for all that is left, documents are compared that share one of their rarest such
+  shingles, when of each as many are put aside as a link needs at least (a prefix filter; it loses no link).
 
 Signatures travel packed in binary blocks (10 bytes each), dealt by their hash.
 """
@@ -30,16 +34,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, slices
+from .common import lean, materialize, shuffle_width, slices
 from .components import components
+from .copies import BROADCAST_IDS, exact_copies, only
 from .hashing import mix, shingle_sets, word_hashes
 
 #: Words in a shingle.
 SHINGLE = 5
 #: Signatures that a task sorts at once, about.
 BLOCK_SIGNATURES = 2_000_000
-#: A list of ids is broadcast to filter a table up to so many; beyond, the table is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Before all pairs that may link components are tested, those with so many members at the centre of each group are.
+CENTRES = 4
 
 
 def parts_of_band(band: np.ndarray) -> np.ndarray:
@@ -96,6 +101,8 @@ def signatures(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _blocks(keys: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """Rows by key."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     cuts = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -176,7 +183,7 @@ def _share(signed: DataFrame, blocks: int) -> DataFrame:
                 out.append((block, 1, x["docs"].astype("<i8").tobytes(), None, x["sigs"].tobytes(), np.minimum(x["df"], 2**32 - 1).astype("<u4").tobytes()))
         return pa.Table.from_batches([_blob(out)])
 
-    return signed.groupBy("block").applyInArrow(run, _BLOB)
+    return signed.groupBy("block").applyInArrow(lean(run), _BLOB)
 
 
 def _choose(shared: DataFrame) -> DataFrame:
@@ -203,18 +210,20 @@ def _choose(shared: DataFrame) -> DataFrame:
         lists = [sigs[b:e].astype("<u8").tobytes() if e > b else None for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(docs, pa.int64()), "m": pa.array(m, pa.int32()), "sigs": pa.array(lists, pa.binary())})
 
-    return shared.groupBy("block").applyInArrow(run, "doc_id long, m int, sigs binary")
+    return shared.groupBy("block").applyInArrow(lean(run), "doc_id long, m int, sigs binary")
 
 
-def _grouped(members: DataFrame, blocks: int) -> DataFrame:
-    """members (doc_id, m, c, sigs) as blocks of signatures."""
+def _grouped(members: DataFrame, blocks: int, ranked: bool = False) -> DataFrame:
+    """members (doc_id, m, c, sigs) as blocks of signatures; ranked: m less 1 for each signature before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "sigs", 8 * BLOCK_SIGNATURES):
             lists = [np.frombuffer(x, "<u8") for x in batch["sigs"].to_pylist()]
             n, sigs = np.fromiter(map(len, lists), np.int64, len(lists)), np.concatenate(lists)
             columns = {k: np.repeat(np.asarray(batch[k]).astype("<i8"), n) for k in ("doc_id", "m", "c")}
-            rows = [(block, 1, x["doc_id"].tobytes(), x["m"].astype("<i4").tobytes(), x["s"].tobytes(), x["c"].tobytes()) for block, x in _blocks(((sigs >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64), columns | {"s": sigs})]
+            if ranked:
+                columns["m"] -= np.arange(len(sigs)) - np.repeat(np.cumsum(n) - n, n)
+            rows = [(block, 1, x["doc_id"].tobytes(), x["m"].tobytes(), x["s"].tobytes(), x["c"].tobytes()) for block, x in _blocks(((sigs >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64), columns | {"s": sigs})]
             yield _blob(rows)
 
     return members.where("sigs is not null").select("doc_id", "m", "c", "sigs").mapInArrow(run, _BLOB)
@@ -222,7 +231,7 @@ def _grouped(members: DataFrame, blocks: int) -> DataFrame:
 
 def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(docs, m, c, begins, ends) of the runs of equal signatures with two members or more, members ascending."""
-    docs, m, sigs, c = _joined(table, "docs", "<i8"), _joined(table, "a", "<i4").astype(np.int64), _joined(table, "b", "<u8"), _joined(table, "c", "<i8")
+    docs, m, sigs, c = _joined(table, "docs", "<i8"), _joined(table, "a", "<i8"), _joined(table, "b", "<u8"), _joined(table, "c", "<i8")
     order = np.lexsort((docs, sigs))
     docs, m, sigs, c = docs[order], m[order], sigs[order], c[order]
     first = np.flatnonzero(np.diff(sigs, prepend=sigs[:1] ^ np.uint64(1)))
@@ -247,36 +256,84 @@ def _stars(members: DataFrame, blocks: int) -> DataFrame:
         fits = (at != hub) & (4 * np.minimum(m[at], m[hub]) >= 3 * np.maximum(m[at], m[hub]))
         return _pairs(docs[hub[fits]], docs[at[fits]])
 
-    return _grouped(members, blocks).groupBy("block").applyInArrow(run, "a long, b long").distinct()
+    return _grouped(members, blocks).groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
 
 
-def _across(members: DataFrame, blocks: int) -> DataFrame:
-    """(a, b) of members of one group in different components c, whose sizes allow a link; the least member is done."""
+def _mixed(members: DataFrame, blocks: int) -> DataFrame:
+    """doc_id of the members of groups that have more than one component c."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, m, c, begins, ends = _runs(table)
+        docs, _, c, begins, ends = _runs(table)
+        found = [docs[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True) if (c[b:e] != c[b]).any()]
+        return pa.table({"doc_id": pa.array(np.unique(np.concatenate(found)) if found else [], pa.int64())})
+
+    return _grouped(members, blocks).groupBy("block").applyInArrow(lean(run), "doc_id long").distinct()
+
+
+def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
+    """doc_id, its shingles that some other component of the documents in parts (doc_id, c) has too, rarest first, and their number, usable."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, chars=2_000_000):
+            values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
+            ids, c = np.asarray(batch["doc_id"]).astype("<i8"), np.asarray(batch["c"]).astype("<i8")
+            yield _blob([(block, 1, x["d"].tobytes(), x["c"].tobytes(), x["v"].astype("<u8").tobytes(), None) for block, x in _blocks((values % np.uint64(blocks)).astype(np.int64), {"d": ids[at], "c": c[at], "v": values})])
+
+    def foreign(table: pa.Table) -> pa.Table:
+        docs, c, values = _joined(table, "docs", "<i8"), _joined(table, "a", "<i8"), _joined(table, "b", "<u8")
+        order = np.lexsort((c, values))
+        docs, c, values = docs[order], c[order], values[order]
+        first = np.flatnonzero(np.diff(values, prepend=values[:1] ^ np.uint64(1)))
+        n = np.diff(np.append(first, len(values)))
+        several = np.repeat(c[first] != c[first + n - 1], n)
+        docs, values, df = docs[several], values[several], np.repeat(n, n)[several]
+        return pa.Table.from_batches([_blob([(block, 1, x["d"].tobytes(), x["n"].astype("<i4").tobytes(), x["v"].tobytes(), None) for block, x in _blocks(_doc_block(docs, blocks), {"d": docs, "n": df, "v": values})])])
+
+    def gather(table: pa.Table) -> pa.Table:
+        docs, df, values = _joined(table, "docs", "<i8"), _joined(table, "a", "<i4"), _joined(table, "b", "<u8")
+        order = np.lexsort((values, df, docs))
+        docs, values = docs[order], values[order]
+        own, first = np.unique(docs, return_index=True)
+        lists = [x.astype("<u8").tobytes() for x in np.split(values, first[1:])] if len(own) else []
+        return pa.table({"doc_id": pa.array(own, pa.int64()), "usable": pa.array([len(x) // 8 for x in lists], pa.int32()), "sigs": pa.array(lists, pa.binary())})
+
+    few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    shingles = docs.join(F.broadcast(parts) if few else parts, "doc_id").select("doc_id", "c", "text").mapInArrow(emit, _BLOB)
+    return shingles.groupBy("block").applyInArrow(lean(foreign), _BLOB).groupBy("block").applyInArrow(lean(gather), "doc_id long, usable int, sigs binary")
+
+
+def _across(members: DataFrame, blocks: int, centres: int = 0) -> DataFrame:
+    """(a, b) of members of one group in different components c whose usable shingles allow a link, given their sizes.
+
+    centres: only pairs with one of so many members of the group that have the largest usable share of their shingles.
+    Without it the groups are those of the rarest usable shingles in order, and only the shingles from the group's own on
+    count: a pair that shares an earlier one is found there.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, both, c, begins, ends = _runs(table)
+        m, usable = both >> 32, both & 0xFFFFFFFF
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-            if e - b < 3 or (c[b:e] == c[b]).all():
+            if (c[b:e] == c[b]).all():
                 continue
-            # Only the members outside the largest component are held against all others.
-            names, which, n = np.unique(c[b + 1 : e], return_inverse=True, return_counts=True)
+            # Members outside the largest component are held against all others.
+            _, which, n = np.unique(c[b:e], return_inverse=True, return_counts=True)
             main = n.argmax()
-            d, size = docs[b + 1 : e], m[b + 1 : e]
-            for i in np.flatnonzero(which != main).tolist():
-                ok = (which != which[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])) & ((which == main) | (d > d[i]))
+            d, size, use = docs[b:e], m[b:e], usable[b:e]
+            if centres:
+                chosen, fixed = np.lexsort((d, -use / size))[:centres], np.ones(e - b, bool)
+            else:
+                chosen, fixed = np.flatnonzero(which != main), which == main
+            for i in chosen.tolist():
+                ok = (which != which[i]) & (7 * np.minimum(use, use[i]) >= 3 * (size + size[i])) & (fixed | (d > d[i]))
                 right.append(d[ok])
                 left.append(np.full(int(ok.sum()), d[i]))
         a, b = np.concatenate(left), np.concatenate(right)
         return _pairs(np.minimum(a, b), np.maximum(a, b))
 
-    return _grouped(members, blocks).groupBy("block").applyInArrow(run, "a long, b long").distinct()
-
-
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The documents whose doc_id is in ids (or, left_anti, is not); ids are broadcast only while they are few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return _grouped(members, blocks, ranked=not centres).groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -313,10 +370,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = materialize(docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.octet_length("text").alias("bytes")), "marks")
-    same = marked.groupBy("h1", "h2", "bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = materialize(marked.join(same.where("n > 1"), ["h1", "h2", "bytes"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    total = marked.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    copies, total = exact_copies(docs)
     blocks = max(shuffle_width(spark), -(-total // (8 * BLOCK_SIGNATURES)))
     reps = only(docs, copies.select("doc_id"), "left_anti")
 
@@ -325,10 +379,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     stars = materialize(_stars(members, blocks), "pairs")
     links = materialize(_verified(docs, stars), "links")
     parts = components(links)
-    more = materialize(_across(members.drop("c").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")), blocks), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(docs, more))
-        parts = components(links)
+    tested = stars
+    for centres in (CENTRES, 0):
+        placed = materialize(members.drop("c").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component"), "placed")
+        mixed = materialize(_mixed(placed, blocks), "mixed")
+        if mixed.isEmpty():
+            break
+        placed = placed.join(mixed, "doc_id")
+        usable = materialize(_usable(docs, placed.select("doc_id", "c"), blocks), "usable")
+        able = (placed.join(usable.drop("sigs"), "doc_id") if centres else placed.drop("sigs").join(usable, "doc_id")).where("4 * usable >= 3 * m")
+        if not centres:  # any link shares one of the rarest that are left when as many as it needs are put aside
+            able = able.withColumn("sigs", F.substring("sigs", F.lit(1), 8 * (F.col("usable") - F.ceil(F.col("m") * 3 / 4).cast("int") + 1)))
+        able = able.withColumn("m", F.shiftleft(F.col("m").cast("long"), 32) + F.col("usable"))
+        more = materialize(_across(able, blocks, centres).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(more)
+        found = materialize(_verified(docs, more), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            parts = components(links)
     parts = parts.withColumnRenamed("node", "doc_id")
     reached = chosen.select("doc_id", F.col("m").cast("long").alias("n_shingles")).join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
     reached = materialize(reached.distinct(), "reached")
