@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import copies as copy_ops
 from tidemark.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from tidemark.llm.common import materialize, scratch
 
@@ -26,7 +27,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.jaccard_components(docs)
     copies = materialize(groups.where("component_id <> doc_id").select("doc_id"), "copies")
-    return ngram_join.only(docs, copies, "left_anti").select(*docs.columns)
+    return copy_ops.only(docs, copies, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
