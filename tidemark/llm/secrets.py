@@ -173,7 +173,7 @@ def train(column: pa.Array, passes: int = PASSES) -> tuple[list[np.ndarray], np.
                 hit = own[(tokens.begin[own] < places[end]) & (tokens.end[own] > places[start])]
                 tags[hit[1:]], tags[hit[:1]] = 2, 1
     cut = np.flatnonzero(tokens.first | (tokens.rows[:, 6] & 4 > 0)) if len(tags) else np.zeros(0, np.int64)
-    chains = [(b + k, min(b + k + CHAIN, e)) for b, e in zip(cut.tolist(), [*cut[1:].tolist(), len(tags)], strict=True) for k in range(0, e - b, CHAIN)]
+    chains = [(b + k, min(b + k + CHAIN, e)) for b, e in zip(cut.tolist(), [*cut[1:].tolist(), len(tags)], strict=False) for k in range(0, e - b, CHAIN)]
     total = np.concatenate(([0], np.cumsum(tags > 0)))
     good = [c for c in chains if total[c[1]] > total[c[0]]]
     rest = [c for c in chains if total[c[1]] == total[c[0]]]
