@@ -102,11 +102,11 @@ def test_code_lengths(counts, limit):
 def test_bits_round_trip(ids):
     ids = np.array(ids * 3)
     lengths = token_files.code_lengths(np.bincount(ids))
-    data, offsets = token_files.encode_bits(ids, token_files.canonical_codes(lengths), lengths)
-    symbol, size = token_files.decode_table(lengths)
-    assert token_files.decode_blocks(data, offsets, len(ids), symbol, size).tolist() == ids.tolist()
+    data, offsets = token_files.encode_bits(ids, token_files.code_table(lengths))
+    table = token_files.decode_table(lengths)
+    assert token_files.decode_blocks(data, offsets, len(ids), table).tolist() == ids.tolist()
     k = len(offsets) // 2  # a block alone
-    alone = token_files.decode_blocks(data, offsets[k : k + 1], min(token_files.BLOCK, len(ids) - k * token_files.BLOCK), symbol, size)
+    alone = token_files.decode_blocks(data, offsets[k : k + 1], min(token_files.BLOCK, len(ids) - k * token_files.BLOCK), table)
     assert alone.tolist() == ids[k * token_files.BLOCK : (k + 1) * token_files.BLOCK].tolist()
 
 

@@ -9,7 +9,8 @@ Suffixes whose gram nothing else has are dropped by a count. The rest are sorted
 one gram that a third of all suffixes have is spread over tasks. Each suffix is compared with its next NEIGHBOURS in
 that order, and matches are extended left and right; together at least `least` words make a repeated passage. The
 first and last suffixes of each range are compared once more with those of the next one. Contexts of `least` words on
-both sides suffice: passages that are longer have more minimisers, and what each finds is merged.
+both sides suffice (as 40-bit hashes of the words): passages that are longer have more minimisers, and what each finds
+is merged. Of equal texts only one takes part; all of them are one passage each.
 
 Defined results: null and empty texts have no passages; a passage that a text repeats in itself counts; rows that
 repeat a doc_id must repeat its text and count as one document; an empty table gives no rows. Other columns are
@@ -26,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import lean, materialize, slices
+from .copies import exact_copies, only
 from .hashing import mix, word_hashes
 
 #: Words of a repeated passage, at least.
@@ -36,7 +38,9 @@ GRAM = 6
 #: How many following suffixes each is compared with.
 NEIGHBOURS = 4
 #: Lists of suffixes are broadcast to the documents up to so many bytes; beyond, the documents are shuffled.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 4_000_000
+#: Bytes of a word's hash in a context.
+BYTES = 5
 #: Suffixes in a range, about.
 RANGE = 50_000
 
@@ -88,17 +92,18 @@ def _retain(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """gram, doc_id, pos, ahead (hashes of the words from pos) and behind (of those before it, backwards); big-endian."""
+    """gram, doc_id, pos, ahead (hashes of the words from pos) and behind (of those before it, backwards)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=2_000_000):
             words, ends = word_hashes(batch["text"])
-            raw, back = words.astype(">u8").tobytes(), words[::-1].astype(">u8").tobytes()
+            cut = lambda x: np.ascontiguousarray(x.astype(">u8")[:, None].view(np.uint8)[:, -BYTES:]).tobytes()
+            raw, back = cut(words), cut(words[::-1])
             total, begin, rows = len(words), 0, []
             for doc, places, end in zip(batch["doc_id"].to_pylist(), batch["places"].to_pylist(), ends.tolist(), strict=True):
                 for p in places:
                     at = begin + p["pos"]
-                    rows.append((p["gram"], doc, p["pos"], raw[8 * at : 8 * min(end, at + least)], back[8 * (total - at) : 8 * (total - max(begin, at - least))]))
+                    rows.append((p["gram"], doc, p["pos"], raw[BYTES * at : BYTES * min(end, at + least)], back[BYTES * (total - at) : BYTES * (total - max(begin, at - least))]))
                 begin = end
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gram", "doc_id", "pos", "ahead", "behind"])
@@ -110,9 +115,11 @@ def _contexts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
 def _matrix(column: pa.Array, least: int, salt: int) -> np.ndarray:
     """Hashes as rows of `least`; places past a text's end differ from all else."""
-    size = np.asarray(pc.binary_length(column)).astype(np.int64) // 8
-    out = mix(np.arange(len(size), dtype=np.uint64) * np.uint64(2) + np.uint64(salt))[:, None] ^ np.arange(least, dtype=np.uint64)
-    flat = np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64)
+    size = np.asarray(pc.binary_length(column)).astype(np.int64) // BYTES
+    out = (np.arange(len(size), dtype=np.uint64) * np.uint64(2) + np.uint64(salt) + np.uint64(1 << 60))[:, None].repeat(least, axis=1)
+    flat = np.zeros((int(size.sum()), 8), np.uint8)
+    flat[:, -BYTES:] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+    flat = flat.view(">u8").ravel().astype(np.uint64)
     rows = np.repeat(np.arange(len(size)), size)
     out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out
@@ -159,7 +166,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: str = "doc_id",
     copies_only: only of those occurrences for which an earlier one (by doc_id and place) was met in the comparison; the
     earliest is never among them.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    copies, _ = exact_copies(whole)
+    docs = only(whole, copies.select("doc_id"), "left_anti")
     retained = materialize(_retain(docs, least), "suffixes")
     twice = retained.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     wanted = retained.join(twice, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "gram"))).alias("places"))
@@ -187,7 +196,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: str = "doc_id",
         return pa.Table.from_batches([_found(_compare(table, least))])
 
     met = materialize(suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, _FOUND), "matches")
-    spans = met.where("kind = 0").unionByName(met.where("kind > 0").groupBy("edge").applyInArrow(across, _FOUND)).select("doc_id", "start", "stop", "copy").distinct()
+    spans = met.where("kind = 0").unionByName(met.where("kind > 0").groupBy("edge").applyInArrow(lean(across), _FOUND)).select("doc_id", "start", "stop", "copy").distinct()
+    # A text that has copies is one passage itself.
+    ids = copies.select("doc_id") if copies_only else copies.select(F.explode(F.array("doc_id", "rep")).alias("doc_id")).distinct()
+    n_words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), ""))
+    equal = only(whole, ids).select("doc_id", F.lit(0).alias("start"), n_words.alias("stop"), F.lit(True).alias("copy")).where(F.col("stop") >= least).distinct()
+    spans = spans.unionByName(equal)
     # Overlapping matches of a document become one passage.
     by_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -202,8 +216,7 @@ def drop_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     import re
 
     gone = repeated_passages(docs, least, copies_only=True).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    names = docs.columns
-    kinds = docs.schema
+    names, kinds = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -216,6 +229,9 @@ def drop_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     parts = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
                     text = "".join(p for i, p in enumerate(parts) if i >= len(drop) or not drop[i])
                 texts.append(text)
-            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
+            row = batch["row"]
+            columns = [pa.array(texts, pa.string()) if c == "text" else row.field(i) for i, c in enumerate(names)]
+            yield pa.record_batch(columns, names=names)
 
-    return docs.join(gone, "doc_id", "left").select(*names, "gone").mapInArrow(run, kinds)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*names).alias("row"))
+    return rows.join(gone, "doc_id", "left").select("text", "gone", "row").mapInArrow(run, kinds)

@@ -86,82 +86,95 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+def code_table(lengths: np.ndarray) -> np.ndarray:
+    """Code and length of each id in one number: code << 5 | length."""
+    return (canonical_codes(lengths) << np.uint64(5) | lengths.astype(np.uint64)).astype(np.uint32)
+
+
+def encode_bits(ids: np.ndarray, table: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The packed bits, padded to whole words of 64, and the bit offset at which each block begins."""
-    n = lengths[ids].astype(np.int64)
-    end = np.cumsum(n)
+    known = table[ids]
+    n = (known & np.uint32(31)).astype(np.int32)
+    end = np.cumsum(n, dtype=np.int32)
     begin = end - n
-    word, shift = begin >> 6, begin & 63
-    code = codes[ids]
-    room = 64 - shift - n
-    spill = room < 0
+    word, room = begin >> 6, 64 - (begin & 63) - n
+    code = (known >> np.uint32(5)).astype(np.uint64)
     out = np.zeros(int(end[-1] + 63 >> 6), np.uint64)
-    head = np.where(spill, code >> np.maximum(-room, 0).astype(np.uint64), code << np.maximum(room, 0).astype(np.uint64))
+    over = np.flatnonzero(room < 0)
+    head = code << np.maximum(room, 0).astype(np.uint64)
+    head[over] = code[over] >> (-room[over]).astype(np.uint64)
     first = np.flatnonzero(np.diff(word, prepend=-1))
     out[word[first]] = np.bitwise_or.reduceat(head, first)
-    out[word[spill] + 1] |= code[spill] << (64 + room[spill]).astype(np.uint64)
+    out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
     return out.astype(">u8").tobytes(), begin[::BLOCK].astype(np.uint64)
 
 
-def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """(id, code length) by the next `limit` bits."""
-    codes = canonical_codes(lengths)
+def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """By the next `limit` bits: id << 5 | code length."""
     used = np.flatnonzero(lengths)
-    used = used[np.lexsort((used, lengths[used]))]
+    used = used[np.lexsort((used, lengths[used]))]  # canonical order, so codes follow each other from 0
+    table = np.zeros(1 << limit, np.uint32)
     span = np.int64(1) << (limit - lengths[used].astype(np.int64))
-    symbol, size = np.zeros(1 << limit, np.uint32), np.zeros(1 << limit, np.uint8)
-    total = int(span.sum())
-    symbol[:total], size[:total] = np.repeat(used.astype(np.uint32), span), np.repeat(lengths[used], span)
-    assert not len(used) or int(codes[used[0]]) == 0
-    return symbol, size
+    table[: int(span.sum())] = np.repeat(used.astype(np.uint32) << np.uint32(5) | lengths[used], span)
+    return table
 
 
-def decode_blocks(data: bytes, offsets: np.ndarray, n_ids: int, symbol: np.ndarray, size: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def decode_blocks(data: bytes, offsets: np.ndarray, n_ids: int, table: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """The first n_ids ids of the blocks that begin at these bit offsets of data."""
-    raw = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint32)
+    raw = np.frombuffer(data + bytes(BLOCK * limit // 8 + 8), np.uint8).astype(np.uint32)  # the last block may end early
     window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-    at, last = offsets.astype(np.int64), 8 * len(data)
+    at, mask, down = offsets.astype(np.int64), np.uint32((1 << limit) - 1), np.uint32(32 - limit)
     out = np.zeros((BLOCK, len(at)), np.uint32)
     for step in range(min(BLOCK, n_ids) if len(at) == 1 else BLOCK):
-        bits = (window[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - limit)
-        out[step] = symbol[bits]
-        at = np.minimum(at + size[bits], last)
+        found = table[(window[at >> 3] >> (down - (at & 7).astype(np.uint32))) & mask]
+        out[step] = found >> np.uint32(5)
+        at += found & np.uint32(31)
     return out.T.reshape(-1)[:n_ids]
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the ids (uint32, or uint16 where all fit) of each document, end id included."""
+    """kind 0: doc_id, n_tokens and the ids (uint32, or uint16 where all fit) of each document, end id included.
+
+    kind 1: as ids, how often each id occurs in the documents of a task (int64).
+    """
+
+    def batch(kind: int, doc_id: pa.Array, n: np.ndarray, width: int, raw: np.ndarray) -> pa.RecordBatch:
+        ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32) * raw.dtype.itemsize
+        ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+        return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), doc_id, pa.array(n, pa.int64()), pa.array(np.full(len(n), width, np.int32)), ids], names=["kind", "doc_id", "n_tokens", "width", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path)
-        kind = np.dtype("<u2" if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        for batch in slices(batches, chars=SLICE_BYTES):
-            ids, ends = words.encode(batch["text"])
-            own = [np.append(x, np.uint32(end_id)).astype(kind) for x in np.split(ids, ends[:-1])]
-            yield pa.record_batch([batch["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array([kind.itemsize] * len(own), pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "n_tokens", "width", "ids"])
+        size = max(words.tokenizer.get_vocab_size(), end_id + 1)
+        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        total = np.zeros(size, np.int64)
+        for part in slices(batches, chars=SLICE_BYTES):
+            ids, ends = words.encode(part["text"])
+            total += np.bincount(ids, minlength=size)
+            total[end_id] += part.num_rows
+            own = np.full(len(ids) + part.num_rows, end_id, kind)
+            own[np.arange(len(ids)) + np.repeat(np.arange(part.num_rows), np.diff(ends, prepend=0))] = ids
+            yield batch(0, part["doc_id"], np.diff(ends, prepend=0) + 1, kind.itemsize, own)
+        yield batch(1, pa.array([None], pa.int64()), np.array([size]), 8, total)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "kind int, doc_id long, n_tokens long, width int, ids binary")
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     raw = b"".join(batch["ids"].to_pylist())
-    return np.frombuffer(raw, "<u2" if batch["width"][0].as_py() == 2 else "<u4").astype(np.int64)
+    return np.frombuffer(raw, "<u2" if batch["width"][0].as_py() == 2 else "<u4")
 
 
 def global_counts(ids: DataFrame) -> np.ndarray:
     """How often each id occurs; the driver gets one row for each id of the vocabulary at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids"):
-            own = np.bincount(_ids(batch))
-            if len(own) > len(total):
-                total, own = own, total
-            total[: len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    rows = ids.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+            total = sum(np.frombuffer(x, "<i8") for x in batch["ids"].to_pylist())
+            seen = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+
+    rows = ids.where("kind = 1").select("ids").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -174,24 +187,24 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
     ids = materialize(tokens(docs, tokenizer_path, end_id), "tokens")
     counts = global_counts(ids)
     lengths = code_lengths(counts)
-    codes = canonical_codes(lengths)
-    known = spark.sparkContext.broadcast((lengths, codes))  # an entry for each id of the vocabulary
+    known = spark.sparkContext.broadcast((lengths, code_table(lengths)))  # an entry for each id of the vocabulary
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lengths, codes = known.value
+        lengths, table = known.value
         part = TaskContext.get().partitionId()
         store, root = filesystem(folder)
         path, sink, bits = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.huf", None, 0
-        keys, counts, offsets, rest = [], [], [], np.zeros(0, np.int64)
+        keys, counts, offsets, rest = [], [], [], np.zeros(0, np.uint16)
 
         def put(ids: np.ndarray) -> None:
             nonlocal bits
-            data, at = encode_bits(ids, codes, lengths)
-            sink.write(data)
-            offsets.append(at + np.uint64(bits))
-            bits += 8 * len(data)
+            for k in range(0, len(ids), 128 * BLOCK):  # parts that stay in the processor's cache
+                data, at = encode_bits(ids[k : k + 128 * BLOCK], table)
+                sink.write(data)
+                offsets.append(at + np.uint64(bits))
+                bits += 8 * len(data)
 
         for batch in slices(batches, "ids"):
             if sink is None:
@@ -217,7 +230,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([sum(counts)], pa.int64())], names=["part", "path", "n_docs", "n_ids"])
 
     parts = max(1, -(-int(counts.sum()) // file_ids))
-    ranged = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ranged = ids.where("kind = 0").drop("kind").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     scheme = folder.split("://")[0] + "://" if "://" in folder else ""
     files = materialize(ranged.mapInArrow(write, MANIFEST), "manifest")
     return files.withColumn("path", F.concat(F.lit(scheme), "path"))
@@ -255,7 +268,7 @@ def decode_file(path: str, base: int = 0, lanes: int = 4096) -> Iterator[pa.Reco
         for name, kind, n in meta["arrays"]:
             arrays[name] = np.frombuffer(raw, kind, n, at)
             at += arrays[name].nbytes
-        symbol, width = decode_table(arrays["lengths"], meta["limit"])
+        table = decode_table(arrays["lengths"], meta["limit"])
         offsets, counts, keys = arrays["offsets"], arrays["counts"], arrays["keys"]
         n_ids, data_end = int(counts.sum()), total - 12 - size - len(MAGIC)
         stops = np.cumsum(counts)
@@ -264,7 +277,7 @@ def decode_file(path: str, base: int = 0, lanes: int = 4096) -> Iterator[pa.Reco
             lo = int(offsets[b]) >> 3
             hi = min(data_end, (int(offsets[b + lanes]) >> 3) + 8 if b + lanes < len(offsets) else data_end)
             f.seek(len(MAGIC) + lo)
-            ids = decode_blocks(f.read(hi - lo), offsets[b : b + lanes].astype(np.int64) - 8 * lo, min(n_ids - done, lanes * BLOCK), symbol, width, meta["limit"]).astype("<u4")
+            ids = decode_blocks(f.read(hi - lo), offsets[b : b + lanes].astype(np.int64) - 8 * lo, min(n_ids - done, lanes * BLOCK), table, meta["limit"]).astype("<u4")
             view, begin = memoryview(ids.tobytes()), 0
             while doc < len(stops) and stops[doc] <= done + len(ids):
                 stop = int(stops[doc]) - done
