@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, slices
+from .common import lean, materialize, shuffle_width, slices
 from .hashing import mix
 
 LEAST_CHARS = 20
 #: Lists of lines are broadcast to the documents up to so many bytes; beyond, the documents are shuffled.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 64_000_000
 #: Variants that a task sorts at once, about.
-BLOCK_VARIANTS = 2_000_000
+BLOCK_VARIANTS = 1_000_000
 _HALVES = [2]
 while _HALVES[-1] < 1 << 40:
     _HALVES.append(max(_HALVES[-1] + 1, _HALVES[-1] * 3 // 2))
@@ -197,7 +197,7 @@ def _meet(emitted: DataFrame) -> DataFrame:
         rows = np.unique(rows[(rows[:, :2] != rows[:, 2:]).any(axis=1)], axis=0)
         return pa.table({k: pa.array(rows[:, i], pa.int64()) for i, k in enumerate(("doc_id", "line", "with_doc", "with_line"))})
 
-    return emitted.groupBy("block").applyInArrow(run, "doc_id long, line long, with_doc long, with_line long").distinct()
+    return emitted.groupBy("block").applyInArrow(lean(run), "doc_id long, line long, with_doc long, with_line long").distinct()
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,7 +240,10 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 def filter_documents(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The documents without repeated lines (n_chars follows the text); those of which nothing is left are left out."""
     gone = materialize(repeated_lines(docs, least_chars), "gone")
-    rows = _with_lists(docs, gone, "left").withColumn("kept", _kept("text"))
-    rows = rows.where("lines is null or trim(kept) <> ''")
-    columns = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*(F.when(F.col("lines").isNull(), F.col(c)).otherwise(columns[c]).alias(c) if c in columns else F.col(c) for c in docs.columns))
+    names = docs.columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*names).alias("row"))
+    rows = _with_lists(rows, gone, "left").withColumn("kept", _kept("text")).where("lines is null or trim(kept) <> ''")
+    new = {"text": F.col("kept")}
+    if "n_chars" in names:
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(F.when(F.col("lines").isNull(), F.col("row")[c]).otherwise(new[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in names))
