@@ -7,7 +7,8 @@ of the passage retain the same places.
 
 Suffixes whose gram nothing else has are dropped by a count. The rest are sorted by their words, by range, so that even
 one gram that a third of all suffixes have is spread over tasks. Each suffix is compared with its next NEIGHBOURS in
-that order, and matches are extended left and right; together at least `least` words make a repeated passage. The
+that order, and matches are extended left and right; together at least `least` words make a repeated passage. Where
+more suffixes share a gram than these, what they may hide is completed by looking up all windows around a suffix. The
 first and last suffixes of each range are compared once more with those of the next one. Contexts of `least` words on
 both sides suffice (as 40-bit hashes of the words): passages that are longer have more minimisers, and what each finds
 is merged. Of equal texts only one takes part; all of them are one passage each.
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, slices
+from .common import lean, materialize, release, slices
 from .copies import exact_copies, only
 from .hashing import mix, word_hashes
 
@@ -42,7 +43,9 @@ BROADCAST_BYTES = 4_000_000
 #: Bytes of a word's hash in a context.
 BYTES = 5
 #: Suffixes in a range, about.
-RANGE = 50_000
+RANGE = 30_000
+#: Suffixes whose contexts are compared at once.
+STEP = 10_000
 
 
 def minimisers(words: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +147,43 @@ def _compare(table: pa.Table, least: int) -> list[np.ndarray]:
     return out
 
 
+def _complete(table: pa.Table, least: int, chosen: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows as of _compare, and all (hash, doc_id, start), for the windows of `least` words around the chosen suffixes.
+
+    Where more suffixes share a gram than are compared, the next in order may agree further ahead and less behind than
+    one beyond them. So all windows around a suffix are looked up too, those with o words before it for each o.
+    """
+    table = table.take(pa.array(chosen))
+    doc, pos = np.asarray(table["doc_id"]).astype(np.int64), np.asarray(table["pos"]).astype(np.int64)
+    sides = []
+    for column, salt in (("ahead", 0), ("behind", 1)):
+        x = table[column].combine_chunks()
+        factors = mix(np.arange(1, least + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(salt)) | np.uint64(1)
+        sums = np.zeros((len(doc), least + 1), np.uint64)
+        np.cumsum(_matrix(x, least, salt) * factors, axis=1, out=sums[:, 1:])
+        sides.append((sums, np.asarray(pc.binary_length(x)).astype(np.int64) // BYTES))
+    (ahead, n_ahead), (behind, n_behind) = sides
+    most, fewest = np.full(len(doc), -1), np.full(len(doc), least)
+    copies = np.zeros(len(doc), bool)
+    every: list[list[np.ndarray]] = [[], [], []]
+    for o in range(least - GRAM + 1):
+        own = np.flatnonzero((n_behind >= o) & (n_ahead >= least - o))
+        key = mix(ahead[own, least - o] + mix(behind[own, o] + np.uint64(o)))
+        order = np.lexsort((pos[own], doc[own], key))
+        own, key = own[order], key[order]
+        same = key[1:] == key[:-1]
+        later = np.concatenate(([False], same))
+        hit = later | np.concatenate((same, [False])) if len(own) else later[:0]
+        most[own[hit]] = np.maximum(most[own[hit]], o)
+        fewest[own[hit]] = np.minimum(fewest[own[hit]], o)
+        copies[own[later[: len(own)]]] = True
+        first = own[~later[: len(own)]]
+        for to, x in zip(every, (key[~later[: len(own)]], doc[first], pos[first] - o), strict=True):
+            to.append(x)
+    hit = most >= 0
+    return [np.stack((doc[hit], (pos - most)[hit], (pos - fewest + least)[hit], copies[hit]), axis=1)], tuple(np.concatenate(x) for x in every)
+
+
 _FOUND = "kind int, edge int, gram long, doc_id long, pos int, ahead binary, behind binary, start int, stop int, copy boolean"
 
 
@@ -179,24 +219,54 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, begun = TaskContext.get().partitionId(), None, False
-        for batch in slices(batches, "ahead", 2_000_000):
-            table = pa.Table.from_batches([batch])
-            if not begun:
-                begun = True
-                yield _edges(table.slice(0, NEIGHBOURS), part, 2)
-            table = pa.concat_tables([held, table]) if held else table
-            yield _found(_compare(table, least))
-            held = table.slice(max(0, table.num_rows - NEIGHBOURS))
-        if held:
-            yield _edges(held, part + 1, 1)
+        part, parts = TaskContext.get().partitionId(), list(batches)  # a range of bounded size
+        if not sum(b.num_rows for b in parts):
+            return
+        table = pa.Table.from_batches(parts)
+        n = table.num_rows
+        yield _edges(table.slice(0, NEIGHBOURS), part, 2)
+        yield _edges(table.slice(max(0, n - NEIGHBOURS)), part + 1, 1)
+        for k in range(0, n, STEP):
+            yield _found(_compare(table.slice(max(0, k - NEIGHBOURS), STEP + NEIGHBOURS), least))
+        gram = np.asarray(table["gram"])
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        size = np.diff(np.append(first, n))
+        size[[0, -1]] = NEIGHBOURS + 2  # the first and last may go on in other ranges
+        for at in np.array_split(first, max(1, n // STEP)):
+            if len(at):
+                last = np.searchsorted(first, at[-1], side="right")
+                rows = np.arange(at[0], first[last] if last < len(first) else n)
+                rows = rows[np.repeat(size, np.diff(np.append(first, n)))[rows] > NEIGHBOURS + 1]
+                if len(rows):
+                    yield _found(_complete(table, least, rows)[0])
+        outer = np.flatnonzero((gram == gram[0]) | (gram == gram[-1]))
+        key, doc, start = _complete(table, least, outer)[1]
+        order = np.argsort(key % np.uint64(ranges), kind="stable")
+        key, doc, start = key[order], doc[order], start[order]
+        cuts = np.searchsorted(key % np.uint64(ranges), np.arange(ranges + 1).astype(np.uint64))
+        rows = [(3, b, key[x:y].tobytes(), np.stack((doc[x:y], start[x:y])).tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+        k = len(rows)
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_())], names=names)
+        release()
+
+    def outer(table: pa.Table) -> pa.Table:
+        """Windows that two or more ranges have."""
+        key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["ahead"].to_pylist()])
+        place = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in table["behind"].to_pylist()], axis=1)
+        order = np.lexsort((place[1], place[0], key))
+        key, place = key[order], place[:, order]
+        same = key[1:] == key[:-1]
+        later = np.concatenate(([False], same))
+        hit = later | np.concatenate((same, [False]))
+        return pa.Table.from_batches([_found([np.stack((place[0][hit], place[1][hit], place[1][hit] + least, later[hit]), axis=1)])])
 
     def across(table: pa.Table) -> pa.Table:
         table = table.sort_by([("kind", "ascending"), ("gram", "ascending"), ("ahead", "ascending"), ("behind", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")])
         return pa.Table.from_batches([_found(_compare(table, least))])
 
     met = materialize(suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, _FOUND), "matches")
-    spans = met.where("kind = 0").unionByName(met.where("kind > 0").groupBy("edge").applyInArrow(lean(across), _FOUND)).select("doc_id", "start", "stop", "copy").distinct()
+    spans = met.where("kind = 0").unionByName(met.where("kind in (1, 2)").groupBy("edge").applyInArrow(lean(across), _FOUND)).unionByName(met.where("kind = 3").groupBy("edge").applyInArrow(lean(outer), _FOUND)).select("doc_id", "start", "stop", "copy").distinct()
     # A text that has copies is one passage itself.
     ids = copies.select("doc_id") if copies_only else copies.select(F.explode(F.array("doc_id", "rep")).alias("doc_id")).distinct()
     n_words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), ""))
