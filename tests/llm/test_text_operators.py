@@ -63,6 +63,21 @@ def test_empty_tables(spark):
     assert {r.contaminated for r in decontamination.contamination(docs, bench).collect()} == {False}
 
 
+def test_rows_without_ids(spark):
+    line = "the same long line of this text " * 12
+    rows = [(None, line), (1, line), (2, line), (None, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, 1, "k", "l", 2) for i, t in rows], SCHEMA)
+    bench = spark.createDataFrame([(None, line), (5, line)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()) == [(0, 0), (0, 0), (1, 0), (2, 1), (3, 0)]
+    assert line_dedup.filter_documents(docs).count() == 4
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert sorted(r.doc_id for r in suffixes.repeated_passages(docs).collect()) == [1, 2]
+    assert suffixes.drop_copies(docs).count() == 5
+    assert sorted((r.doc_id or 0, r.n_items) for r in decontamination.contamination(docs, bench).collect()) == [(0, 0), (0, 0), (1, 1), (2, 1), (3, 0)]
+    assert decontamination.filter_documents(docs, bench).count() == 3
+    assert quality.judge(docs).count() == 5
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n\x0béÉZ漢", max_size=30), max_size=6))
 def test_word_hashes(texts):

@@ -148,6 +148,16 @@ def test_archives(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (4, "a b"), (None, None)], "doc_id long, text string")
+    rows = packing.best_fit_pack(docs, WORDS)
+    assert sorted((r.doc_id or 0, r.length) for r in rows.collect()) == [(0, 1), (0, 3), (4, 3)]
+    assert [r.doc_id for r in token_files.read_token_files(token_files.write_token_files(docs, BYTES)).collect()] == [4]
+    assert secrets.find_secrets(docs).count() == 3
+    pages = spark.createDataFrame([(None, "u", "x"), (1, "u", "x"), (None, "u", None)], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.record_type) for r in warc.read_warc(warc.write_warc(pages)).collect()) == [(0, "response"), (0, "response"), (1, "response")]
+
+
 def test_archive_dictionary():
     sink = io.BytesIO()
     records = [warc.compose(i, "u", b"<html>common header</html>" * 20 + str(i).encode(), "00" * 20, None, "d") for i in range(400)]

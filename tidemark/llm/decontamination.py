@@ -10,7 +10,8 @@ Words are runs of 0-9, a-z and characters beyond 0x7F, after A-Z became a-z. A w
 an item; an item of fewer words is one window.
 
 Defined results: a null or empty text has no words and no hits; items without words match nothing; repeated items
-count once; rows with the same doc_id must have the same text and give one row each. Other columns are ignored.
+count once, and items without an id are not searched for; rows with the same doc_id must have the same text and give
+one row each, rows without one are reported without hits. Other columns are ignored.
 """
 
 from __future__ import annotations

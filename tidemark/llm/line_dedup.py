@@ -16,7 +16,7 @@ none with a different line have no partner.
 
 Defined results: a null text stays null and has no lines; an empty text keeps its one empty line; a document all of
 whose lines go keeps an empty text in dedup_lines and is left out by filter_documents. Rows with the same doc_id and
-text count as one document. Other columns pass through unchanged.
+text count as one document; rows without a doc_id are neither compared nor changed. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -202,7 +202,7 @@ def _meet(emitted: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and lines, the places (from 0) of the lines that go."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     lines = materialize(_lines(docs, least_chars), "lines")
     # Keys that more than one line has; near: more than one form.
     shared = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("near"))

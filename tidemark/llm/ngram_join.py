@@ -365,11 +365,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
 
     Links are pairs of sets with 100 * intersection >= 75 * union. A null or empty text, or one without words, has no
-    shingles and no links. Rows that repeat a doc_id must repeat its text. Other columns are ignored; an empty table
-    gives no rows.
+    shingles and no links. Rows that repeat a doc_id must repeat its text and give one row; rows without one are left out.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
     copies, total = exact_copies(docs)
     blocks = max(shuffle_width(spark), -(-total // (8 * BLOCK_SIGNATURES)))
     reps = only(docs, copies.select("doc_id"), "left_anti")

@@ -9,7 +9,7 @@ that are not nearly full is packed again with the leavings of other groups, as w
 all of them; so the number of sequences does not depend on how many groups there were by more than a few.
 
 Defined results: a null or empty text has one piece, the end id alone. Repeated document ids are packed as rows of
-their own. Other columns of the input are ignored. An empty table gives no rows.
+their own, also those without an id. Other columns of the input are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

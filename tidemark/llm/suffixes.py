@@ -14,8 +14,8 @@ both sides suffice (as 40-bit hashes of the words): passages that are longer hav
 is merged. Of equal texts only one takes part; all of them are one passage each.
 
 Defined results: null and empty texts have no passages; a passage that a text repeats in itself counts; rows that
-repeat a doc_id must repeat its text and count as one document; an empty table gives no rows. Other columns are
-ignored, and kept by drop_copies.
+repeat a doc_id must repeat its text and count as one document, rows without one are left out (drop_copies leaves them
+as they are); an empty table gives no rows. Other columns are ignored, and kept by drop_copies.
 """
 
 from __future__ import annotations
@@ -206,7 +206,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: str = "doc_id",
     copies_only: only of those occurrences for which an earlier one (by doc_id and place) was met in the comparison; the
     earliest is never among them.
     """
-    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
     copies, _ = exact_copies(whole)
     docs = only(whole, copies.select("doc_id"), "left_anti")
     retained = materialize(_retain(docs, least), "suffixes")

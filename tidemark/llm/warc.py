@@ -11,7 +11,8 @@ Files are written by the tasks to a shared folder under names of their own; only
 what a lost or repeated attempt leaves is never read.
 
 Defined results: null html is an empty payload; a null url is left out of the record; rows with the same page_id and
-payload are each a record of the same kind; an empty table makes no file. Other columns are ignored.
+payload are each a record of the same kind, and pages without a page_id are responses that carry none; an empty table
+makes no file. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def compose(page_id: int, url: str | None, payload: bytes, sha1_hex: str, refers
     fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if refers_to is not None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("Page-Refers-To", str(refers_to))]
-    fields += [("Page-Id", str(page_id)), ("Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
+    fields += [("Page-Id", str(page_id))] * (page_id is not None) + [("Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
@@ -200,7 +201,7 @@ def read_warc(files: DataFrame, with_payload: bool = False) -> DataFrame:
                     for record in read_records(f):
                         x = parse(record)
                         refers = x.get("Page-Refers-To")
-                        row = (int(x["Page-Id"]), x.get("WARC-Target-URI"), int(x["Payload-Length"]), x["digest"], x["WARC-Type"], int(refers) if refers else None, x["WARC-Record-ID"])
+                        row = (int(x["Page-Id"]) if "Page-Id" in x else None, x.get("WARC-Target-URI"), int(x["Payload-Length"]), x["digest"], x["WARC-Type"], int(refers) if refers else None, x["WARC-Record-ID"])
                         rows.append(row + (x["payload"],) * with_payload)
                         size += len(record) if with_payload else 300
                         if size >= 4_000_000:
