@@ -16,7 +16,7 @@ Documents are dealt by range of their key, a file for each range. Files of faile
 in no manifest, so they are never read.
 
 Defined results: a null or empty text is its end id alone; repeated keys stay next to each other as rows of their own;
-other columns are ignored; an empty table makes no files.
+rows without a key have no place in the order and are left out; other columns are ignored; an empty table makes no files.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id
             yield batch(0, part["doc_id"], np.diff(ends, prepend=0) + 1, kind.itemsize, own)
         yield batch(1, pa.array([None], pa.int64()), np.array([size]), 8, total)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "kind int, doc_id long, n_tokens long, width int, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInArrow(run, "kind int, doc_id long, n_tokens long, width int, ids binary")
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
