@@ -32,14 +32,20 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 Rule = tuple[str, Callable[[], Column]]
 
+
+def _count(characters: str) -> Column:
+    """How many characters of the text are in a class. (Replacing is many times faster than counting matches.)"""
+    return F.length("text") - F.length(F.regexp_replace("text", characters + "+", ""))
+
+
 #: (name, keeps). All are comparisons of whole numbers.
 RULES: list[Rule] = [
     ("symbols", lambda: F.col("n_symbols") * 5 <= F.col("n_words") * 2),
     ("duplicate lines", lambda: F.col("n_dup_lines") * 10 <= F.size(F.split("text", "\n", -1)) * 3),
     ("word length", lambda: F.col("word_chars").between(F.col("n_words") * 2, F.col("n_words") * 15)),
-    ("capitals", lambda: F.regexp_count("text", F.lit(r"\p{Lu}")) * 2 <= F.regexp_count("text", F.lit(r"\p{L}"))),
-    ("exclamations", lambda: F.regexp_count("text", F.lit("[!?]")) * 2 <= F.col("n_words")),
-    ("digits", lambda: F.regexp_count("text", F.lit("[0-9]")) * 2 <= F.col("word_chars")),
+    ("capitals", lambda: _count(r"\p{Lu}") * 2 <= _count(r"\p{L}")),
+    ("exclamations", lambda: _count("[!?]") * 2 <= F.col("n_words")),
+    ("digits", lambda: _count("[0-9]") * 2 <= F.col("word_chars")),
     ("stutter", lambda: F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))) * 10 <= F.col("n_words") * 3),
 ]
 
@@ -72,7 +78,7 @@ def counts(docs: DataFrame) -> DataFrame:
         {
             "n_words": F.size("words").cast("long"),
             "word_chars": F.length(F.array_join("words", "")).cast("long"),
-            "n_symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long"),
+            "n_symbols": _count("[#*$%&|<>]").cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "n_repeat_words": _repeated(F.col("windows")).cast("long"),
         }
