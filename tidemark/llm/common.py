@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a worker turns into arrays at once.
 SLICE_CHARS = 4_000_000
+#: Bytes that Spark and Python pass to each other at once.
+BATCH_BYTES = 8_000_000
 
 # Workers serve many tasks; what one frees must not stay with the worker.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -54,9 +56,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python of a few MB, whatever the size of a row; both sides hold some of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept between batches; when there are more, those of the latest batch stay.
-MEMORY = 500_000
+#: Words kept between batches, which are forgotten when there are more. With more, a worker is faster and larger.
+MEMORY = 200_000
 #: Bytes of text to encode at once.
-SLICE_BYTES = 10_000_000
+SLICE_BYTES = 3_000_000
 #: New words that are encoded as one text.
 RUN = 24
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -30,12 +30,13 @@ _RUN = f"[{_SPACE}][{_SPACE}](?:[{_SPACE}]|\\z)|\\x00"
 class Encoder:
     """encode(texts) gives the ids of all texts in one array, and where each text's ids end."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.memory = memory
         one = self.tokenizer.encode("a", add_special_tokens=False).ids
         #: Whether a space belongs to the word after it, as in byte-level files; else white space only parts words.
         self.spaced = self.tokenizer.encode(" a", add_special_tokens=False).ids != one
@@ -98,7 +99,7 @@ class Encoder:
         per_text = np.diff(np.asarray(cut.offsets))
         coded = cut.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self._forget()
         if new := [w for w in words if w not in self.known]:
             self._learn(new)
@@ -106,7 +107,9 @@ class Encoder:
         n, begin = self.size[known][at], self.begin[known][at]
         stops = np.cumsum(n)
         total = int(stops[-1]) if len(stops) else 0
-        ids = self.pool[np.repeat(begin - (stops - n), n) + np.arange(total)]
+        place = np.repeat((begin - (stops - n)).astype(np.int32), n)  # the pool is far below 2**31
+        place += np.arange(total, dtype=np.int32)
+        ids = self.pool[place]
         counts = np.diff(np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(per_text)))])
         if odd:
             chunks = np.split(ids, np.cumsum(counts)[:-1])
@@ -118,6 +121,6 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """The worker's encoder for a file: it and what it remembers serve all tasks of the worker."""
-    return Encoder(path)
+    return Encoder(path, memory)

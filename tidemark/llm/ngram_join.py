@@ -143,7 +143,7 @@ def _sign(docs: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, base, n = ([], [], [], [], []), 0, 0
-        for batch in slices(batches, chars=2_000_000):
+        for batch in slices(batches, chars=1_000_000):
             words, ends = word_hashes(batch["text"])
             values, ends = shingle_sets(words, ends, SHINGLE)
             who, sigs, needs = signatures(values, ends)
@@ -274,7 +274,7 @@ def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
     """doc_id, its shingles that some other component of the documents in parts (doc_id, c) has too, rarest first, and their number, usable."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, chars=2_000_000):
+        for batch in slices(batches, chars=1_000_000):
             values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
             at = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
             ids, c = np.asarray(batch["doc_id"]).astype("<i8"), np.asarray(batch["c"]).astype("<i8")
@@ -340,7 +340,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, chars=2_000_000):
+        for batch in slices(batches, chars=1_000_000):
             values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
             yield pa.record_batch([batch["doc_id"], pa.array([x.astype("<u8").tobytes() for x in np.split(values, ends[:-1])], pa.binary())], names=["doc_id", "values"])
 

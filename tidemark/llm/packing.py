@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .encoding import SLICE_BYTES, encoder
+from .encoding import MEMORY, SLICE_BYTES, encoder
 
 CAPACITY = 4096
 #: Pieces that one task packs.
@@ -64,12 +64,12 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return where, offset
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False, slice_bytes: int = SLICE_BYTES, memory: int = MEMORY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: key, piece, start, length, ids_crc32 and, if asked for, its ids (uint32, little-endian)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer_path)
-        for batch in slices(batches, chars=SLICE_BYTES):
+        words = encoder(tokenizer_path, memory)
+        for batch in slices(batches, chars=slice_bytes):
             ids, ends = words.encode(batch["text"])
             begin, rows = 0, []
             for k, end in zip(batch["key"].to_pylist(), ends.tolist(), strict=True):
@@ -124,6 +124,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return out.select(*own, "sequence_id", F.col("at").alias("offset"))
 
 
-def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group: int = GROUP) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity, group)
+def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group: int = GROUP, slice_bytes: int = SLICE_BYTES, memory: int = MEMORY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+
+    slice_bytes and memory (words) bound what a worker holds; they do not change the result.
+    """
+    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id, slice_bytes=slice_bytes, memory=memory), "pieces"), capacity, group)

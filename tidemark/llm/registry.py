@@ -26,7 +26,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_pack
 
-    return best_fit_pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return best_fit_pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), **_ROOMY)
+
+
+#: Where encoding is all that a worker does, it may hold more.
+_ROOMY = {"slice_bytes": 8_000_000, "memory": 300_000}
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +79,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
-    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), **_ROOMY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_secret_scan, op9_warc_archive, op10_token_files)}

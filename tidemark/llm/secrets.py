@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bound_batches, slices, texts
 
 
 # The three base patterns; RE2 forms of them only say which texts can have a match.
@@ -273,6 +273,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, model: tuple[list[np.ndarray], np.ndarray] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, and an array of (kind, start, end) in code points, end exclusive, by start and kind; kind crf is the field's."""
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text, key))  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

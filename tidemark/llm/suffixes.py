@@ -84,7 +84,7 @@ def _retain(docs: DataFrame, least: int) -> DataFrame:
     """gram, doc_id, pos of the retained suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, chars=2_000_000):
+        for batch in slices(batches, chars=1_000_000):
             words, ends = word_hashes(batch["text"])
             at, grams = minimisers(words, ends, least)
             doc = np.searchsorted(ends, at, side="right")
@@ -98,7 +98,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """gram, doc_id, pos, ahead (hashes of the words from pos) and behind (of those before it, backwards)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, chars=2_000_000):
+        for batch in slices(batches, chars=1_000_000):
             words, ends = word_hashes(batch["text"])
             cut = lambda x: np.ascontiguousarray(x.astype(">u8")[:, None].view(np.uint8)[:, -BYTES:]).tobytes()
             raw, back = cut(words), cut(words[::-1])

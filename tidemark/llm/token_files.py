@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, scratch, slices
-from .encoding import SLICE_BYTES, encoder
+from .encoding import MEMORY, SLICE_BYTES, encoder
 
 MAGIC = b"TMHUF1\0\0"
 LIMIT = 20
@@ -132,7 +132,7 @@ def decode_blocks(data: bytes, offsets: np.ndarray, n_ids: int, table: np.ndarra
     return out.T.reshape(-1)[:n_ids]
 
 
-def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, slice_bytes: int = SLICE_BYTES, memory: int = MEMORY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """kind 0: doc_id, n_tokens and the ids (uint32, or uint16 where all fit) of each document, end id included.
 
     kind 1: as ids, how often each id occurs in the documents of a task (int64).
@@ -144,11 +144,11 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id
         return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), doc_id, pa.array(n, pa.int64()), pa.array(np.full(len(n), width, np.int32)), ids], names=["kind", "doc_id", "n_tokens", "width", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer_path)
+        words = encoder(tokenizer_path, memory)
         size = max(words.tokenizer.get_vocab_size(), end_id + 1)
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         total = np.zeros(size, np.int64)
-        for part in slices(batches, chars=SLICE_BYTES):
+        for part in slices(batches, chars=slice_bytes):
             ids, ends = words.encode(part["text"])
             total += np.bincount(ids, minlength=size)
             total[end_id] += part.num_rows
@@ -180,11 +180,11 @@ def global_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, file_ids: int = FILE_IDS, slice_bytes: int = SLICE_BYTES, memory: int = MEMORY) -> DataFrame:
     """Writes the files and returns their manifest: part (their order), path, n_docs, n_ids."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-files")
-    ids = materialize(tokens(docs, tokenizer_path, end_id), "tokens")
+    ids = materialize(tokens(docs, tokenizer_path, end_id, slice_bytes, memory), "tokens")
     counts = global_counts(ids)
     lengths = code_lengths(counts)
     known = spark.sparkContext.broadcast((lengths, code_table(lengths)))  # an entry for each id of the vocabulary

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6_000
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, p_toxic (grade 1 or more), severity (expected grade), grade (most likely) and rejected."""
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)  # features of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +165,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def filter_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that are not rejected, all their columns unchanged."""
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
