@@ -7,6 +7,7 @@ import io
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +17,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import packing, secrets, token_files, toxicity, warc
 from tidemark.llm.encoding import Encoder, encoder
@@ -30,6 +32,11 @@ def table(spark, texts):
     return spark.createDataFrame([(i, t, "x", 1, "k") for i, t in enumerate(texts)], SCHEMA).repartition(3)
 
 
+@lru_cache
+def fresh_tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def direct(path, text):
     return encoder(path).tokenizer.encode(text or "", add_special_tokens=False).ids
 
@@ -44,6 +51,16 @@ def test_encoder(path, texts):
     assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [direct(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", " ", "\n", "é", "0"]), max_size=8).map("".join), max_size=5))
+def test_added_tokens(path, texts):
+    """As a fresh tokenizer encodes them, with nothing set."""
+    fresh = fresh_tokenizer(path)
+    ids, ends = encoder(path).encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark):
     rows = packing.best_fit_pack(table(spark, TEXTS), WORDS).toPandas()
     for i, t in enumerate(TEXTS):

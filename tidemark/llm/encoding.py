@@ -1,7 +1,8 @@
 """Byte-pair encoding of whole batches with a public vocabulary file of the tokenizers library.
 
 Both kinds of file cut a text into pieces that are encoded on their own. A word is therefore encoded once and
-remembered, instead of at each place; Arrow finds the distinct words of a batch, numpy puts the ids together.
+remembered, instead of at each place; Arrow finds the distinct words of a batch, numpy puts the ids together. Texts
+that words alone do not decide, such as those with an added token's content, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memory = memory
+        #: Added tokens, which the library looks for in the text as it is, before it cuts words.
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         one = self.tokenizer.encode("a", add_special_tokens=False).ids
         #: Whether a space belongs to the word after it, as in byte-level files; else white space only parts words.
         self.spaced = self.tokenizer.encode(" a", add_special_tokens=False).ids != one
@@ -88,11 +90,13 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32, ends int64): text i has ids[ends[i - 1]:ends[i]]; null reads as empty."""
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = "|".join(filter(None, (_RUN if self.spaced else "", self.added)))
         odd: dict[int, np.ndarray] = {}
-        if self.spaced:
-            run = pc.match_substring_regex(texts, _RUN)
+        if whole:
+            run = pc.match_substring_regex(texts, whole)
             odd = {i: self.direct(texts[i].as_py()) for i in np.flatnonzero(np.asarray(run)).tolist()}
             texts = pc.if_else(run, pa.scalar("", pa.large_string()), texts) if odd else texts
+        if self.spaced:
             cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
         else:
             cut = pc.utf8_split_whitespace(texts)
