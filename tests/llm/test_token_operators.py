@@ -61,6 +61,15 @@ def test_added_tokens(path, texts):
     assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(alphabet="ab0 \n\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028é", max_size=12), max_size=5))
+def test_separators(path, texts):
+    fresh = fresh_tokenizer(path)
+    ids, ends = encoder(path).encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark):
     rows = packing.best_fit_pack(table(spark, TEXTS), WORDS).toPandas()
     for i, t in enumerate(TEXTS):

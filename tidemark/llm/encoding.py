@@ -26,6 +26,8 @@ RUN = 24
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space that the byte-level rule keeps in one piece where this module would cut.
 _RUN = f"[{_SPACE}][{_SPACE}](?:[{_SPACE}]|\\z)|\\x00"
+#: Separators at which Arrow cuts words and drops them, while the tokenizer gives them ids.
+_KEPT = r"[\x1c-\x1f]"
 
 
 class Encoder:
@@ -90,12 +92,9 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32, ends int64): text i has ids[ends[i - 1]:ends[i]]; null reads as empty."""
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
-        whole = "|".join(filter(None, (_RUN if self.spaced else "", self.added)))
-        odd: dict[int, np.ndarray] = {}
-        if whole:
-            run = pc.match_substring_regex(texts, whole)
-            odd = {i: self.direct(texts[i].as_py()) for i in np.flatnonzero(np.asarray(run)).tolist()}
-            texts = pc.if_else(run, pa.scalar("", pa.large_string()), texts) if odd else texts
+        whole = pc.match_substring_regex(texts, "|".join(filter(None, (_RUN if self.spaced else _KEPT, self.added))))
+        odd = {i: self.direct(texts[i].as_py()) for i in np.flatnonzero(np.asarray(whole)).tolist()}
+        texts = pc.if_else(whole, pa.scalar("", pa.large_string()), texts) if odd else texts
         if self.spaced:
             cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
         else:
