@@ -90,6 +90,17 @@ def test_packing_is_dense(spark, group):
     assert by.ngroups <= -(-rows.length.sum() // 4096) + 2
 
 
+@pytest.mark.parametrize("lengths, bound", [([3000] * 200, 200), ([3000] * 160 + [1000] * 40, 160), ([4000] * 100 + [50] * 100, 100)])
+def test_packing_in_many_groups(spark, lengths, bound):
+    """Sequences that stay open do not add levels without end, nor is what can be joined left apart."""
+    rows = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    out = packing.pack(rows, group=10).toPandas().sort_values(["sequence_id", "offset"])
+    by = out.groupby("sequence_id").length
+    assert sorted(out.doc_id) == list(range(len(lengths))) and by.sum().max() <= 4096
+    assert (out.offset == by.cumsum() - out.length).all()
+    assert by.ngroups <= bound + 10
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_sum_of_squares(sizes):

@@ -4,9 +4,9 @@ A document's ids (and an end id) are cut into pieces no longer than a sequence;
 fixed capacity. With N(g) open sequences that have a gap of g ids, a piece goes where the sum of N(g)**2 becomes
 smallest; ties go to the smallest remaining gap.
 
-Pieces are dealt at random into groups of bounded size, each packed by one task. What a group leaves in sequences
-that are not nearly full is packed again with the leavings of other groups, as whole blocks, until one group holds
-all of them; so the number of sequences does not depend on how many groups there were by more than a few.
+Pieces are dealt at random into groups of about GROUP, each packed by one task. Of two sequences that can be joined
+one is at most half full. So those of all groups are packed again, as whole blocks, with as many of the fuller ones,
+of which those with most room; in groups of that size too, until one group holds them or nothing can be joined.
 
 Defined results: a null or empty text has one piece, the end id alone. Repeated document ids are packed as rows of
 their own, also those without an id. Other columns of the input are ignored. An empty table gives no rows.
@@ -29,8 +29,6 @@ from .encoding import MEMORY, SLICE_BYTES, encoder
 CAPACITY = 4096
 #: Pieces that one task packs.
 GROUP = 20_000
-#: A sequence with less room than this is closed after the first packing.
-NEARLY_FULL = 8
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -100,27 +98,28 @@ def _packed(items: DataFrame, groups: int, capacity: int) -> DataFrame:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """items: doc_id, piece, length and more. Adds sequence_id and offset."""
-    n = items.count()
-    level, bits = 0, 40
-    own = [c for c in items.columns]
-    placed = materialize(_packed(items.withColumns({"size": F.col("length"), "tie_1": F.col("doc_id").cast("long"), "tie_2": F.col("piece").cast("long")}), max(1, -(-n // group)), capacity), "packed")
-    out = placed.select(*own, F.col("g").alias("g0"), F.col("b").alias("b0"), F.col("offset").alias("at"), F.col("fill").alias("filled"))
-    # Sequences with room go up a level as blocks, until one group has packed them all.
-    blocks, groups, moves = placed, -(-n // group), []
+    own, group = items.columns, max(group, 4)  # groups of fewer need not lower what is open
+    groups = -(-items.count() // group)
+    pieces = items.withColumns({"size": F.col("length"), "tie_1": F.col("doc_id").cast("long"), "tie_2": F.col("piece").cast("long")})
+    placed = materialize(_packed(pieces, max(1, groups), capacity).withColumn("id", F.shiftleft(F.col("g").cast("long"), 40) + F.col("b")), "packed")
+    out = placed.select(*own, F.col("id").alias("sequence_id"), F.col("offset").alias("at"))
+    sequences = placed.where("offset = 0").select("id", F.col("fill").alias("size"))
+    low, before = F.col("size") * 2 <= capacity, None
     while groups > 1:
-        level += 1
-        blocks = blocks.where(F.col("fill") <= capacity - NEARLY_FULL).select(F.col("g").alias("tie_1"), F.col("b").alias("tie_2"), F.col("fill").alias("size")).distinct()
-        m = blocks.count()
-        now = min(groups - 1, max(1, -(-m // group)))
-        blocks, groups = materialize(_packed(blocks, now, capacity), "packed"), now
-        moves.append(blocks.select("tie_1", "tie_2", F.col("g").alias(f"g{level}"), F.col("b").alias(f"b{level}"), F.col("offset").alias("more")))
-    last = F.shiftleft(F.col("g0").cast("long"), bits) + F.col("b0")
-    out = out.withColumn("sequence_id", last)
-    for k, move in enumerate(moves, 1):
-        move = move.withColumnsRenamed({"tie_1": f"g{k - 1}", "tie_2": f"b{k - 1}"})
-        out = out.join(move, [f"g{k - 1}", f"b{k - 1}"], "left")
-        moved = F.lit(k).cast("long") * F.lit(1 << 60) + F.shiftleft(F.col(f"g{k}").cast("long"), bits) + F.col(f"b{k}")
-        out = out.withColumn("sequence_id", F.coalesce(moved, "sequence_id")).withColumn("at", F.col("at") + F.coalesce("more", F.lit(0))).drop("more")
+        fills = {r["size"]: r["count"] for r in sequences.groupBy("size").count().collect()}
+        n_low = sum(n for f, n in fills.items() if 2 * f <= capacity)
+        partner = ~low & (F.col("size") <= capacity - min(fills))
+        n_both = n_low + min(n_low, sum(n for f, n in fills.items() if 2 * f > capacity and f <= capacity - min(fills)))
+        if n_both < 2 or n_low == before:
+            break
+        before, groups = n_low, -(-n_both // group)
+        some = sequences.where(low).union(sequences.where(partner).orderBy("size", "id").limit(n_low))
+        packed = materialize(_packed(some.select(F.col("id").alias("tie_1"), F.lit(0).cast("long").alias("tie_2"), "size"), groups, capacity), "packed").withColumnRenamed("tie_1", "id")
+        # What is joined has the id of the block at its begin.
+        heads = packed.where("offset = 0").select("g", "b", F.col("id").alias("to"), "fill")
+        moves = packed.where("offset > 0").join(heads.drop("fill"), ["g", "b"]).select(F.col("id").alias("sequence_id"), "to", F.col("offset").alias("more"))
+        out = out.join(moves, "sequence_id", "left").select(*own, F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"))
+        sequences = materialize(sequences.join(packed.select("id"), "id", "left_anti").union(heads.select("to", "fill")), "sequences") if groups > 1 else None
     return out.select(*own, "sequence_id", F.col("at").alias("offset"))
 
 
