@@ -112,6 +112,15 @@ def test_sum_of_squares(sizes):
     assert all(x <= 64 for x in fill.values())
 
 
+def test_packing_opens_no_more_than_it_must():
+    rng = np.random.default_rng(1)
+    for sizes, most in ((rng.choice([1500, 1100, 900, 700], 4000), 1.07), (rng.integers(1, 4097, 3000), 1.01), (rng.choice([3000, 1000, 96], 4000), 1.01)):
+        where, _ = packing.sum_of_squares(sizes.astype(np.int64))
+        assert where.max() + 1 <= most * sizes.sum() / 4096
+        fill = np.bincount(where, weights=sizes)
+        assert (fill <= 2048).sum() <= 1 and fill.max() <= 4096
+
+
 def huffman_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)

@@ -2,7 +2,7 @@
 
 A document's ids (and an end id) are cut into pieces no longer than a sequence; pieces are placed in sequences of
 fixed capacity. With N(g) open sequences that have a gap of g ids, a piece goes where the sum of N(g)**2 becomes
-smallest; ties go to the smallest remaining gap.
+smallest; ties go to the smallest remaining gap. A sequence is opened only for a piece that fits in none.
 
 Pieces are dealt at random into groups of about GROUP, each packed by one task. Of two sequences that can be joined
 one is at most half full. So those of all groups are packed again, as whole blocks, with as many of the fuller ones,
@@ -41,14 +41,14 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
         gap = capacity
-        least = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
         if s < capacity:
-            # Leaving gap g for g - s changes the sum by 2 (N(g - s) - N(g)) + 2; filling it, by 1 - 2 N(s).
+            # Leaving gap g for g - s changes the sum by 2 (N(g - s) - N(g)) + 2; filling it, by 1 - 2 N(s). A new sequence
+            # would often give a smaller sum, but costs a sequence: it is opened only where none has room.
             change = 2 * (count[: capacity - s] - count[s:capacity]) + 2
             change[0] -= 1
             change[count[s:capacity] == 0] = never
             best = int(change.argmin())
-            if change[best] <= least:
+            if change[best] < never:
                 gap = s + best
         if gap == capacity:
             b, bins = bins, bins + 1
@@ -98,7 +98,7 @@ def _packed(items: DataFrame, groups: int, capacity: int) -> DataFrame:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """items: doc_id, piece, length and more. Adds sequence_id and offset."""
-    own, group = items.columns, max(group, 4)  # groups of fewer need not lower what is open
+    own, group = items.columns, max(group, 4)  # each group leaves one sequence at most half full, so these fall by half or more
     groups = -(-items.count() // group)
     pieces = items.withColumns({"size": F.col("length"), "tie_1": F.col("doc_id").cast("long"), "tie_2": F.col("piece").cast("long")})
     placed = materialize(_packed(pieces, max(1, groups), capacity).withColumn("id", F.shiftleft(F.col("g").cast("long"), 40) + F.col("b")), "packed")
