@@ -294,6 +294,13 @@ def test_near_matches(spark):
     assert [tuple(r) for r in decontamination.near_matches(docs, bench).collect()] == [(0, 1)]
 
 
+def test_near_matches_with_absent_terms(spark):
+    """A word that the documents lack is not among an item's rarest, nor does an item match by fewer terms than it needs."""
+    bench = spark.createDataFrame([(1, "red green blue zyx"), (2, "red zyx"), (3, "zyx"), (4, "red")], "item_id long, text string")
+    docs = table(spark, ["blue x red y green", "red " + "x " * 50 + "green blue", None])
+    assert sorted(map(tuple, decontamination.near_matches(docs, bench).collect())) == [(0, 1), (0, 4), (1, 4)]
+
+
 def test_cascade(spark):
     good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(60))
     texts = [good, good.upper(), " ".join(w + "###" for w in good.split()), "few words", None, "", "\n".join(["the same line again"] * 12)]

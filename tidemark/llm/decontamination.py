@@ -109,13 +109,18 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, span: int = 30) -> DataFrame:
-    """Proximity matches: doc_id, item_id where the item's rarest terms, so many of them, stand within `span` words in any order."""
+    """Proximity matches: doc_id, item_id where the item's rarest terms, so many of them, stand within `span` words in any order.
+
+    The rarest are taken of the terms that the documents have. An item of fewer different terms needs all of them; one
+    of which the documents have fewer terms than it needs matches nothing.
+    """
     docs = docs.select("doc_id", raw_words("text").alias("words"))
     items = materialize(benchmark.select("item_id", F.explode(F.array_distinct(words("text"))).alias("term")).distinct(), "items")
     vocabulary = items.select("term").distinct()
     counts = docs.select(F.explode("words").alias("word")).select(fold(F.col("word")).alias("term")).join(_small(vocabulary, BROADCAST_TERMS), "term").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = items.join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")))
-    chosen = materialize(ranked.where(F.col("rank") <= terms).select("item_id", "term", F.max("rank").over(Window.partitionBy("item_id")).alias("of")), "terms")
+    needs = items.groupBy("item_id").agg(F.least(F.count("*"), F.lit(terms)).alias("needs"))
+    ranked = items.join(counts, "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "term")))
+    chosen = materialize(ranked.where(F.col("rank") <= terms).join(needs, "item_id").select("item_id", "term", "needs"), "terms")
     postings = index(docs, chosen.select("term").distinct()).join(chosen, "term")
     ahead = Window.partitionBy("doc_id", "item_id").orderBy("pos").rangeBetween(0, span - 1)
-    return postings.withColumn("seen", F.size(F.collect_set("term").over(ahead))).where(F.col("seen") >= F.least(F.col("of"), F.lit(terms))).select("doc_id", "item_id").distinct()
+    return postings.withColumn("seen", F.size(F.collect_set("term").over(ahead))).where(F.col("seen") >= F.col("needs")).select("doc_id", "item_id").distinct()
