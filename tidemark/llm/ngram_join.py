@@ -4,7 +4,8 @@ Two sets of sizes m <= M with that similarity differ in at most (m + M) // 7 ele
 cut into parts; a set's signature in a part is a hash of all its elements there. As each differing element spoils one
 part at most, two such sets share all but (m + M) // 7 of their non-empty parts. Sets are dealt into bands of sizes
 [2**b, 2**(b + 1)); the number of parts follows the band, and a set also signs for the next band if it can be similar
-to a set there. A set with so few non-empty parts that all could be spoiled also signs its empty parts.
+to a set there. A set with so few non-empty parts that all could be spoiled also signs its empty parts. Unlike PartEnum,
+subsets of parts are not enumerated: there are more parts than can be spoiled, and a count filter does the rest.
 
 What follows the signatures, all exact:
 
