@@ -301,6 +301,14 @@ def test_near_matches_with_absent_terms(spark):
     assert sorted(map(tuple, decontamination.near_matches(docs, bench).collect())) == [(0, 1), (0, 4), (1, 4)]
 
 
+def test_short_lines_repeat_exactly(spark):
+    long = "a line that has more than twenty characters"
+    docs = table(spark, [f"Read more\n\n{long}", f"read  more\nRead mores\n\n{long}s", "}\n}\nRead more", None])
+    texts = lambda **k: {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, **k).collect()}
+    assert texts(exact_chars=5) == {0: f"Read more\n\n{long}", 1: "Read mores\n", 2: "}\n}", 3: None}
+    assert texts() == {0: f"Read more\n\n{long}", 1: "read  more\nRead mores\n", 2: "}\n}\nRead more", 3: None}
+
+
 def test_cascade(spark):
     good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(60))
     texts = [good, good.upper(), " ".join(w + "###" for w in good.split()), "few words", None, "", "\n".join(["the same line again"] * 12)]

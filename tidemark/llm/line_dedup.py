@@ -1,7 +1,9 @@
 """Repeated lines of a corpus, up to one edit, by joining deletion neighbourhoods.
 
 A line is compared in a normal form: A-Z as a-z, runs of ASCII white space as one space, none at the ends. Lines whose
-form has fewer than `least_chars` code points are neither removed nor compared. A line goes when an earlier one, by
+form has fewer than `least_chars` code points are neither removed nor compared, unless `exact_chars` is given: then those
+with so many at least take part in exact repeats. It is not the default as the query's SQL leaves short lines, and as
+many of them (closing brackets, list items, headings) recur without being boilerplate. A line goes when an earlier one, by
 (doc_id, place in the text), has a form within an edit distance of 1; the earliest stays.
 
 Two forms at distance 1 share a variant: equal forms after a deletion at the same place (a substitution), or one form
@@ -81,8 +83,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """key, form, doc_id, line: two rows or more for each line that takes part."""
+def _lines(docs: DataFrame, least_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """key, form, doc_id, line: two rows or more for each line that takes part, one for a short one."""
+    least = least_chars if exact_chars is None else max(1, min(exact_chars, least_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -91,9 +94,9 @@ def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
             keys, forms, ids, places = [], [], [], []
             for k, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 for i, line in enumerate((text or "").encode().split(b"\n")):
-                    if len(line) >= least_chars and len(form := normal_form(line)) >= least_chars:
+                    if len(line) >= least and len(form := normal_form(line)) >= least:
                         h = _signed(xxhash.xxh3_64_intdigest(form))
-                        own = half_keys(form)
+                        own = half_keys(form) if len(form) >= least_chars else {xxhash.xxh3_64_intdigest(f"e {form}")}
                         keys += map(_signed, own)
                         forms += [h] * len(own)
                         ids += [k] * len(own)
@@ -200,10 +203,10 @@ def _meet(emitted: DataFrame) -> DataFrame:
     return emitted.groupBy("block").applyInArrow(lean(run), "doc_id long, line long, with_doc long, with_line long").distinct()
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text", exact_chars: int | None = None) -> DataFrame:
     """doc_id and lines, the places (from 0) of the lines that go."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    lines = materialize(_lines(docs, least_chars), "lines")
+    lines = materialize(_lines(docs, least_chars, exact_chars), "lines")
     # Keys that more than one line has; near: more than one form.
     shared = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("near"))
     active = lines.join(shared, "key").groupBy("doc_id", "line").agg(F.max("near").alias("near"))
@@ -229,17 +232,17 @@ def _kept(text: str) -> F.Column:
     return F.when(F.col("lines").isNull(), F.col(text)).otherwise(F.array_join(F.filter(whole, lambda x, i: ~F.array_contains("lines", i)), "\n"))
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and the text of the lines that stay, of every document."""
-    gone = materialize(repeated_lines(docs, least_chars), "gone")
+    gone = materialize(repeated_lines(docs, least_chars, exact_chars=exact_chars), "gone")
     rows = _with_lists(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone, "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     return rows.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), _kept("text").alias("text"))
 
 
-def filter_documents(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def filter_documents(docs: DataFrame, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The documents without repeated lines (n_chars follows the text); those of which nothing is left are left out."""
-    gone = materialize(repeated_lines(docs, least_chars), "gone")
+    gone = materialize(repeated_lines(docs, least_chars, exact_chars=exact_chars), "gone")
     names = docs.columns
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*names).alias("row"))
     rows = _with_lists(rows, gone, "left").withColumn("kept", _kept("text")).where("lines is null or trim(kept) <> ''")
