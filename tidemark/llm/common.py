@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a worker turns into arrays at once.
 SLICE_CHARS = 4_000_000
 #: Bytes that Spark and Python pass to each other at once.
 BATCH_BYTES = 8_000_000
+#: Rows that one key may bring to a task of a join, at least.
+HOT_ROWS = 1_000
 
 # Workers serve many tasks; what one frees must not stay with the worker.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -43,22 +46,53 @@ def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which the session must have."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
+#: Scratch paths of this process that still stand.
+_standing: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _standing.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Removes the scratch tables made since so many stood; what was read from them must have been used."""
+    jvm = spark._jvm
+    for path in _standing[since:]:
+        if path not in keep:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _standing.remove(path)
+
+
+@contextmanager
+def scratch_until_end(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Scratch tables made inside are removed at the end, but for the paths to keep."""
+    since = len(_standing)
+    try:
+        yield
+    finally:
+        remove_scratch(spark, since, keep)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches between the JVM and Python of a few MB, whatever the size of a row; both sides hold some of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Batches between the JVM and Python of a few MB, whatever the size of a row; both sides hold some of them.
+
+    Spark reads this setting when a plan runs, so it has to be the session's own; a lower one stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name))
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -100,3 +134,45 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = S
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's texts; null reads as empty."""
     return [x or "" for x in batch[name].to_pylist()]
+
+
+def _draw(rows: DataFrame, n: int, by: tuple[str, ...]) -> tuple[F.Column, F.Column]:
+    """A number for each row by the hash of some columns, and whether it is so small that about 4 n of all rows have one as small."""
+    span = 1 << 40
+    number = F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(span))
+    return number, number < min(span, 4 * n * span // max(1, rows.count()) + 1)
+
+
+def bounded_sample(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """n rows (or all, if there are no more) by the hash of the columns by; few are sorted, however many partitions there are."""
+    number, small = _draw(rows, n, by)
+    return rows.where(small).orderBy(number, *by).limit(n)
+
+
+def bounded_texts(rows: DataFrame, n: int, most_bytes: int, text: str, *by: str) -> DataFrame:
+    """n different rows by the hash of the columns by, or as many as have no more bytes of text together (one at least)."""
+    number, small = _draw(rows, n, by)
+    listed = rows.where(small).select(number.alias("number"), F.octet_length(text).alias("bytes")).groupBy("number").agg(F.max("bytes").alias("bytes")).orderBy("number").limit(n).collect()
+    total, last = 0, -1
+    for r in listed:
+        total += r["bytes"] or 0
+        if last >= 0 and total > most_bytes:
+            break
+        last = r["number"]
+    once = rows.withColumn("number", number).where(F.col("number") <= last).groupBy("number").agg(*(F.first(c).alias(c) for c in rows.columns))
+    return once.orderBy("number").drop("number")
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with groups, which has one row for each key and in n how many rows have it; both are written tables.
+
+    Keys with very many rows would each keep one task busy. There are few of them, as each has a fixed share of all
+    rows, so these groups are broadcast and only the rest is shuffled: no task gets more than that share of one key.
+    """
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, total // (4 * shuffle_width(rows.sparkSession)))
+    hot = groups.where(F.col(n) > least)  # 4 for each partition at most
+    if hot.isEmpty():
+        return rows.join(groups, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(n) <= least), on)
+    return rest.unionByName(rows.join(F.broadcast(hot), on))
