@@ -1,10 +1,10 @@
 """Repeated lines of a corpus, up to one edit, by joining deletion neighbourhoods.
 
-A line is compared in a normal form: A-Z as a-z, runs of ASCII white space as one space, none at the ends. Lines whose
-form has fewer than `least_chars` code points are neither removed nor compared, unless `exact_chars` is given: then those
-with so many at least take part in exact repeats. It is not the default as the query's SQL leaves short lines, and as
-many of them (closing brackets, list items, headings) recur without being boilerplate. A line goes when an earlier one, by
-(doc_id, place in the text), has a form within an edit distance of 1; the earliest stays.
+A line is compared in a normal form: A-Z as a-z, runs of ASCII white space as one space, none at the ends. A line goes
+when an earlier one, by (doc_id, place in the text), has the same form; the earliest stays. Every line with a form that
+is not empty takes part. Forms of `least_chars` code points or more also go when an earlier one of that length is within
+an edit distance of 1: in shorter ones a single character often is the meaning ("1.", "a)", "No" and "So"), so their
+edit bound is 0. `exact_chars` may exclude short forms from exact repeats as well.
 
 Two forms at distance 1 share a variant: equal forms after a deletion at the same place (a substitution), or one form
 and the other after a deletion (an insertion). So each form emits itself and all its deletions, as hashes with the
@@ -17,8 +17,9 @@ same, so each line first gives hashes of a prefix and a suffix of a length that
 none with a different line have no partner.
 
 Defined results: a null text stays null and has no lines; an empty text keeps its one empty line; a document all of
-whose lines go keeps an empty text in dedup_lines and is left out by filter_documents. Rows with the same doc_id and
-text count as one document; rows without a doc_id are neither compared nor changed. Other columns pass through.
+whose lines go keeps an empty text in dedup_lines, and is left out by filter_documents if nothing but white space is
+left. Every row is a document of its own: of rows with one doc_id those with the lesser hash of the text come first,
+rows without a doc_id come last. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, shuffle_width, slices
+from .common import join_counted, lean, materialize, shuffle_width, slices
+from .copies import keyed, named
 from .hashing import mix
 
-LEAST_CHARS = 20
+#: Code points from which a form is also compared up to one edit, and from which its exact repeats count.
+LEAST_CHARS, EXACT_CHARS = 20, 1
+_SPACES = " \t\n\x0b\x0c\r"
 #: Lists of lines are broadcast to the documents up to so many bytes; beyond, the documents are shuffled.
 BROADCAST_BYTES = 64_000_000
 #: Variants that a task sorts at once, about.
@@ -83,9 +87,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _lines(docs: DataFrame, least_chars: int, exact_chars: int | None = None) -> DataFrame:
+def _lines(docs: DataFrame, least_chars: int, exact_chars: int) -> DataFrame:
     """key, form, doc_id, line: two rows or more for each line that takes part, one for a short one."""
-    least = least_chars if exact_chars is None else max(1, min(exact_chars, least_chars))
+    least = max(1, min(exact_chars, least_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -203,19 +207,18 @@ def _meet(emitted: DataFrame) -> DataFrame:
     return emitted.groupBy("block").applyInArrow(lean(run), "doc_id long, line long, with_doc long, with_line long").distinct()
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text", exact_chars: int | None = None) -> DataFrame:
-    """doc_id and lines, the places (from 0) of the lines that go."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
+    """doc_id and lines, the places (from 0) of the lines that go, of documents (doc_id, text) with ids of their own."""
     lines = materialize(_lines(docs, least_chars, exact_chars), "lines")
     # Keys that more than one line has; near: more than one form.
-    shared = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("near"))
-    active = lines.join(shared, "key").groupBy("doc_id", "line").agg(F.max("near").alias("near"))
+    shared = materialize(lines.groupBy("key").agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b")).where("n > 1").select("key", "n", (F.col("a") != F.col("b")).alias("near")), "keys")
+    active = join_counted(lines, shared, ["key"]).groupBy("doc_id", "line").agg(F.max("near").alias("near"))
     lists = materialize(active.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near")), "active")
-    forms = materialize(_texts_of(docs, lists).dropDuplicates(["doc_id", "line"]), "forms")
+    forms = materialize(_texts_of(docs, lists), "forms")
     firsts = forms.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.max("near").alias("near"))
     firsts = materialize(firsts.select("h1", "h2", "first.doc_id", "first.line", "n", "near"), "firsts")
-    again = firsts.where("n > 1").select("h1", "h2", F.col("doc_id").alias("d"), F.col("line").alias("l"))
-    exact = forms.select("h1", "h2", "doc_id", "line").join(again, ["h1", "h2"]).where("doc_id <> d or line <> l").select("doc_id", "line")
+    again = firsts.where("n > 1").select("h1", "h2", "n", F.col("doc_id").alias("d"), F.col("line").alias("l"))
+    exact = join_counted(forms.select("h1", "h2", "doc_id", "line"), again, ["h1", "h2"]).where("doc_id <> d or line <> l").select("doc_id", "line")
 
     near = materialize(firsts.where("near").select("doc_id", "line").join(forms.select("doc_id", "line", "form"), ["doc_id", "line"]), "near")
     total = near.agg(F.coalesce(F.sum(F.length("form")), F.lit(0))).first()[0]
@@ -228,25 +231,30 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "
 
 
 def _kept(text: str) -> F.Column:
+    """The text without the lines at the places in lines, in time linear in its lines."""
     whole = F.split(F.col(text), "\n", -1)
-    return F.when(F.col("lines").isNull(), F.col(text)).otherwise(F.array_join(F.filter(whole, lambda x, i: ~F.array_contains("lines", i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), "lines")
+    # An array of one, so that the lines are split once and not for each place.
+    once = F.transform(F.array(F.struct(whole.alias("whole"), left.alias("left"))), lambda x: F.array_join(F.transform(x["left"], lambda i: F.get(x["whole"], i)), "\n"))
+    return F.when(F.col("lines").isNull(), F.col(text)).otherwise(F.get(once, F.lit(0)))
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed and the text of the lines that stay, of every document."""
-    gone = materialize(repeated_lines(docs, least_chars, exact_chars=exact_chars), "gone")
-    rows = _with_lists(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone, "left")
+    docs, names = keyed(docs)
+    gone = materialize(repeated_lines(docs, least_chars, exact_chars), "gone")
+    rows = _with_lists(docs, gone, "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    return rows.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), _kept("text").alias("text"))
+    return named(rows.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), _kept("text").alias("text")), names)
 
 
-def filter_documents(docs: DataFrame, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """The documents without repeated lines (n_chars follows the text); those of which nothing is left are left out."""
-    gone = materialize(repeated_lines(docs, least_chars, exact_chars=exact_chars), "gone")
-    names = docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*names).alias("row"))
-    rows = _with_lists(rows, gone, "left").withColumn("kept", _kept("text")).where("lines is null or trim(kept) <> ''")
+def filter_documents(docs: DataFrame, least_chars: int = LEAST_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
+    """The documents without repeated lines (n_chars follows the text); those of which only white space is left are left out."""
+    names, schema = docs.columns, docs.schema
+    docs, _ = keyed(docs, whole=True)
+    gone = materialize(repeated_lines(docs.select("doc_id", "text"), least_chars, exact_chars), "gone")
+    rows = _with_lists(docs, gone, "left").withColumn("kept", _kept("text")).where(F.col("lines").isNull() | (F.trim("kept", F.lit(_SPACES)) != ""))
     new = {"text": F.col("kept")}
     if "n_chars" in names:
-        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length("kept").cast(schema["n_chars"].dataType)
     return rows.select(*(F.when(F.col("lines").isNull(), F.col("row")[c]).otherwise(new[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in names))
