@@ -2,16 +2,17 @@
 
 P(grade <= k | x) is the logistic function of (cut k - w.x): one set of weights for all grades, cuts in ascending
 order. x has log(1 + n) for each of a document's features, the words and word heads of 4 to 6 letters that were found
-to go with either label. The severity is the expected grade.
+to go with toxic or with other texts. The severity is the expected grade.
 
-Labels are 0 or 1. Grades above 1 come from them: of the features that go with label 1, a labelled document with 1 or
-2 occurrences (or none) has grade 1, up to 5 grade 2, more grade 3.
+Grades are labels, never derived from the text: a column `grade` with whole numbers from 0 (not toxic), as many and as
+far apart as raters gave, or, where there is only a mark, `toxic` as grades 0 and 1; the severity then is between these.
+A grade that no label has is no threshold of the model.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE, by the hash of the key); scoring is one pass over
 whole texts without a shuffle.
 
 Defined results: a null or empty text has no features and the severity of the cuts alone. Null labels are left out, of
-repeated ones the highest counts. Without labels of both kinds nothing is rejected and severities are 0. Repeated
+repeated ones the highest counts. Without labels of two grades nothing is rejected and severities are 0. Repeated
 documents are rows of their own; other columns pass through filter_documents unchanged.
 """
 
@@ -25,11 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, bounded_sample, bounded_texts, slices
 
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE = 6_000
-GRADES = 4
+#: Labelled documents that the model is fitted on, at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 6_000, 96_000_000
 HEADS = (4, 5, 6)
 #: Documents of the sample that have a feature, at least, and its chi-square with the label, at least.
 LEAST_DOCS, LEAST_CHI2 = 5, 20.0
@@ -65,22 +65,28 @@ def _counts(texts: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Model:
-    def __init__(self, names: list[str], weights: np.ndarray, cuts: np.ndarray):
-        self.names, self.weights, self.cuts = names, weights, cuts
+    """Weights of named features, the levels (grades that occur, from 0) and a cut between each two of them."""
+
+    def __init__(self, names: list[str], weights: np.ndarray, cuts: np.ndarray, levels: np.ndarray):
+        self.names, self.weights, self.cuts, self.levels = names, weights, cuts, levels
 
     def above(self, texts: pa.Array) -> np.ndarray:
-        """P(grade > k) of each text, for k from 0 to GRADES - 2."""
+        """For each text, P(grade above level k) of each level but the last."""
         score = np.zeros(len(texts))
         if self.names:
             doc, feature, n = _counts(texts, pa.array(self.names, pa.large_string()))
             score = np.bincount(doc, np.log1p(n) * self.weights[feature], len(texts))
         return 1 / (1 + np.exp(np.clip(self.cuts - score[:, None], -50, 50)))
 
+    def severity(self, above: np.ndarray) -> np.ndarray:
+        """The expected grade."""
+        return above @ np.diff(self.levels)
+
 
-def _select(texts: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Features that go with a label, and whether with label 1."""
+def _select(texts: pa.Array, toxic: np.ndarray) -> list[str]:
+    """Features that go with toxic (1) or with other texts (0)."""
     kinds, at, doc = _features(texts)
-    names, bad = [], []
+    names = []
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     for kind in kinds:
         coded = kind.dictionary_encode()
@@ -94,70 +100,78 @@ def _select(texts: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
         chi2 = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1) / np.maximum(1, both * (n0 + n1 - both) * n0 * n1)
         keep = np.flatnonzero((both >= LEAST_DOCS) & (chi2 >= LEAST_CHI2))
         names += coded.dictionary.take(pa.array(keep)).to_pylist()
-        bad += (a[keep] * n0 > b[keep] * n1).tolist()
-    return names, np.array(bad, bool)
-
-
-def train(texts: pa.Array, toxic: np.ndarray, steps: int = 400) -> Model:
-    """Fits the model by full-batch Adam on the likelihood with an L2 penalty."""
-    toxic = np.asarray(toxic, np.int64)
-    never = Model([], np.zeros(0), np.full(GRADES - 1, 50.0))
-    if not len(toxic) or toxic.min() == toxic.max():
-        return never
-    names, bad = _select(texts, toxic)
+    return names
+
+
+def cuts_of(free: np.ndarray) -> np.ndarray:
+    """Ascending cuts: the first one, and the logarithms of the steps between them."""
+    return free[0] + np.concatenate(([0], np.cumsum(np.exp(free[1:]))))
+
+
+def likelihood(w: np.ndarray, free: np.ndarray, doc: np.ndarray, feature: np.ndarray, x: np.ndarray, grade: np.ndarray, penalty: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log-likelihood of the grades (0, 1, ...) less the L2 penalty, and its gradients by w and by free."""
+    n, rows, cuts = len(grade), np.arange(len(grade)), cuts_of(free)
+    score = np.bincount(doc, x * w[feature], n)
+    below = 1 / (1 + np.exp(np.clip(score[:, None] - cuts, -50, 50)))
+    edge = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), axis=1)
+    slope = edge * (1 - edge)
+    p = np.maximum(edge[rows, grade + 1] - edge[rows, grade], 1e-12)
+    up, low = slope[rows, grade + 1] / p, slope[rows, grade] / p
+    by_score = (low - up) / n
+    by_cut = np.array([(up * (grade == k)).sum() - (low * (grade == k + 1)).sum() for k in range(len(cuts))]) / n
+    by_w = np.bincount(feature, x * by_score[doc], len(w)) - penalty * w
+    tail = np.cumsum(by_cut[::-1])[::-1]  # a step moves its cut and all after it
+    return float(np.log(p).mean() - penalty / 2 * (w * w).sum()), by_w, np.concatenate((tail[:1], tail[1:] * np.exp(free[1:])))
+
+
+def train(texts: pa.Array, grades: np.ndarray, steps: int = 400) -> Model:
+    """Fits the model by full-batch Adam on the penalised likelihood."""
+    levels, grade = np.unique(np.asarray(grades, np.int64), return_inverse=True)
+    if len(levels) < 2:
+        return Model([], np.zeros(0), np.full(1, 50.0), np.arange(2))
+    names = _select(texts, (grade > 0).astype(np.int64))
     if not names:
-        return never
+        return Model([], np.zeros(0), np.full(len(levels) - 1, 50.0), levels)
     doc, feature, n = _counts(texts, pa.array(names, pa.large_string()))
-    whole = bad & np.array([x.endswith("=") for x in names])
-    heads = bad & ~np.array([x.endswith("=") for x in names])
-    occur = np.maximum(np.bincount(doc, n * whole[feature], len(toxic)), np.bincount(doc, n * heads[feature], len(toxic)) / len(HEADS))
-    grade = np.where(toxic == 1, 1 + np.searchsorted([2.5, 5.5], occur), 0)
-    x = np.log1p(n)
-    w, free = np.zeros(len(names)), np.array([2.0, 0.0, 0.0])
-    first, second = np.zeros(len(w) + 3), np.zeros(len(w) + 3)
-    rows = np.arange(len(grade))
+    x, m = np.log1p(n), len(names)
+    free = np.zeros(m + len(levels) - 1)
+    free[m] = 2.0
+    first, second = np.zeros_like(free), np.zeros_like(free)
     for step in range(1, steps + 1):
-        cuts = free[0] + np.concatenate(([0], np.cumsum(np.exp(free[1:]))))
-        score = np.bincount(doc, x * w[feature], len(grade))
-        below = 1 / (1 + np.exp(np.clip(score[:, None] - cuts, -50, 50)))
-        edge = np.concatenate((np.zeros((len(grade), 1)), below, np.ones((len(grade), 1))), axis=1)
-        slope = edge * (1 - edge)
-        hi, lo = edge[rows, grade + 1], edge[rows, grade]
-        p = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = slope[rows, grade + 1] / p, slope[rows, grade] / p
-        g_score = (d_lo - d_hi) / len(grade)
-        g_cut = np.array([(d_hi * (grade == k)).sum() - (d_lo * (grade == k + 1)).sum() for k in range(GRADES - 1)]) / len(grade)
-        g_w = np.bincount(feature, x * g_score[doc], len(w)) - 1e-4 * w
-        grow = np.exp(free[1:])
-        g_free = np.array([g_cut.sum(), g_cut[1:].sum() * grow[0], g_cut[2:].sum() * grow[1]])
-        g = np.concatenate((g_w, g_free))
+        _, by_w, by_free = likelihood(free[:m], free[m:], doc, feature, x, grade)
+        g = np.concatenate((by_w, by_free))
         first += 0.1 * (g - first)
         second += 0.01 * (g * g - second)
-        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
-        w += move[: len(w)]
-        free += move[len(w) :]
-    return Model(names, w, free[0] + np.concatenate(([0], np.cumsum(np.exp(free[1:])))))
+        free += 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
+    return Model(names, free[:m], cuts_of(free[m:]), levels)
+
+
+def grade_of(labels: DataFrame) -> F.Column:
+    """The grade of a label: its column grade or, without one, its mark toxic."""
+    return F.col("grade" if "grade" in labels.columns else "toxic").cast("long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """labels: key and toxic (0 or 1)."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").cast("long").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(sample)  # bounded, so it may be broadcast
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).orderBy(key).toArrow()
-    return train(rows[text].combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows["toxic"]))
+    """labels: key and grade, or key and toxic (0 or 1)."""
+    known = labels.select(F.col(key).alias("key"), grade_of(labels).alias("grade")).where("key is not null and grade is not null").groupBy("key").agg(F.max("grade").alias("grade"))
+    chosen = bounded_sample(known, sample, "key")  # bounded, so it may be broadcast
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    rows = bounded_texts(rows, sample, SAMPLE_BYTES, "text", "key", "text").toArrow()  # a key may have several texts
+    return train(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows["grade"]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, p_toxic (grade 1 or more), severity (expected grade), grade (most likely) and rejected."""
+    """key, p_toxic (a grade above 0), severity (expected grade), grade (most likely) and rejected."""
     bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)  # features of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            above = known.value.above(batch["text"])
+            model = known.value
+            above = model.above(batch["text"])
             edge = np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1)
-            grade = (edge[:, :-1] - edge[:, 1:]).argmax(axis=1)
-            yield pa.record_batch([batch["key"], pa.array(above[:, 0].round(6)), pa.array(above.sum(axis=1).round(6)), pa.array(grade, pa.int32()), pa.array(above[:, 0] >= REJECT)], names=["key", "p_toxic", "severity", "grade", "rejected"])
+            grade = model.levels[(edge[:, :-1] - edge[:, 1:]).argmax(axis=1)]
+            yield pa.record_batch([batch["key"], pa.array(above[:, 0].round(6)), pa.array(model.severity(above).round(6)), pa.array(grade, pa.int32()), pa.array(above[:, 0] >= REJECT)], names=["key", "p_toxic", "severity", "grade", "rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, p_toxic double, severity double, grade int, rejected boolean").withColumnRenamed("key", key)
