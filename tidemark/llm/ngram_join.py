@@ -1,33 +1,38 @@
 """Documents whose sets of word shingles have a Jaccard similarity of at least 3/4, by PartEnum signatures.
 
-Two sets of sizes m <= M with that similarity differ in at most (m + M) // 7 elements. The hashed domain of shingles is
-cut into parts; a set's signature in a part is a hash of all its elements there. As each differing element spoils one
-part at most, two such sets share all but (m + M) // 7 of their non-empty parts. Sets are dealt into bands of sizes
-[2**b, 2**(b + 1)); the number of parts follows the band, and a set also signs for the next band if it can be similar
-to a set there. A set with so few non-empty parts that all could be spoiled also signs its empty parts. Unlike PartEnum,
-subsets of parts are not enumerated: there are more parts than can be spoiled, and a count filter does the rest.
+Two sets of sizes m <= M with that similarity differ in (m + M) // 7 elements at most. Sets are dealt into bands of sizes
+[2**b, 2**(b + 1)); a set also signs for the next band if it can be similar to a set there, so that a similar pair has
+the larger one's band in common. The hashed domain of shingles is cut into first-level parts, whose number follows the
+band, and each of these into CELLS second-level parts. There are so many first-level parts that in one at least a similar
+pair differs in SPOIL second-level parts at most. The signatures of a set are, for each first-level part and each subset
+of CELLS - SPOIL of its second-level parts, a hash of all the set's elements in there: a similar pair shares one of them.
 
-What follows the signatures, all exact:
+Signatures of no element at all would be shared by very many sets. A set leaves them out if it has so many elements
+that, however a similar set differs, a signature with elements is shared; a count of the differences that would spoil
+each part tells. It also tells in how many parts at least one is shared. A set with fewer such parts has no partner, and
+of the others each leaves out what is more frequent than the signatures of all but so many parts.
+
+What follows, all exact:
 
 * texts that are equal are one representative first;
-* signatures that only one representative has are dropped, and then representatives that have fewer shared signatures
-  than a similar set would share;
-* of the rest, each leaves out its most frequent ones, one less than it would have to share;
-* in every group with one signature, all members are compared with the least; links are made from pairs whose sets
-  pass the test, and components from links. A pair inside one component needs no comparison, so a group of copies
-  costs as many comparisons as it has members;
-* for members of a group that still are in different components, one more count over their shingles finds those that
-  some other component has too; only these can be in a link between components, and a set needs three quarters of its
-  size of them. First the members of each group with the largest such share are compared with the others, as one link
-  joins whole components. Then, for all that is left, documents are compared that share one of their rarest such
-  shingles, when of each as many are put aside as a link needs at least (a prefix filter; it loses no link).
-
-Signatures travel packed in binary blocks (10 bytes each), dealt by their hash.
+* in every group with one signature, the members are compared with the least one; links are made from pairs whose sets
+  pass the test, and components from links. A pair inside one component needs no comparison, so a group of copies costs
+  as many comparisons as it has members;
+* in groups of SMALL members at most, those of different components are compared with each other;
+* the members of larger groups that still hold different components are compared with HUBS other members, and then the
+  groups are split: two sets that are similar share one of their rarest shingles that other components have too, when
+  of each as many are put aside as the pair needs. A set needs three quarters of its size of such shingles to take part;
+* before the sets of a pair meet, short sketches of them must: bits that tell for each bucket of shingles whether there
+  is an odd number in it. Each bit that differs is a difference of the sets.
+
+Documents travel in packed rows, each the owner of its signatures or shingles. What is asked about a key (how often it
+occurs, in how many components) is asked once by each owner and answered to it, and a group's least member is found
+among each owner's members first. So a key that very many documents have brings a task one entry for each owner.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,73 +40,111 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, shuffle_width, slices
+from .common import join_counted, lean, materialize, release, shuffle_width, slices
 from .components import components
-from .copies import BROADCAST_IDS, exact_copies, only
+from .copies import BROADCAST_IDS, exact_copies, keyed, named, only
 from .hashing import mix, shingle_sets, word_hashes
 
 #: Words in a shingle.
 SHINGLE = 5
-#: Signatures that a task sorts at once, about.
-BLOCK_SIGNATURES = 2_000_000
-#: Before all pairs that may link components are tested, those with so many members at the centre of each group are.
-CENTRES = 4
-
-
-def parts_of_band(band: np.ndarray) -> np.ndarray:
-    """How many parts the domain is cut into for pairs whose larger set is in this band."""
-    top = (np.int64(2) << band.astype(np.int64)) - 1
-    return np.where(top <= 15, 4 * top, np.where(top <= 127, top, -(-9 * top // 20)))
-
-
-def most_spoiled(m: np.ndarray) -> np.ndarray:
-    """The most parts that can differ between a set of m elements and any similar one."""
-    return (m + 4 * m // 3) // 7
-
-
-def signatures(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document index, signature) of every signature, and needs[document, parity of band]: how many a similar set shares.
-
-    The lowest bit of a signature is its band's parity: a set signs for two neighbouring bands at most.
+#: Second-level parts of a first-level part, and how many of them may differ.
+CELLS, SPOIL = 3, 1
+SUBSETS = ((0, 1), (0, 2), (1, 2))
+#: Members of a group that are compared with each other without more ado.
+SMALL = 32
+#: Members that larger groups are compared with before they are split.
+HUBS = 8
+#: Signatures or shingles of one owner, about, and bytes of text for each task that answers.
+HELD, BLOCK_BYTES = 500_000, 16_000_000
+#: Members of a group that one task compares with each other at once.
+WIDE = 4_000
+#: Bits of a sketch.
+SKETCH = 1_024
+
+
+def first_parts(band: np.ndarray) -> np.ndarray:
+    """How many first-level parts the domain has for pairs whose larger set is in this band."""
+    differ = 2 * ((np.int64(2) << band.astype(np.int64)) - 1) // 7
+    # One more than can be spoiled, and some more for parts with too few elements.
+    return -(-11 * differ // 20) + 1
+
+
+def signatures(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(2 * document + parity of band, part, signature), and needs[2 * document + parity]: in how many parts a similar set shares one.
+
+    A set signs for two neighbouring bands at most. Rows are in order of the first two. needs is 0 for a set whose
+    shared signature may be one of no element; it has these too.
     """
     sizes = np.diff(ends, prepend=0)
-    needs = np.zeros((len(sizes), 2), np.int64)
     band = np.where(sizes > 0, np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+    needs = np.zeros(2 * len(sizes), np.int64)
     doc_of = np.repeat(np.arange(len(sizes)), sizes)
     mixed, high = mix(values), values >> np.uint64(32)
-    docs, sigs = [], []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for step in (0, 1):
-        takes = (sizes > 0) & ((step == 0) | (4 * sizes >= 3 << (band + 1)))
-        own = band + step
-        n = parts_of_band(own)
-        if step:
-            chosen = takes[doc_of]
-            d, h, x = doc_of[chosen], high[chosen], mixed[chosen]
-        else:
-            d, h, x = doc_of, high, mixed
-        if not len(d):
+        takes = np.flatnonzero((sizes > 0) & ((step == 0) | (4 * sizes >= 3 << (band + 1))))
+        if not len(takes):
             continue
-        part = ((h * n[d].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-        total = np.add.reduceat(x, first)
-        d, part = d[first], part[first]
-        filled = np.bincount(d, minlength=len(sizes))
-        spoiled = most_spoiled(sizes)
-        weak = np.flatnonzero(takes & (filled <= spoiled))
-        if len(weak):  # so few filled parts that all may differ: the empty ones sign too
-            empty = [(i, np.setdiff1d(np.arange(n[i]), part[d == i])) for i in weak.tolist()]
-            d = np.concatenate([d, *(np.full(len(p), i) for i, p in empty)])
-            part = np.concatenate([part, *(p for _, p in empty)])
-            total = np.concatenate([total, np.zeros(sum(len(p) for _, p in empty), np.uint64)])
-        needs[np.arange(len(sizes)), own & 1] = np.where(takes, np.maximum(1, filled - spoiled), needs[np.arange(len(sizes)), own & 1])
-        sig = mix(total + mix(part.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + own[d].astype(np.uint64)))
-        docs.append(d)
-        sigs.append((sig & ~np.uint64(1)) | (own[d] & 1).astype(np.uint64))
-    return np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(sigs or [np.zeros(0, np.uint64)]), needs
+        own, m = band[takes] + step, sizes[takes]
+        n = first_parts(own)
+        base, place = CELLS * (np.cumsum(n) - n), np.full(len(sizes), -1)
+        place[takes] = np.arange(len(takes))
+        at = place[doc_of]
+        chosen = at >= 0
+        at, x, h = at[chosen], mixed[chosen], high[chosen]
+        cell = base[at] + ((h * (CELLS * n[at]).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)  # ascending, as values are
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        sums, filled = np.zeros(CELLS * int(n.sum()), np.uint64), np.zeros(CELLS * int(n.sum()), bool)
+        sums[cell[first]], filled[cell[first]] = np.add.reduceat(x, first), True
+        sums, filled = sums.reshape(-1, CELLS), filled.reshape(-1, CELLS)
+        who = np.repeat(np.arange(len(takes)), n)
+        part = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        # A part with elements in one cell is spoiled by one difference, one with elements in more by SPOIL + 1.
+        in_cells = filled.sum(axis=1)
+        empty, single = np.bincount(who[in_cells == 0], minlength=len(takes)), np.bincount(who[in_cells == 1], minlength=len(takes))
+        largest = np.minimum(4 * m // 3, (np.int64(2) << own) - 1)
+        differ = (m + largest) // 7
+        safe = n - empty - np.minimum(single, differ) - np.minimum(n - empty - single, np.maximum(differ - single, 0) // (SPOIL + 1))
+        needs[2 * takes + (own & 1)] = safe
+        rows, parts, sigs = [], [], []
+        for s, cells in enumerate(SUBSETS):
+            keep = filled[:, cells].any(axis=1) | (safe < 1)[who]
+            code = (part * len(SUBSETS) + s).astype(np.uint64) * np.uint64(64) + own[who].astype(np.uint64)
+            rows.append((2 * takes + (own & 1))[who][keep])
+            parts.append(part[keep])
+            sigs.append(mix(sums[:, cells].sum(axis=1) + mix(code))[keep])
+        out.append(tuple(np.concatenate(c) for c in (rows, parts, sigs)))
+    row, part, sig = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.uint64 if i == 2 else np.int64) for i in range(3))
+    order = np.lexsort((part, row))
+    return row[order], part[order], sig[order], needs
+
+
+def chosen(row: np.ndarray, part: np.ndarray, sig: np.ndarray, df: np.ndarray, needs: np.ndarray) -> np.ndarray:
+    """Which signatures, in order of row and part, a document looks for partners with, if df documents have each.
+
+    Of the signatures that a similar pair shares take the rarest one: in needs - 1 other parts both have one that is no
+    rarer. So it is no more frequent than the most frequent signature of each of needs parts, in either document.
+    """
+    keep = np.flatnonzero(df > 1)
+    if not len(keep):
+        return keep
+    row, part = row[keep], part[keep]
+    rank = np.minimum(df[keep], 2**32 - 1).astype(np.uint64) << np.uint64(32) | sig[keep] >> np.uint64(32)
+    begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    most, owner = np.maximum.reduceat(rank, begins), row[begins]
+    order = np.lexsort((~most, owner))
+    most, owner = most[order], owner[order]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    n = np.diff(np.append(first, len(owner)))
+    need = np.maximum(needs[owner[first]], 1)
+    limit, enough = np.zeros(len(needs), np.uint64), np.zeros(len(needs), bool)
+    enough[owner[first]] = n >= need
+    limit[owner[first]] = most[first + np.minimum(need, n) - 1]
+    return keep[enough[row] & (rank <= limit[row])]
 
 
 def _blocks(keys: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Rows by key."""
+    """Rows by key, in order."""
     if not len(keys):
         return
     order = np.argsort(keys, kind="stable")
@@ -111,239 +154,347 @@ def _blocks(keys: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[
         yield int(keys[b]), {k: v[order[b:e]] for k, v in columns.items()}
 
 
-_BLOB = "block int, kind int, docs binary, a binary, b binary, c binary"
+def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return ((keys >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _blob(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "kind", "docs", "a", "b", "c"])
+#: A packed row: the owner of documents, with a key of each (key, who: the place of its document) and more.
+_HELD = "owner long, docs binary, m binary, c binary, needs binary, who binary, part binary, keys binary"
+_TYPES = {"docs": "<i8", "m": "<i8", "c": "<i8", "needs": "<i4", "who": "<i4", "part": "<i4", "keys": "<u8"}
 
 
-def _joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x or b"" for x in table[column].to_pylist()), dtype)
+def _hold(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], text: str = "text", chars: int = 1_000_000) -> DataFrame:
+    """Packed rows of what read gives of each batch: docs, m, c, needs (2 a document), and for each key who, part, keys."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _doc_block(docs: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(docs.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        owner, held, base, n = TaskContext.get().partitionId() << 32, [], 0, 0
 
+        def flush() -> pa.RecordBatch:
+            raw = [np.concatenate([h[k] for h in held]).astype(t).tobytes() for k, t in _TYPES.items()]
+            return pa.record_batch([pa.array([owner], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], names=["owner", *_TYPES])
 
-def _sign(docs: DataFrame, blocks: int) -> DataFrame:
-    """kind 0: sizes and needs of documents, dealt by document; kind 1: signatures, dealt by signature."""
+        for batch in slices(batches, text, chars):
+            found = read(batch)
+            none = np.zeros(0, np.int64)
+            held.append({k: found.get(k, none) for k in _TYPES} | {"who": found["who"] + base})
+            base, n = base + batch.num_rows, n + len(found["keys"])
+            if n >= HELD:
+                yield flush()
+                owner, held, base, n = owner + 1, [], 0, 0
+        if held:
+            yield flush()
 
-    def flush(docs: list, sizes: list, needs: list, who: list, sigs: list) -> pa.RecordBatch:
-        ids, m, need, w, s = np.concatenate(docs), np.concatenate(sizes), np.concatenate(needs), np.concatenate(who), np.concatenate(sigs)
-        rows = []
-        for block, x in _blocks(_doc_block(ids, blocks), {"ids": ids, "m": m, "need": need}):
-            rows.append((block, 0, x["ids"].astype("<i8").tobytes(), x["m"].astype("<i4").tobytes(), x["need"].astype("<i4").tobytes(), None))
-        for block, x in _blocks(((s >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64), {"w": w, "s": s}):
-            own, at = np.unique(x["w"], return_inverse=True)
-            for k in range(0, len(own), 1 << 16):  # the place in docs has two bytes
-                here = (at >= k) & (at < k + (1 << 16))
-                rows.append((block, 1, ids[own[k : k + (1 << 16)]].astype("<i8").tobytes(), (at[here] - k).astype("<u2").tobytes(), x["s"][here].astype("<u8").tobytes(), None))
-        return _blob(rows)
+    return docs.mapInArrow(run, _HELD)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, base, n = ([], [], [], [], []), 0, 0
-        for batch in slices(batches, chars=1_000_000):
-            words, ends = word_hashes(batch["text"])
-            values, ends = shingle_sets(words, ends, SHINGLE)
-            who, sigs, needs = signatures(values, ends)
-            for to, x in zip(held, (np.asarray(batch["doc_id"]), np.diff(ends, prepend=0), needs, who + base, sigs), strict=True):
-                to.append(x)
-            base, n = base + batch.num_rows, n + len(sigs)
-            if n >= BLOCK_SIGNATURES:
-                yield flush(*held)
-                held, base, n = ([], [], [], [], []), 0, 0
-        if base:
-            yield flush(*held)
 
-    return docs.mapInArrow(run, _BLOB)
+def _unpack(table: pa.Table) -> dict[str, np.ndarray]:
+    return {k: np.frombuffer(table[k][0].as_buffer(), t) for k, t in _TYPES.items()}
 
 
-def _share(signed: DataFrame, blocks: int) -> DataFrame:
-    """Signatures that two or more have, with their numbers, dealt by document; sizes go along."""
+def _asked(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, in which place of them each key is, and the order in which they are asked about."""
+    each, at = np.unique(keys, return_inverse=True)
+    return each, at, np.argsort(_block_of(each, blocks), kind="stable")
 
-    def run(table: pa.Table) -> pa.Table:
-        out = []
-        sizes = table.filter(pc.equal(table["kind"], 0))
-        for row in sizes.to_pylist():
-            out.append((row["block"], 0, row["docs"], row["a"], row["b"], None))
-        signed = table.filter(pc.equal(table["kind"], 1))
-        if signed.num_rows:
-            ids = [np.frombuffer(x, "<i8") for x in signed["docs"].to_pylist()]
-            docs = np.concatenate([d[np.frombuffer(a, "<u2")] for d, a in zip(ids, signed["a"].to_pylist(), strict=True)])
-            sigs = _joined(signed, "b", "<u8")
-            order = np.argsort(sigs)
-            sigs, docs = sigs[order], docs[order]
-            first = np.flatnonzero(np.diff(sigs, prepend=sigs[:1] ^ np.uint64(1)))
-            n = np.diff(np.append(first, len(sigs)))
-            df = np.repeat(n, n)
-            keep = df > 1
-            docs, sigs, df = docs[keep], sigs[keep], df[keep]
-            for block, x in _blocks(_doc_block(docs, blocks), {"docs": docs, "sigs": sigs, "df": df}):
-                out.append((block, 1, x["docs"].astype("<i8").tobytes(), None, x["sigs"].tobytes(), np.minimum(x["df"], 2**32 - 1).astype("<u4").tobytes()))
-        return pa.Table.from_batches([_blob(out)])
-
-    return signed.groupBy("block").applyInArrow(lean(run), _BLOB)
-
-
-def _choose(shared: DataFrame) -> DataFrame:
-    """doc_id, m and the signatures to look for partners with (null: it can have none)."""
 
-    def run(table: pa.Table) -> pa.Table:
-        sized = table.filter(pc.equal(table["kind"], 0))
-        docs, m, need = _joined(sized, "docs", "<i8"), _joined(sized, "a", "<i4"), _joined(sized, "b", "<i4").reshape(-1, 2)
-        order = np.argsort(docs)
-        docs, m, need = docs[order], m[order], need[order]
-        found = table.filter(pc.equal(table["kind"], 1))
-        own, sigs, df = _joined(found, "docs", "<i8"), _joined(found, "b", "<u8"), _joined(found, "c", "<u4")
-        at = np.searchsorted(docs, own)
-        parity = (sigs & np.uint64(1)).astype(np.int64)
-        group = 2 * at + parity
-        order = np.lexsort((sigs, -df.astype(np.int64), group))
-        group, sigs = group[order], sigs[order]
-        n = np.bincount(group, minlength=2 * len(docs))
-        rank = np.arange(len(group)) - (np.cumsum(n) - n)[group]
-        keep = (n >= need.reshape(-1))[group] & (rank >= need.reshape(-1)[group] - 1)
-        group, sigs = group[keep], sigs[keep]
-        ends = np.searchsorted(group, 2 * np.arange(len(docs)) + 2)
-        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        lists = [sigs[b:e].astype("<u8").tobytes() if e > b else None for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "m": pa.array(m, pa.int32()), "sigs": pa.array(lists, pa.binary())})
-
-    return shared.groupBy("block").applyInArrow(lean(run), "doc_id long, m int, sigs binary")
-
-
-def _grouped(members: DataFrame, blocks: int, ranked: bool = False) -> DataFrame:
-    """members (doc_id, m, c, sigs) as blocks of signatures; ranked: m less 1 for each signature before."""
+def _answered(held: DataFrame, blocks: int, use: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What use makes of each packed row, of how many documents have each key, and whether those are of two components or more."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _unpack(batch.slice(i, 1))
+                each, at, _ = _asked(x["keys"], blocks)
+                if not len(each):
+                    continue
+                c = x["c"][x["who"]] if len(x["c"]) else np.zeros(len(at), np.int64)
+                order = np.argsort(at, kind="stable")
+                first = np.searchsorted(at[order], np.arange(len(each)))
+                facts = {"keys": each, "n": np.bincount(at).astype("<u4"), "low": np.minimum.reduceat(c[order], first), "high": np.maximum.reduceat(c[order], first)}
+                rows = [(block, batch["owner"][i].as_py(), *(y[k].tobytes() for k in facts)) for block, y in _blocks(_block_of(each, blocks), facts)]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "owner", *facts])
+
+    def answer(table: pa.Table) -> pa.Table:
+        join = lambda k, t: np.frombuffer(b"".join(table[k].to_pylist()), t)
+        keys, n, low, high = join("keys", "<u8"), join("n", "<u4"), join("low", "<i8"), join("high", "<i8")
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        size = np.diff(np.append(first, len(keys)))
+        total, foreign = np.zeros(len(keys), "<u4"), np.zeros(len(keys), np.uint8)
+        total[order] = np.repeat(np.minimum(np.add.reduceat(n[order].astype(np.int64), first), 2**32 - 1), size)
+        foreign[order] = np.repeat(np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first), size)
+        cuts = np.cumsum([len(x) // 8 for x in table["keys"].to_pylist()])[:-1]
+        split = lambda x: pa.array([y.tobytes() for y in np.split(x, cuts)], pa.binary())
+        return pa.table({"owner": table["owner"], "block": table["block"], "total": split(total), "foreign": split(foreign)})
+
+    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
+        x = _unpack(own)
+        each, at, order = _asked(x["keys"], blocks)
+        answers = answers.sort_by("block")
+        total, foreign = np.zeros(len(each), np.int64), np.zeros(len(each), bool)
+        total[order] = np.frombuffer(b"".join(answers["total"].to_pylist()), "<u4")
+        foreign[order] = np.frombuffer(b"".join(answers["foreign"].to_pylist()), np.uint8)
+        out = use(x, total[at], foreign[at])
+        release()
+        return out
+
+    asked = held.mapInArrow(ask, "block long, owner long, keys binary, n binary, low binary, high binary")
+    answers = asked.groupBy("block").applyInArrow(lean(answer), "owner long, block long, total binary, foreign binary")
+    return held.groupBy("owner").cogroup(answers.groupBy("owner")).applyInArrow(finish, schema)
+
+
+def _lists(who: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Values (in order of who) as one binary for each of n documents, null where there are none."""
+    cuts = np.searchsorted(who, np.arange(n + 1))
+    return pa.array([values[b:e].astype("<u8").tobytes() if e > b else None for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
+        row, part, sig, needs = signatures(values, ends)
+        return {"docs": np.asarray(batch["doc_id"]), "m": np.diff(ends, prepend=0), "needs": needs, "who": row // 2, "part": 2 * part + row % 2, "keys": sig}
+
+    return _hold(docs, read)
+
+
+def _members(signed: DataFrame, blocks: int) -> DataFrame:
+    """doc_id, m and its signatures that others have too: few, of groups of SMALL at most, and many, of larger ones."""
+
+    def use(x: dict[str, np.ndarray], df: np.ndarray, _: np.ndarray) -> pa.Table:
+        row = 2 * x["who"].astype(np.int64) + x["part"] % 2
+        keep = chosen(row, x["part"] // 2, x["keys"], df, x["needs"].astype(np.int64))
+        who, sigs, small = x["who"][keep], x["keys"][keep], df[keep] <= SMALL
+        n = len(x["docs"])
+        return pa.table({"doc_id": pa.array(x["docs"]), "m": pa.array(x["m"]), "few": _lists(who[small], sigs[small], n), "many": _lists(who[~small], sigs[~small], n)})
+
+    return _answered(signed, blocks, use, "doc_id long, m long, few binary, many binary")
+
+
+_GROUPS = "block long, docs binary, m binary, c binary, keys binary, others binary"
+
+
+def _runs(keys: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, begins, ends) of the runs of equal keys, each in order of then (the last first)."""
+    if not len(keys):
+        return (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((*then, keys))
+    first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    return order, first, np.append(first[1:], len(keys))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "sigs", 8 * BLOCK_SIGNATURES):
-            lists = [np.frombuffer(x, "<u8") for x in batch["sigs"].to_pylist()]
-            n, sigs = np.fromiter(map(len, lists), np.int64, len(lists)), np.concatenate(lists)
-            columns = {k: np.repeat(np.asarray(batch[k]).astype("<i8"), n) for k in ("doc_id", "m", "c")}
-            if ranked:
-                columns["m"] -= np.arange(len(sigs)) - np.repeat(np.cumsum(n) - n, n)
-            rows = [(block, 1, x["doc_id"].tobytes(), x["m"].tobytes(), x["s"].tobytes(), x["c"].tobytes()) for block, x in _blocks(((sigs >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64), columns | {"s": sigs})]
-            yield _blob(rows)
 
-    return members.where("sigs is not null").select("doc_id", "m", "c", "sigs").mapInArrow(run, _BLOB)
+def _spread(batch: pa.RecordBatch, column: str) -> dict[str, np.ndarray]:
+    """docs, m, c and keys: a row for each key in the lists of a column."""
+    lists = [np.frombuffer(x, "<u8") for x in batch[column].to_pylist()]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    out = {k: np.repeat(np.asarray(batch[c]).astype("<i8"), n) for k, c in (("docs", "doc_id"), ("m", "m"), ("c", "c"))}
+    return out | {"keys": np.concatenate(lists)}
 
 
-def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(docs, m, c, begins, ends) of the runs of equal signatures with two members or more, members ascending."""
-    docs, m, sigs, c = _joined(table, "docs", "<i8"), _joined(table, "a", "<i8"), _joined(table, "b", "<u8"), _joined(table, "c", "<i8")
-    order = np.lexsort((docs, sigs))
-    docs, m, sigs, c = docs[order], m[order], sigs[order], c[order]
-    first = np.flatnonzero(np.diff(sigs, prepend=sigs[:1] ^ np.uint64(1)))
-    ends = np.append(first[1:], len(sigs))
-    keep = ends - first > 1
-    return docs, m, c, first[keep], ends[keep]
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(6)], names=[x.split()[0] for x in _GROUPS.split(", ")])
+
+
+def _joined(table: pa.Table, column: str, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(b"".join(x or b"" for x in table[column].to_pylist()), kind)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    both = np.unique(np.stack((a, b), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
 
-def _stars(members: DataFrame, blocks: int) -> DataFrame:
-    """(a, b): in each group, the least member a with every other whose size allows a link."""
+def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1) -> DataFrame:
+    """(a, b): in each group the first member with every other of another component whose size allows a link.
+
+    The first is the least of each owner's members, and then of these; with hubs, one by a hash that differs between
+    so many kinds of signatures.
+    """
+
+    def star(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the hubs, and of pairs with them."""
+        by = x["docs"].astype(np.uint64)
+        order, begins, ends = _runs(x["keys"], by if hubs == 1 else mix(by + (x["keys"] % np.uint64(hubs)) * np.uint64(0x9E3779B97F4A7C15)))
+        hub = np.repeat(order[begins], ends - begins)
+        m, c = x["m"], x["c"]
+        fits = (order != hub) & (c[order] != c[hub]) & (4 * np.minimum(m[order], m[hub]) >= 3 * np.maximum(m[order], m[hub]))
+        return order[begins], hub[fits], order[fits]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column, 8 * HELD):
+            x = _spread(batch, column)
+            first, a, b = star(x)
+            met = _pairs(x["docs"][a], x["docs"][b])
+            a, b = np.asarray(met["a"]).astype("<i8"), np.asarray(met["b"]).astype("<i8")
+            rows = [(block, y["docs"].tobytes(), y["m"].tobytes(), y["c"].tobytes(), y["keys"].tobytes(), None) for block, y in _blocks(_block_of(x["keys"][first], blocks), {k: v[first] for k, v in x.items()})]
+            rows += [(block, None, y["a"].tobytes(), None, None, y["b"].tobytes()) for block, y in _blocks(b % blocks, {"a": a, "b": b})]
+            yield _packed(rows)
 
     def run(table: pa.Table) -> pa.Table:
-        docs, m, _, begins, ends = _runs(table)
-        n = ends - begins
-        hub = np.repeat(begins, n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + hub
-        fits = (at != hub) & (4 * np.minimum(m[at], m[hub]) >= 3 * np.maximum(m[at], m[hub]))
-        return _pairs(docs[hub[fits]], docs[at[fits]])
+        known = table.filter(pc.is_valid(table["others"]))
+        table = table.filter(pc.is_null(table["others"]))
+        x = {k: _joined(table, k, _TYPES[k]) for k in ("docs", "m", "c", "keys")}
+        _, a, b = star(x)
+        return _pairs(np.concatenate((_joined(known, "m"), x["docs"][a])), np.concatenate((_joined(known, "others"), x["docs"][b])))
 
-    return _grouped(members, blocks).groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
+    rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column)
+    return rows.mapInArrow(local, _GROUPS).groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
 
 
-def _mixed(members: DataFrame, blocks: int) -> DataFrame:
-    """doc_id of the members of groups that have more than one component c."""
+def _allowed(m: np.ndarray, c: np.ndarray, use: np.ndarray, own: slice, other: slice) -> np.ndarray:
+    """Of two ranges of members (by m), which pairs are of two components and may be similar, by sizes and shared shingles at most."""
+    most = 7 * use // 3 - m  # the largest size of a partner
+    ok = (c[own, None] != c[None, other]) & (m[None, other] <= most[own, None])
+    return ok & (m[own, None] <= most[None, other])
+
+
+def _within(members: DataFrame, column: str, blocks: int, ranked: bool = False) -> DataFrame:
+    """(a, b): in each group all pairs of two components whose sizes allow a link.
+
+    ranked: m holds use << 32 | size, and the lists are in the order of each document's rarest shingles: what is
+    before a group's own shingle does not count, as a pair that shares it is found there.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column, 8 * HELD):
+            x = _spread(batch, column)
+            if ranked:
+                n = np.asarray(pc.binary_length(batch[column])).astype(np.int64) // 8
+                x["m"] = x["m"] - ((np.arange(len(x["m"])) - np.repeat(np.cumsum(n) - n, n)) << 32)
+            yield _packed([(block, y["docs"].tobytes(), y["m"].tobytes(), y["c"].tobytes(), y["keys"].tobytes(), None) for block, y in _blocks(_block_of(x["keys"], blocks), x)])
+
+    def pairs(docs: np.ndarray, m: np.ndarray, c: np.ndarray, use: np.ndarray, cut: int) -> pa.Table:
+        """All pairs, or only those of a member before the cut with one after it."""
+        n = len(docs)
+        own, other = (slice(0, cut), slice(cut, n)) if cut else (slice(0, n), slice(0, n))
+        i, j = np.nonzero(_allowed(m, c, use, own, other))
+        j = j + (cut or 0)
+        keep = i < j
+        return _pairs(docs[i[keep]], docs[j[keep]])
 
     def run(table: pa.Table) -> pa.Table:
-        docs, _, c, begins, ends = _runs(table)
-        found = [docs[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True) if (c[b:e] != c[b]).any()]
-        return pa.table({"doc_id": pa.array(np.unique(np.concatenate(found)) if found else [], pa.int64())})
+        docs, both, c, keys = (_joined(table, k, t) for k, t in (("docs", "<i8"), ("m", "<i8"), ("c", "<i8"), ("keys", "<u8")))
+        m, use = (both & 0xFFFFFFFF, both >> 32) if ranked else (both, both)
+        order, begins, ends = _runs(keys, docs, m)
+        size, most = ends - begins, 7 * use // 3 - m
+        a, b, wide = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        # Groups of few members, all at once: each with the next one, then with the one after that, and so on.
+        few = np.repeat(size <= 2 * SMALL, size)
+        own, group = order[few], np.repeat(np.arange(len(size)), size)[few]
+        apart, i = 1, np.arange(len(own))
+        while len(i := i[i + apart < len(own)]) and len(i := i[group[i] == group[i + apart]]):
+            x, y = own[i], own[i + apart]
+            ok = (c[x] != c[y]) & (m[y] <= most[x]) & (m[x] <= most[y])
+            a.append(docs[x[ok]])
+            b.append(docs[y[ok]])
+            apart += 1
+            if sum(map(len, a)) > 4 * HELD:  # many of them are the same
+                met = _pairs(np.concatenate(a), np.concatenate(b))
+                a, b = [np.asarray(met["a"])], [np.asarray(met["b"])]
+        for at, end in zip(begins[size > 2 * SMALL].tolist(), ends[size > 2 * SMALL].tolist(), strict=True):
+            own = order[at:end]
+            # A member that not even the smallest one can be similar to takes no part; without it others may not either.
+            while len(own) and not (fit := most[own] >= m[own].min()).all():
+                own = own[fit]
+            if len(own) < 2 or (c[own] == c[own[0]]).all():
+                continue
+            if len(own) <= WIDE:
+                met = pairs(docs[own], m[own], c[own], use[own], 0)
+                a.append(np.asarray(met["a"]))
+                b.append(np.asarray(met["b"]))
+                continue
+            parts = [own[k : k + WIDE] for k in range(0, len(own), WIDE)]  # by size, so most pairs of parts are too far apart
+            for k, p in enumerate(parts):
+                wide += [(k * len(parts) + j, *(x[np.concatenate((p, q)) if j > k else p].tobytes() for x in (docs, both, c)), np.array([len(p) if j > k else 0], "<u8").tobytes(), None) for j, q in enumerate(parts[k:], k) if m[q[0]] <= most[p].max()]
+        met = _pairs(np.concatenate(a), np.concatenate(b))
+        n = met.num_rows
+        rest = pa.Table.from_batches([_packed(wide)])
+        return pa.table({"a": pa.concat_arrays([met["a"].combine_chunks(), pa.nulls(len(wide), pa.int64())]), "b": pa.concat_arrays([met["b"].combine_chunks(), pa.nulls(len(wide), pa.int64())])} | {k: pa.concat_arrays([pa.nulls(n, rest[k].type), rest[k].combine_chunks()]) for k in rest.column_names})
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                table = batch.slice(i, 1)
+                both = _joined(table, "m")
+                m, use = (both & 0xFFFFFFFF, both >> 32) if ranked else (both, both)
+                yield from pairs(_joined(table, "docs"), m, _joined(table, "c"), use, int(_joined(table, "keys")[0])).to_batches()
+
+    rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column)
+    met = materialize(rows.mapInArrow(deal, _GROUPS).groupBy("block").applyInArrow(lean(run), "a long, b long, " + _GROUPS), "met")
+    split = met.where("a is null").drop("a", "b").repartition(blocks).mapInArrow(wide, "a long, b long")
+    return met.where("a is not null").select("a", "b").unionByName(split).distinct()
+
+
+def _mixed(members: DataFrame, blocks: int) -> DataFrame:
+    """doc_id and c of the members of large groups that have more than one component c."""
 
-    return _grouped(members, blocks).groupBy("block").applyInArrow(lean(run), "doc_id long").distinct()
+    def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        x = _spread(batch, "many")
+        n = np.asarray(pc.binary_length(batch["many"])).astype(np.int64) // 8
+        return {"docs": np.asarray(batch["doc_id"]), "c": np.asarray(batch["c"]), "who": np.repeat(np.arange(batch.num_rows), n), "keys": x["keys"]}
+
+    def use(x: dict[str, np.ndarray], _: np.ndarray, foreign: np.ndarray) -> pa.Table:
+        own = np.unique(x["who"][foreign])
+        return pa.table({"doc_id": pa.array(x["docs"][own]), "c": pa.array(x["c"][own])})
+
+    rows = members.where("many is not null").select("doc_id", "m", "c", "many")
+    return _answered(materialize(_hold(rows, read, "many", 8 * HELD), "held"), blocks, use, "doc_id long, c long")
 
 
 def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, its shingles that some other component of the documents in parts (doc_id, c) has too, rarest first, and their number, usable."""
+    """doc_id, c and m of the documents in parts (doc_id, c), and use, their rarest shingles, of those that another component has too.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, chars=1_000_000):
-            values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
-            at = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
-            ids, c = np.asarray(batch["doc_id"]).astype("<i8"), np.asarray(batch["c"]).astype("<i8")
-            yield _blob([(block, 1, x["d"].tobytes(), x["c"].tobytes(), x["v"].astype("<u8").tobytes(), None) for block, x in _blocks((values % np.uint64(blocks)).astype(np.int64), {"d": ids[at], "c": c[at], "v": values})])
-
-    def foreign(table: pa.Table) -> pa.Table:
-        docs, c, values = _joined(table, "docs", "<i8"), _joined(table, "a", "<i8"), _joined(table, "b", "<u8")
-        order = np.lexsort((c, values))
-        docs, c, values = docs[order], c[order], values[order]
-        first = np.flatnonzero(np.diff(values, prepend=values[:1] ^ np.uint64(1)))
-        n = np.diff(np.append(first, len(values)))
-        several = np.repeat(c[first] != c[first + n - 1], n)
-        docs, values, df = docs[several], values[several], np.repeat(n, n)[several]
-        return pa.Table.from_batches([_blob([(block, 1, x["d"].tobytes(), x["n"].astype("<i4").tobytes(), x["v"].tobytes(), None) for block, x in _blocks(_doc_block(docs, blocks), {"d": docs, "n": df, "v": values})])])
-
-    def gather(table: pa.Table) -> pa.Table:
-        docs, df, values = _joined(table, "docs", "<i8"), _joined(table, "a", "<i4"), _joined(table, "b", "<u8")
-        order = np.lexsort((values, df, docs))
-        docs, values = docs[order], values[order]
-        own, first = np.unique(docs, return_index=True)
-        lists = [x.astype("<u8").tobytes() for x in np.split(values, first[1:])] if len(own) else []
-        return pa.table({"doc_id": pa.array(own, pa.int64()), "usable": pa.array([len(x) // 8 for x in lists], pa.int32()), "sigs": pa.array(lists, pa.binary())})
+    m is the number of these << 32 | the size. Documents with less than three quarters of their size of them are left
+    out; of the others as many are in use as a similar set has one of at least.
+    """
+
+    def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
+        n = np.diff(ends, prepend=0)
+        return {"docs": np.asarray(batch["doc_id"]), "m": n, "c": np.asarray(batch["c"]), "who": np.repeat(np.arange(batch.num_rows), n), "keys": values}
+
+    def use(x: dict[str, np.ndarray], df: np.ndarray, foreign: np.ndarray) -> pa.Table:
+        n, m = len(x["docs"]), x["m"].astype(np.int64)
+        who, keys, df = x["who"][foreign], x["keys"][foreign], df[foreign]
+        order = np.lexsort((keys, df, who))
+        who, keys = who[order], keys[order]
+        count = np.bincount(who, minlength=n)
+        place = np.arange(len(who)) - (np.cumsum(count) - count)[who]
+        keep = (4 * count >= 3 * m)[who] & (place < (count - -(-3 * m // 4) + 1)[who])
+        return pa.table({"doc_id": pa.array(x["docs"]), "m": pa.array(count << 32 | m), "c": pa.array(x["c"]), "use": _lists(who[keep], keys[keep], n)})
 
     few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    shingles = docs.join(F.broadcast(parts) if few else parts, "doc_id").select("doc_id", "c", "text").mapInArrow(emit, _BLOB)
-    return shingles.groupBy("block").applyInArrow(lean(foreign), _BLOB).groupBy("block").applyInArrow(lean(gather), "doc_id long, usable int, sigs binary")
+    rows = docs.join(F.broadcast(parts) if few else parts, "doc_id").select("doc_id", "c", "text")
+    return _answered(materialize(_hold(rows, read), "held"), blocks, use, "doc_id long, m long, c long, use binary").where("use is not null")
 
 
-def _across(members: DataFrame, blocks: int, centres: int = 0) -> DataFrame:
-    """(a, b) of members of one group in different components c whose usable shingles allow a link, given their sizes.
+def sketches(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set, SKETCH bits as bytes: whether a bucket has an odd number of elements."""
+    who = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    key, n = np.unique(who * SKETCH + (mix(values) % np.uint64(SKETCH)).astype(np.int64), return_counts=True)
+    key = key[n % 2 == 1]
+    return np.bincount(key >> 3, weights=(1 << (key & 7)).astype(float), minlength=len(ends) * SKETCH // 8).astype(np.uint8).reshape(len(ends), -1)
 
-    centres: only pairs with one of so many members of the group that have the largest usable share of their shingles.
-    Without it the groups are those of the rarest usable shingles in order, and only the shingles from the group's own on
-    count: a pair that shares an earlier one is found there.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        docs, both, c, begins, ends = _runs(table)
-        m, usable = both >> 32, both & 0xFFFFFFFF
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-            if (c[b:e] == c[b]).all():
-                continue
-            # Members outside the largest component are held against all others.
-            _, which, n = np.unique(c[b:e], return_inverse=True, return_counts=True)
-            main = n.argmax()
-            d, size, use = docs[b:e], m[b:e], usable[b:e]
-            if centres:
-                chosen, fixed = np.lexsort((d, -use / size))[:centres], np.ones(e - b, bool)
-            else:
-                chosen, fixed = np.flatnonzero(which != main), which == main
-            for i in chosen.tolist():
-                ok = (which != which[i]) & (7 * np.minimum(use, use[i]) >= 3 * (size + size[i])) & (fixed | (d > d[i]))
-                right.append(d[ok])
-                left.append(np.full(int(ok.sum()), d[i]))
-        a, b = np.concatenate(left), np.concatenate(right)
-        return _pairs(np.minimum(a, b), np.maximum(a, b))
-
-    return _grouped(members, blocks, ranked=not centres).groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _verified(docs: DataFrame, pairs: DataFrame, sketched: bool = True) -> DataFrame:
+    """The pairs (a, b), a written table, whose sets are similar."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=1_000_000):
             values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
-            yield pa.record_batch([batch["doc_id"], pa.array([x.astype("<u8").tobytes() for x in np.split(values, ends[:-1])], pa.binary())], names=["doc_id", "values"])
+            lists = pa.array([x.astype("<u8").tobytes() for x in np.split(values, ends[:-1])], pa.binary())
+            bits = pa.array([x.tobytes() for x in sketches(values, ends)], pa.binary())
+            yield pa.record_batch([batch["doc_id"], pa.array(np.diff(ends, prepend=0), pa.int64()), bits, lists], names=["doc_id", "m", "bits", "values"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            ok = 7 * apart <= np.asarray(batch["m"]) + np.asarray(batch["o"])
+            yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,51 +507,77 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * same >= 75 * (len(x) + len(y) - same))
             yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        """pairs with a column of a, which may be the hub of very many, as x (and its m), and of b as y (and its m as o)."""
+        hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).join(held.select(F.col("doc_id").alias("a"), "m", F.col(column).alias("x")), "a")
+        rows = join_counted(pairs, materialize(hubs, "hubs"), ["a"])
+        return rows.join(held.select(F.col("doc_id").alias("b"), F.col("m").alias("o"), F.col(column).alias("y")), "b").select("a", "b", "m", "o", "x", "y")
+
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialize(only(docs, ids).mapInArrow(sets, "doc_id long, values binary"), "sets")
-    x, y = held.select(F.col("doc_id").alias("a"), F.col("values").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    held = materialize(only(docs, ids).mapInArrow(sets, "doc_id long, m long, bits binary, values binary"), "sets")
+    if sketched:
+        pairs = materialize(with_both(pairs, "bits").mapInArrow(near, "a long, b long"), "near")
+    return with_both(pairs, "values").mapInArrow(test, "a long, b long")
+
+
+def _components(docs: DataFrame, reps: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, m) of different texts, and (node, component) of those with links."""
+    members = materialize(_members(materialize(_signed(reps), "signed"), blocks), "members")
+    sizes, members = members.select("doc_id", "m"), members.where("few is not null or many is not null")
+
+    def placed(parts: DataFrame | None) -> DataFrame:
+        if parts is None:
+            return members.withColumn("c", F.col("doc_id"))
+        own = parts.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "c")
+        return materialize(members.join(own, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "placed")
+
+    links = tested = parts = None
+
+    def linked(pairs: DataFrame, sketched: bool = True) -> None:
+        nonlocal links, tested, parts
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(_verified(docs, pairs, sketched), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        if parts is None or not found.isEmpty():
+            parts = components(links)
+
+    now = placed(None)
+    linked(_stars(now, "few", blocks).unionByName(_stars(now, "many", blocks)).distinct(), sketched=False)
+    now = placed(parts)
+    linked(_within(now, "few", blocks).unionByName(_stars(now, "many", blocks, HUBS)).distinct())
+    mixed = materialize(_mixed(placed(parts), blocks), "mixed")
+    if not mixed.isEmpty():
+        linked(_within(materialize(_usable(docs, mixed, blocks), "usable"), "use", blocks, ranked=True))
+    return sizes, parts
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of documents (doc_id, text) with ids of their own."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    copies, total = exact_copies(docs)
+    blocks = max(shuffle_width(docs.sparkSession), -(-total // BLOCK_BYTES))
+    sizes, parts = _components(docs, only(docs, copies.select("doc_id"), "left_anti"), blocks)
+    reached = sizes.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("m").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    reached = materialize(reached, "reached")
+    of_copies = materialize(copies.groupBy("rep").agg(F.count("*").alias("n")).join(reached.withColumnRenamed("doc_id", "rep"), "rep"), "classes")
+    again = join_counted(copies, of_copies, ["rep"]).select("doc_id", "n_shingles", "component_id")
+    return reached.unionByName(again).withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
 
     Links are pairs of sets with 100 * intersection >= 75 * union. A null or empty text, or one without words, has no
-    shingles and no links. Rows that repeat a doc_id must repeat its text and give one row; rows without one are left out.
-    Other columns are ignored; an empty table gives no rows.
+    shingles and no links. Every row is a document of its own, also rows that share a doc_id or have none; a component
+    of documents without ids has none. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
-    copies, total = exact_copies(docs)
-    blocks = max(shuffle_width(spark), -(-total // (8 * BLOCK_SIGNATURES)))
-    reps = only(docs, copies.select("doc_id"), "left_anti")
-
-    chosen = materialize(_choose(_share(_sign(reps, blocks), blocks)), "chosen")
-    members = chosen.where("sigs is not null").withColumn("c", F.col("doc_id"))
-    stars = materialize(_stars(members, blocks), "pairs")
-    links = materialize(_verified(docs, stars), "links")
-    parts = components(links)
-    tested = stars
-    for centres in (CENTRES, 0):
-        placed = materialize(members.drop("c").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component"), "placed")
-        mixed = materialize(_mixed(placed, blocks), "mixed")
-        if mixed.isEmpty():
-            break
-        placed = placed.join(mixed, "doc_id")
-        usable = materialize(_usable(docs, placed.select("doc_id", "c"), blocks), "usable")
-        able = (placed.join(usable.drop("sigs"), "doc_id") if centres else placed.drop("sigs").join(usable, "doc_id")).where("4 * usable >= 3 * m")
-        if not centres:  # any link shares one of the rarest that are left when as many as it needs are put aside
-            able = able.withColumn("sigs", F.substring("sigs", F.lit(1), 8 * (F.col("usable") - F.ceil(F.col("m") * 3 / 4).cast("int") + 1)))
-        able = able.withColumn("m", F.shiftleft(F.col("m").cast("long"), 32) + F.col("usable"))
-        more = materialize(_across(able, blocks, centres).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(more)
-        found = materialize(_verified(docs, more), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            parts = components(links)
-    parts = parts.withColumnRenamed("node", "doc_id")
-    reached = chosen.select("doc_id", F.col("m").cast("long").alias("n_shingles")).join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
-    reached = materialize(reached.distinct(), "reached")
-    again = copies.join(reached.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "n_shingles", F.col("component_id"))
-    empty = F.col("n_shingles") == 0
-    return reached.unionByName(again).withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")))
+    docs, names = keyed(docs, key, text)
+    return named(_classes(docs), names, "doc_id", "component_id")
+
+
+def filter_documents(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with the least doc_id, all its columns unchanged."""
+    docs, _ = keyed(docs, whole=True)
+    copies = materialize(_classes(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id"), "copies")
+    return only(docs, copies, "left_anti").select("row.*")
