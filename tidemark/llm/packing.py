@@ -8,6 +8,9 @@ Pieces are dealt at random into groups of about GROUP, each packed by one task.
 one is at most half full. So those of all groups are packed again, as whole blocks, with as many of the fuller ones,
 of which those with most room; in groups of that size too, until one group holds them or nothing can be joined.
 
+Groups are dealt by a number that each piece gets when it is written, so that repeated or missing ids do not meet in
+one group, whatever their share.
+
 Defined results: a null or empty text has one piece, the end id alone. Repeated document ids are packed as rows of
 their own, also those without an id. Other columns of the input are ignored. An empty table gives no rows.
 """
@@ -86,21 +89,22 @@ def _packed(items: DataFrame, groups: int, capacity: int) -> DataFrame:
     """items (unit, size) with group g, sequence b of the group, offset and the sequence's fill."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tie_1", "tie_2"], kind="stable")
+        pdf = pdf.sort_values("unit")  # the same order in every attempt
         size = pdf["size"].to_numpy()
         where, offset = sum_of_squares(size, capacity)
         fill = np.bincount(where, weights=size).astype(np.int64)
         return pdf.assign(b=where, offset=offset, fill=fill[where])
 
-    dealt = items.withColumn("g", F.pmod(F.xxhash64("tie_1", "tie_2"), F.lit(groups)))
+    dealt = items.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(one, dealt.schema.simpleString()[7:-1].replace(":", " ") + ", b long, offset long, fill long")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """items: doc_id, piece, length and more. Adds sequence_id and offset."""
     own, group = items.columns, max(group, 4)  # each group leaves one sequence at most half full, so these fall by half or more
-    groups = -(-items.count() // group)
-    pieces = items.withColumns({"size": F.col("length"), "tie_1": F.col("doc_id").cast("long"), "tie_2": F.col("piece").cast("long")})
+    numbered = materialize(items.withColumn("unit", F.monotonically_increasing_id()), "pieces")
+    groups = -(-numbered.count() // group)
+    pieces = numbered.withColumn("size", F.col("length"))
     placed = materialize(_packed(pieces, max(1, groups), capacity).withColumn("id", F.shiftleft(F.col("g").cast("long"), 40) + F.col("b")), "packed")
     out = placed.select(*own, F.col("id").alias("sequence_id"), F.col("offset").alias("at"))
     sequences = placed.where("offset = 0").select("id", F.col("fill").alias("size"))
@@ -108,13 +112,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     while groups > 1:
         fills = {r["size"]: r["count"] for r in sequences.groupBy("size").count().collect()}
         n_low = sum(n for f, n in fills.items() if 2 * f <= capacity)
-        partner = ~low & (F.col("size") <= capacity - min(fills))
-        n_both = n_low + min(n_low, sum(n for f, n in fills.items() if 2 * f > capacity and f <= capacity - min(fills)))
-        if n_both < 2 or n_low == before:
+        if not n_low or n_low == before:
+            break
+        # Partners with most room, about as many: whole sizes, and of one size too many a part by the hash of the id.
+        room, some, n_both = n_low, low, n_low
+        for fill, n in sorted((f, n) for f, n in fills.items() if 2 * f > capacity and f <= capacity - min(fills)):
+            part = max(1, n // max(1, room))
+            some = some | (F.col("size") == fill) & (F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
+            n_both, room = n_both + n // part, room - n
+            if room <= 0:
+                break
+        if n_both < 2:
             break
         before, groups = n_low, -(-n_both // group)
-        some = sequences.where(low).union(sequences.where(partner).orderBy("size", "id").limit(n_low))
-        packed = materialize(_packed(some.select(F.col("id").alias("tie_1"), F.lit(0).cast("long").alias("tie_2"), "size"), groups, capacity), "packed").withColumnRenamed("tie_1", "id")
+        some = sequences.where(some)
+        packed = materialize(_packed(some.select(F.col("id").alias("unit"), "size"), groups, capacity), "packed").withColumnRenamed("unit", "id")
         # What is joined has the id of the block at its begin.
         heads = packed.where("offset = 0").select("g", "b", F.col("id").alias("to"), "fill")
         moves = packed.where("offset > 0").join(heads.drop("fill"), ["g", "b"]).select(F.col("id").alias("sequence_id"), "to", F.col("offset").alias("more"))
@@ -128,4 +140,4 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
 
     slice_bytes and memory (words) bound what a worker holds; they do not change the result.
     """
-    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id, slice_bytes=slice_bytes, memory=memory), "pieces"), capacity, group)
+    return pack(pieces(docs, tokenizer_path, capacity, end_id, slice_bytes=slice_bytes, memory=memory), capacity, group)
