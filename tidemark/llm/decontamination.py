@@ -6,12 +6,16 @@ are taken from the index, moved back by the term's place in the item, and inters
 alignments of an item with a document. At those alignments the words are compared, which gives the exact matches of
 every window; a window with a term that the corpus lacks is not searched.
 
+The same index answers proximity searches: an item is near in a document where its NEAR rarest terms, of those that the
+corpus has, stand within SPAN words of each other in any order. An item of fewer different terms needs all of them, and
+one of which the corpus has fewer terms than it needs is near nowhere.
+
 Words are runs of 0-9, a-z and characters beyond 0x7F, after A-Z became a-z. A window has `window` consecutive words of
 an item; an item of fewer words is one window.
 
 Defined results: a null or empty text has no words and no hits; items without words match nothing; repeated items
-count once, and items without an id are not searched for; rows with the same doc_id must have the same text and give
-one row each, rows without one are reported without hits. Other columns are ignored.
+count once, different texts under one item_id are searched for each under that id, and items without an id are not
+searched for. Every row is a document of its own, also rows that share a doc_id or have none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .copies import keyed, named
 
 WINDOW = 10
 #: Terms of a window that the search starts from.
 RAREST = 2
+#: Terms of an item that proximity needs, and words within which they stand.
+NEAR, SPAN = 3, 30
 #: Tables of the benchmark's terms, and of alignments, are broadcast up to so many rows; beyond, the other side is shuffled.
 BROADCAST_TERMS, BROADCAST_ALIGNMENTS = 1_000_000, 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,11 +61,15 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode("words").alias("pos", "word")).select("doc_id", "pos", fold(F.col("word")).alias("term")).join(_small(terms, BROADCAST_TERMS), "term").select("term", "doc_id", "pos")
 
 
-def _items(benchmark: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """item_id, its words, the width of its windows, and for each window the places of its rarest terms."""
-    items = materialize(benchmark.select("item_id", words("text").alias("item")).distinct().where(F.size("item") > 0), "items")
+def _search(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What to search documents (doc_id, words as they stand) for, and the postings of its terms.
+
+    (item_id, item, width of its windows, starts: for each window the places of its rarest terms), (item_id, item as a
+    hash, term, needs: how many of the item's terms are needed), (term, doc_id, pos).
+    """
+    items = materialize(benchmark.where("item_id is not null").select("item_id", words("text").alias("item")).distinct().where(F.size("item") > 0), "items")
     vocabulary = items.select(F.explode("item").alias("term")).distinct()
-    counts = docs.select(F.explode("words").alias("word")).select(fold(F.col("word")).alias("term")).join(_small(vocabulary, BROADCAST_TERMS), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = materialize(docs.select(F.explode("words").alias("word")).select(fold(F.col("word")).alias("term")).join(_small(vocabulary, BROADCAST_TERMS), "term").groupBy("term").agg(F.count("*").alias("n")), "counts")
     placed = items.select("item_id", "item", F.posexplode("item").alias("i", "term")).join(counts, "term", "left")
     ordered = placed.groupBy("item_id", "item").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))).alias("by_place"))
     width = F.least(F.size("item"), F.lit(window))
@@ -67,60 +78,80 @@ def _items(benchmark: DataFrame, docs: DataFrame, window: int) -> DataFrame:
         lambda s: F.slice(F.array_sort(F.transform(F.slice("by_place", s + 1, F.col("width")), lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i")))), 1, RAREST),
     )
     searched = F.array_distinct(F.filter("rarest", lambda w: w[0]["n"] > 0))
-    return materialize(ordered.withColumn("width", width).withColumn("rarest", rarest).select("item_id", "item", "width", F.transform(searched, lambda w: F.transform(w, lambda x: x["i"])).alias("starts")), "windows")
+    windows = materialize(ordered.withColumn("width", width).withColumn("rarest", rarest).select("item_id", "item", "width", F.transform(searched, lambda w: F.transform(w, lambda x: x["i"])).alias("starts")), "windows")
+
+    own = items.select("item_id", F.xxhash64("item").alias("item"), F.least(F.size(F.array_distinct("item")), F.lit(NEAR)).alias("needs"), F.explode(F.array_distinct("item")).alias("term"))
+    ranked = own.join(counts, "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "item").orderBy("n", "term")))
+    near = materialize(ranked.where(F.col("rank") <= NEAR).select("item_id", "item", "term", "needs"), "near")
+
+    terms = _places(windows).select("term").union(near.select("term")).distinct()
+    return windows, near, materialize(index(docs, terms), "postings")
 
 
-def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift): where all the rarest terms of some window of the item stand as in the item."""
-    places = items.select("item_id", "item", F.explode(F.array_distinct(F.flatten("starts"))).alias("i")).select("item_id", "i", F.element_at("item", F.col("i") + 1).alias("term"))
-    postings = materialize(index(docs, places.select("term").distinct()), "postings")
-    met = postings.join(places, "term").groupBy("doc_id", "item_id", (F.col("pos") - F.col("i")).alias("shift")).agg(F.collect_set("i").alias("seen"))
+def _places(windows: DataFrame) -> DataFrame:
+    """(item_id, item, i, term): the terms that windows start from, with their places in the item."""
+    return windows.select("item_id", "item", F.explode(F.array_distinct(F.flatten("starts"))).alias("i")).select("item_id", "item", "i", F.element_at("item", F.col("i") + 1).alias("term"))
+
+
+def _alignments(windows: DataFrame, postings: DataFrame) -> DataFrame:
+    """(doc_id, item_id, item, shift): where all the rarest terms of some window of the item stand as in the item."""
+    met = postings.join(_places(windows), "term").groupBy("doc_id", "item_id", "item", (F.col("pos") - F.col("i")).alias("shift")).agg(F.collect_set("i").alias("seen"))
     whole = F.exists("starts", lambda w: F.forall(w, lambda i: F.array_contains("seen", i)))
-    return met.join(items.select("item_id", "starts"), "item_id").where(whole).select("doc_id", "item_id", "shift")
+    return met.join(windows.select("item_id", "item", "starts", "width"), ["item_id", "item"]).where(whole).select("doc_id", "item_id", "item", "width", "shift")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _matches(docs: DataFrame, windows: DataFrame, postings: DataFrame) -> DataFrame:
     """doc_id, item_id and the places of document words that are inside an occurrence of a window of the item."""
-    docs = docs.select("doc_id", raw_words("text").alias("words"))
-    items = _items(benchmark, docs, window)
-    found = alignments(docs, items).join(items.select("item_id", F.size("item").alias("n")), "item_id")
-    by_doc = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("at")), "alignments")
-    part = F.transform("at", lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: fold(F.get("words", x["shift"] + i))).alias("part")))
+    found = _alignments(windows, postings)
+    by_doc = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "item", "width", "shift")).alias("at")), "alignments")
+    part = F.transform("at", lambda x: x.withField("part", F.transform(F.sequence(F.lit(0), F.size(x["item"]) - 1), lambda i: fold(F.get("words", x["shift"] + i)))))
     parts = docs.join(_small(by_doc, BROADCAST_ALIGNMENTS), "doc_id").select("doc_id", F.explode(part).alias("x")).select("doc_id", "x.*")
     same = F.filter(F.sequence(F.lit(0), F.size("item") - F.col("width")), lambda s: F.slice("item", s + 1, F.col("width")) == F.slice("part", s + 1, F.col("width")))
     hits = F.array_distinct(F.flatten(F.transform(same, lambda s: F.sequence(F.col("shift") + s, F.col("shift") + s + F.col("width") - 1))))
-    return parts.join(items.select("item_id", "item", "width"), "item_id").select("doc_id", "item_id", hits.alias("hits")).where(F.size("hits") > 0)
+    return parts.select("doc_id", "item_id", hits.alias("hits")).where(F.size("hits") > 0)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted ids of items found) and contaminated."""
-    found = matches(docs, benchmark, window).groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = materialize(found, "found")
-    rows = docs.select("doc_id", F.size(raw_words("text")).cast("long").alias("n_words")).join(found, "doc_id", "left")
-    n = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
-    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return rows.select("doc_id", "n_words", n.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+def _near(near: DataFrame, postings: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the proximity matches."""
+    ahead = Window.partitionBy("doc_id", "item_id", "item").orderBy("pos").rangeBetween(0, SPAN - 1)
+    return postings.join(near, "term").withColumn("seen", F.size(F.collect_set("term").over(ahead))).where(F.col("seen") >= F.col("needs")).select("doc_id", "item_id").distinct()
 
 
-def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any occurrence, all their columns unchanged."""
-    found = materialize(matches(docs, benchmark, window).select("doc_id").distinct(), "found")
-    return docs.join(_small(found, BROADCAST_TERMS), "doc_id", "left_anti")
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, item_id and hits, the places of document words that are inside an occurrence of a window of the item."""
+    docs, names = keyed(docs)
+    docs = docs.select("doc_id", raw_words("text").alias("words"))
+    windows, _, postings = _search(docs, benchmark, window)
+    return named(_matches(docs, windows, postings), names)
 
 
-def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, span: int = 30) -> DataFrame:
-    """Proximity matches: doc_id, item_id where the item's rarest terms, so many of them, stand within `span` words in any order.
+def near_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Proximity matches: doc_id, item_id."""
+    docs, names = keyed(docs)
+    _, near, postings = _search(docs.select("doc_id", raw_words("text").alias("words")), benchmark, WINDOW)
+    return named(_near(near, postings), names)
 
-    The rarest are taken of the terms that the documents have. An item of fewer different terms needs all of them; one
-    of which the documents have fewer terms than it needs matches nothing.
-    """
-    docs = docs.select("doc_id", raw_words("text").alias("words"))
-    items = materialize(benchmark.select("item_id", F.explode(F.array_distinct(words("text"))).alias("term")).distinct(), "items")
-    vocabulary = items.select("term").distinct()
-    counts = docs.select(F.explode("words").alias("word")).select(fold(F.col("word")).alias("term")).join(_small(vocabulary, BROADCAST_TERMS), "term").groupBy("term").agg(F.count("*").alias("n"))
-    needs = items.groupBy("item_id").agg(F.least(F.count("*"), F.lit(terms)).alias("needs"))
-    ranked = items.join(counts, "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "term")))
-    chosen = materialize(ranked.where(F.col("rank") <= terms).join(needs, "item_id").select("item_id", "term", "needs"), "terms")
-    postings = index(docs, chosen.select("term").distinct()).join(chosen, "term")
-    ahead = Window.partitionBy("doc_id", "item_id").orderBy("pos").rangeBetween(0, span - 1)
-    return postings.withColumn("seen", F.size(F.collect_set("term").over(ahead))).where(F.col("seen") >= F.col("needs")).select("doc_id", "item_id").distinct()
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted ids of items found), contaminated, and of proximity n_near and near_sha256."""
+    docs, names = keyed(docs)
+    split = docs.select("doc_id", raw_words("text").alias("words"))
+    windows, near, postings = _search(split, benchmark, window)
+    ids = F.sort_array(F.collect_set(F.col("item_id").cast("string")))
+    found = _matches(split, windows, postings).groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), ids.alias("items"))
+    found = materialize(found.join(_near(near, postings).groupBy("doc_id").agg(ids.alias("close")), "doc_id", "full"), "found")
+    rows = split.select("doc_id", F.size("words").cast("long").alias("n_words")).join(found, "doc_id", "left")
+    n, none = F.coalesce(F.col("n_hit"), F.lit(0).cast("long")), F.array().cast("array<string>")
+    items, close = F.coalesce(F.col("items"), none), F.coalesce(F.col("close"), none)
+    count, digest = lambda x: F.size(x).cast("long"), lambda x: F.sha2(F.array_join(x, ","), 256)
+    out = rows.select("doc_id", "n_words", n.alias("n_hit"), count(items).alias("n_items"), digest(items).alias("items_sha256"), (n > 0).alias("contaminated"), count(close).alias("n_near"), digest(close).alias("near_sha256"))
+    return named(out, names)
+
+
+def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without any occurrence of a window, all their columns unchanged."""
+    docs, _ = keyed(docs, whole=True)
+    split = docs.select("doc_id", raw_words("text").alias("words"))
+    windows, _, postings = _search(split, benchmark, window)
+    found = materialize(_matches(split, windows, postings).select("doc_id").distinct(), "found")
+    return docs.join(_small(found, BROADCAST_TERMS), "doc_id", "left_anti").select("row.*")
