@@ -13,9 +13,9 @@ first and last suffixes of each range are compared once more with those of the n
 both sides suffice (as 40-bit hashes of the words): passages that are longer have more minimisers, and what each finds
 is merged. Of equal texts only one takes part; all of them are one passage each.
 
-Defined results: null and empty texts have no passages; a passage that a text repeats in itself counts; rows that
-repeat a doc_id must repeat its text and count as one document, rows without one are left out (drop_copies leaves them
-as they are); an empty table gives no rows. Other columns are ignored, and kept by drop_copies.
+Defined results: null and empty texts have no passages; a passage that a text repeats in itself counts; every row is a
+document of its own, also rows that share a doc_id or have none (their passages come under that id); an empty table
+gives no rows. Other columns are ignored, and kept by drop_copies.
 """
 
 from __future__ import annotations
@@ -28,15 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, release, slices
-from .copies import exact_copies, only
+from .common import join_counted, lean, materialize, release, slices
+from .copies import exact_copies, keyed, named, only
 from .hashing import mix, word_hashes
 
 #: Words of a repeated passage, at least.
 LEAST = 50
 #: Words of the grams whose hashes are compared.
 GRAM = 6
-#: How many following suffixes each is compared with.
+#: How many following suffixes each is compared with; a group of more is completed otherwise.
 NEIGHBOURS = 4
 #: Lists of suffixes are broadcast to the documents up to so many bytes; beyond, the documents are shuffled.
 BROADCAST_BYTES = 4_000_000
@@ -200,18 +200,24 @@ def _edges(table: pa.Table, edge: int, kind: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array([kind] * n, pa.int32()), pa.array([edge] * n, pa.int32()), *own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_())], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", copies_only: bool = False) -> DataFrame:
-    """doc_id, start, stop (places of words, from 0, stop exclusive) and n_words of each repeated passage.
+def repeated_passages(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start, stop (places of words, from 0, stop exclusive) and n_words of each repeated passage."""
+    docs, names = keyed(docs, key, text)
+    return named(_passages(docs, least), names)
+
+
+def _passages(docs: DataFrame, least: int, copies_only: bool = False) -> DataFrame:
+    """As repeated_passages, of documents (doc_id, text) with ids of their own.
 
     copies_only: only of those occurrences for which an earlier one (by doc_id and place) was met in the comparison; the
     earliest is never among them.
     """
-    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     copies, _ = exact_copies(whole)
     docs = only(whole, copies.select("doc_id"), "left_anti")
     retained = materialize(_retain(docs, least), "suffixes")
-    twice = retained.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    wanted = retained.join(twice, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "gram"))).alias("places"))
+    twice = materialize(retained.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    wanted = join_counted(retained, twice, ["gram"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "gram"))).alias("places"))
     suffixes = materialize(_contexts(docs, materialize(wanted, "wanted"), least), "contexts")
     ranges = max(1, -(-suffixes.count() // RANGE))
     order = ["gram", "ahead", "behind", "doc_id", "pos"]
@@ -285,8 +291,9 @@ def drop_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without the passages that are copies of earlier ones; the words that stay keep the white space after them."""
     import re
 
-    gone = repeated_passages(docs, least, copies_only=True).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     names, kinds = docs.columns, docs.schema
+    rows, _ = keyed(docs, whole=True)
+    gone = _passages(rows.select("doc_id", "text"), least, copies_only=True).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -303,5 +310,4 @@ def drop_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else row.field(i) for i, c in enumerate(names)]
             yield pa.record_batch(columns, names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*names).alias("row"))
     return rows.join(gone, "doc_id", "left").select("text", "gone", "row").mapInArrow(run, kinds)
