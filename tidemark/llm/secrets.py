@@ -3,10 +3,12 @@
 The field tags tokens (runs of letters, digits and + / _ . -) as outside, begin or inside of a secret. Its features
 are tables that numpy looks up for a whole batch: a token's shape, its mix of characters, known heads of keys, the
 neighbouring words and what stands between them, and features of the whole text. It is trained here, on a bounded
-sample of documents that the patterns label.
+sample of documents: those lines that the patterns label, and variations of lines that they would not. In a variation
+the value, the word before it or what stands between them is another one, and the tag is known because it was put there:
+a random key of a form that the patterns do not know, or a value that is none (a word, number, date, path or address).
 
 Viterbi decoding runs only where it can matter. If outside beats both other tags at a token by more than any choice of
-neighbours could return (three transitions and the largest difference between begin and inside), the best path is
+neighbours could return (by the transitions, and what the next token loses if it has to begin), the best path is
 outside there; the tokens between such tokens are decoded, as a chain each. The result is that of decoding whole texts.
 
 Defined results: a null or empty text has no spans and the digest of the empty string. Repeated rows and ties are rows
@@ -15,7 +17,7 @@ of their own; other columns are ignored; with an empty table the field stays unt
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, texts
+from .common import bound_batches, bounded_texts, slices, texts
 
 
 # The three base patterns; RE2 forms of them only say which texts can have a match.
@@ -39,10 +41,12 @@ KINDS = ("assign", "access", "hex", "crf")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "pwd", "auth", "bearer", "credential", "access", "private")
 HEADS = ("AKIA", "ghp_", "gho_", "sk_l", "sk-l", "xoxb", "xoxp", "eyJh", "AIza", "glpa")
 
-#: Documents of the sample for training.
-SAMPLE_DOCS = 1_500
+#: Documents of the sample for training, at most, and bytes of their texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 1_500, 32_000_000
+#: Lines of the sample that are varied, each in a few ways.
+VARIED = 300
 #: Tokens in a training chain at most, and passes over the sample.
-CHAIN, PASSES = 120, 120
+CHAIN, PASSES = 100, 40
 
 _KIND = np.zeros(256, np.uint8)  # 1 digit, 2 lower, 3 upper, 4 other character of a token
 _KIND[48:58], _KIND[97:123], _KIND[65:91] = 1, 2, 3
@@ -157,19 +161,74 @@ def _scores(rows: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
 NEVER = -1e4
 
 
-def train(column: pa.Array, passes: int = PASSES) -> tuple[list[np.ndarray], np.ndarray]:
-    """(tables, transitions) that make the patterns' tags of these texts most likely, by full-batch Adam."""
-    tokens = Tokens(column)
+_ALPHABETS = {"word": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "hex": "0123456789ABCDEF"}
+_ALPHABETS["mixed"] = _ALPHABETS["word"] + _ALPHABETS["upper"] + _ALPHABETS["digit"]
+_ALPHABETS["base64"] = _ALPHABETS["mixed"] + "+/"
+_ALPHABETS["lower"] = _ALPHABETS["word"] + _ALPHABETS["digit"]
+#: Heads, alphabet and least and most length of keys that variations have, and that the patterns need not find.
+KEYS = (("ghp_", "mixed", 36, 36), ("sk_live_", "mixed", 24, 24), ("xoxb-", "mixed", 24, 40), ("eyJh", "base64", 40, 90), ("AIza", "mixed", 35, 35), ("", "mixed", 18, 64), ("", "base64", 24, 88), ("", "hex", 20, 64), ("", "lower", 20, 40))
+#: What may stand before a value: words of the kind that the patterns know and others, with or without a sign.
+LEADS = ('{} = "', "{} is ", "{} -> ", "{}: ", "use {} ", "", "", "id ", "see ")
+_LEAD_WORDS = ("password", "passwd", "secret", "token", "apikey", "key", "pwd", "auth", "bearer", "credential", "access", "private")
+
+
+def _key(rng: random.Random) -> str:
+    head, alphabet, least, most = rng.choice(KEYS)
+    return head + "".join(rng.choices(_ALPHABETS[alphabet], k=rng.randint(least, most)))
+
+
+def _harmless(rng: random.Random, words: list[str]) -> str:
+    number = lambda n: "".join(rng.choices(_ALPHABETS["digit"], k=n))
+    return rng.choice((
+        lambda: rng.choice(words), lambda: number(rng.randint(1, 19)), lambda: ".".join(number(rng.randint(1, 3)) for _ in range(4)), lambda: f"20{number(2)}-0{number(1)}-1{number(1)}",
+        lambda: "/".join(rng.choices(words, k=4)), lambda: f"{rng.choice(words)}.{rng.choice(words)}", lambda: f"v{number(1)}.{number(2)}.{number(1)}", lambda: "-".join(rng.choices(words, k=3)),
+        lambda: "".join(rng.choices(words, k=4))[:30], lambda: rng.choice(words).upper(), lambda: f"{rng.choice(words)}_{number(4)}",
+    ))()
+
+
+def examples(texts: list[str], varied: int = VARIED) -> list[tuple[str, list[tuple[int, int]]]]:
+    """The texts and variations of some of their lines, each with the places of its secrets."""
+    rng = random.Random(1)
+    out, lines, words = [], [], []
+    for text in texts:
+        spans = []
+        for start, kind, end in base_spans(text):
+            m = ASSIGN.match(text, start) if kind == 0 else None
+            own = (m.start(2), m.end(2)) if m else (start, end)
+            if not spans or own[0] >= spans[-1][1]:
+                spans.append(own)
+        out.append((text, spans))
+        for line in text.split("\n")[:50]:
+            words += [w for w in re.findall(r"[A-Za-z]{2,}", line[:2_000])[:8]]
+            if len(line) > 20:
+                lines.append(line[:400])
+    if not lines or not words:
+        return out
+    for line in rng.sample(lines, min(varied, len(lines))):
+        at = rng.choice([m.end() for m in re.finditer(r"\s", line)] or [len(line)])
+        for k in range(6):
+            lead, value = rng.choice(LEADS).format(rng.choice(_LEAD_WORDS)), _key(rng) if k % 2 else _harmless(rng, words)
+            text = line[:at].rstrip() + " " + lead
+            begin = len(text)
+            text += value + ('" ' if lead.endswith('"') else " ") + line[at:]
+            spans = [(begin, begin + len(value))] if k % 2 else []
+            # What the patterns find counts, whatever was put there.
+            spans += [(ASSIGN.match(text, s).start(2) if kind == 0 else s, e) for s, kind, e in base_spans(text)]
+            out.append((text, sorted(set(spans))))
+    return out
+
+
+def train(column: pa.Array, passes: int = PASSES, varied: int = VARIED) -> tuple[list[np.ndarray], np.ndarray]:
+    """(tables, transitions) that make the tags of the examples from these texts most likely, by full-batch Adam."""
+    known = examples([x or "" for x in column.to_pylist()], varied)
+    tokens = Tokens(pa.array([t for t, _ in known], pa.large_string()))
     tags = np.zeros(len(tokens.begin), np.int64)
-    for i, text in enumerate(x or "" for x in column.to_pylist()):
-        spans = base_spans(text)
+    firsts = np.searchsorted(tokens.doc, np.arange(len(known) + 1))
+    for i, (text, spans) in enumerate(known):
         if spans:
             places = np.cumsum([0, *(len(c.encode()) for c in text)]) + tokens.offsets[i]
-            own = np.flatnonzero(tokens.doc == i)
-            for start, kind, end in spans:
-                if kind == 0:
-                    m = ASSIGN.match(text, start)
-                    start, end = m.start(2), m.end(2)
+            own = np.arange(firsts[i], firsts[i + 1])
+            for start, end in spans:
                 hit = own[(tokens.begin[own] < places[end]) & (tokens.end[own] > places[start])]
                 tags[hit[1:]], tags[hit[:1]] = 2, 1
     cut = np.flatnonzero(tokens.first | (tokens.rows[:, 6] & 4 > 0)) if len(tags) else np.zeros(0, np.int64)
@@ -177,7 +236,7 @@ def train(column: pa.Array, passes: int = PASSES) -> tuple[list[np.ndarray], np.
     total = np.concatenate(([0], np.cumsum(tags > 0)))
     good = [c for c in chains if total[c[1]] > total[c[0]]]
     rest = [c for c in chains if total[c[1]] == total[c[0]]]
-    chains = good + rest[:: max(1, len(rest) // (4 * len(good) + 100))]
+    chains = good + rest[:: max(1, len(rest) // (len(good) + 500))]
     tables, steps = [np.zeros((n, 3)) for n in TABLES], np.zeros((3, 3))
     block = np.zeros((3, 3))
     block[0, 2] = NEVER
@@ -200,23 +259,27 @@ def train(column: pa.Array, passes: int = PASSES) -> tuple[list[np.ndarray], np.
     for step in range(1, passes + 1):
         u = sum(w[rows[..., f]] for f, w in enumerate(tables))
         a = steps + block
-        forward, backward = np.zeros_like(u), np.zeros_like(u)
-        forward[:, 0] = u[:, 0] + np.array([0, 0, NEVER])
-        for t in range(1, u.shape[1]):
-            new = np.logaddexp.reduce(forward[:, t - 1, :, None] + a, axis=1) + u[:, t]
-            forward[:, t] = np.where(live[:, t, None], new, forward[:, t - 1])
+        # Probabilities, scaled to a sum of 1 at each step.
+        e, ways = np.exp(u - u.max(axis=2, keepdims=True)), np.exp(a)
+        e[:, 0, 2] = 0
+        forward, backward, scale = np.zeros_like(u), np.ones_like(u), np.ones(u.shape[:2])
+        now = e[:, 0]
+        for t in range(u.shape[1]):
+            if t:
+                now = np.where(live[:, t, None], (forward[:, t - 1] @ ways) * e[:, t], forward[:, t - 1])
+            scale[:, t] = now.sum(axis=1)
+            forward[:, t] = now / scale[:, t, None]
         for t in range(u.shape[1] - 2, -1, -1):
-            new = np.logaddexp.reduce(a + (u[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-            backward[:, t] = np.where(live[:, t + 1, None], new, 0)
-        z = np.logaddexp.reduce(forward[:, -1], axis=1)
-        seen = np.exp(np.minimum(forward + backward - z[:, None, None], 0)) * live[..., None]
-        joint = np.exp(np.minimum(forward[:, :-1, :, None] + a + (u[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None], 0)) * live[:, 1:, None, None]
+            backward[:, t] = np.where(live[:, t + 1, None], ((e[:, t + 1] * backward[:, t + 1]) @ ways.T) / scale[:, t + 1, None], 1)
+        seen = forward * backward * live[..., None]
+        after = e[:, 1:] * backward[:, 1:] * (live[:, 1:] / scale[:, 1:])[..., None]
+        joint = ways * np.einsum("nti,ntj->ij", forward[:, :-1], after)
         missing = (true - seen).reshape(-1, 3)
-        slopes = [np.stack([np.bincount(rows[..., f].ravel(), missing[:, y], len(w)) for y in range(3)], axis=1) - 0.1 * w for f, w in enumerate(tables)] + [pair - joint.sum(axis=(0, 1)) - 0.1 * steps]
+        slopes = [np.stack([np.bincount(rows[..., f].ravel(), missing[:, y], len(w)) for y in range(3)], axis=1) - 0.1 * w for f, w in enumerate(tables)] + [pair - joint - 0.1 * steps]
         for w, g, m, v in zip(weights, slopes, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            w += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            w += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return [w.astype(np.float32) for w in tables], steps + block
 
 
@@ -234,14 +297,26 @@ def viterbi(scores: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.array(tags[::-1])
 
 
+def _bounds(steps: np.ndarray) -> tuple[float, float]:
+    """The most that transitions can return for another tag than outside, where the next token is not, or is, inside.
+
+    With outside in its place, an inside token after it would have to begin; what that changes at the next two
+    transitions counts too.
+    """
+    tags = range(3)
+    plain = max(steps[x, y] + steps[y, z] - steps[x, 0] - steps[0, z] for x in tags for y in (1, 2) for z in (0, 1))
+    onward = max(steps[x, y] + steps[y, 2] + steps[2, z] - steps[x, 0] - steps[0, 1] - steps[1, z] for x in tags for y in (1, 2) for z in tags)
+    return float(plain), float(onward)
+
+
 def decode(tokens: Tokens, tables: list[np.ndarray], steps: np.ndarray) -> list[tuple[int, int, int]]:
     """(document, first byte, byte after the last) of each tagged secret of the batch."""
     u = _scores(tokens.rows, tables)
     if not len(u):
         return []
-    real = steps[steps > NEVER / 2]
-    bound = 3 * float(real.max() - real.min()) + float(np.abs(u[:, 1] - u[:, 2]).max())
-    open_ = u[:, 0] - np.maximum(u[:, 1], u[:, 2]) <= bound
+    plain, onward = _bounds(steps)
+    longer = np.concatenate(((u[1:, 2] - u[1:, 1]), [0.0]))
+    open_ = u[:, 0] - np.maximum(u[:, 1], u[:, 2]) <= np.maximum(plain, onward + longer)
     at = np.flatnonzero(open_)
     if not len(at):
         return []
@@ -262,9 +337,9 @@ def decode(tokens: Tokens, tables: list[np.ndarray], steps: np.ndarray) -> list[
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE_DOCS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Trains on `sample` documents, chosen by the hash of their key."""
-    rows = docs.select(key, text).orderBy(F.xxhash64(key), key).limit(sample).select(text).toArrow()
-    return train(rows[text].combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+    """Trains on `sample` documents, chosen by the hash of key and text; only they leave their tasks."""
+    rows = bounded_texts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), sample, SAMPLE_BYTES, "text", "key", "text").toArrow()
+    return train(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -301,4 +376,4 @@ def summary(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] != "crf")
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("crf"))
