@@ -10,9 +10,9 @@ that refer to it. Payloads under `least_bytes` are all responses.
 Files are written by the tasks to a shared folder under names of their own; only the manifest says which count, so
 what a lost or repeated attempt leaves is never read.
 
-Defined results: null html is an empty payload; a null url is left out of the record; rows with the same page_id and
-payload are each a record of the same kind, and pages without a page_id are responses that carry none; an empty table
-makes no file. Other columns are ignored.
+Defined results: null html is an empty payload; a null url is left out of the record; every row is a record with an
+identifier of its own. Of rows with the same least page_id and payload one is the response and the others revisit it;
+pages without a page_id are responses that carry none; an empty table makes no file. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, scratch, slices
+from .common import filesystem, join_counted, materialize, scratch, slices
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 32_768
@@ -40,21 +40,22 @@ BROADCAST_REVISITS = 500_000
 MANIFEST = "path string, n_records long, n_bytes long"
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, sha1_hex: str, row: int = 0) -> str:
+    """The identifier of the record of a page with this payload; row tells rows apart that have both in common."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha1_hex}:{row}')}>"
 
 
-def compose(page_id: int, url: str | None, payload: bytes, sha1_hex: str, refers_to: int | None, date: str) -> bytes:
+def compose(page_id: int | None, url: str | None, payload: bytes, sha1_hex: str, refers_to: int | None, date: str, row: int = 0, refers_row: int = 0) -> bytes:
     """One WARC record."""
     digest = base64.b32encode(bytes.fromhex(sha1_hex)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, sha1_hex, row)), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if refers_to is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("Page-Refers-To", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, sha1_hex, refers_row)), ("Page-Refers-To", str(refers_to))]
     fields += [("Page-Id", str(page_id))] * (page_id is not None) + [("Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + body + b"\r\n\r\n"
 
@@ -128,12 +129,17 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = L
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
-    facts = materialize(pages.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")), "digests")
-    groups = facts.where(F.col("n") >= least_bytes).groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("records")).where("records > 1")
-    revisits = materialize(facts.join(groups, ["sha1", "n"]).where("page_id <> first").select("page_id", "sha1", F.col("first").alias("refers_to")).distinct(), "revisits")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"), F.lit(0).cast("long").alias("row"))
+    if not pages.groupBy("page_id").count().where("count > 1 or page_id is null").isEmpty():
+        # Ids that repeat or are missing: the rows are written with numbers that tell them apart.
+        pages = materialize(pages.withColumn("row", F.monotonically_increasing_id()), "pages")
+    facts = materialize(pages.where("page_id is not null").select("page_id", "row", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")), "digests")
+    groups = facts.where(F.col("n") >= least_bytes).groupBy("sha1", "n").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("records")).where("records > 1")
+    groups = materialize(groups.select("sha1", "n", "records", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("refers_row")), "groups")
+    revisits = join_counted(facts, groups, ["sha1", "n"], "records").where("page_id <> refers_to or row <> refers_row")
+    revisits = materialize(revisits.select("page_id", "row", "refers_to", "refers_row"), "revisits")
     few = revisits.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
-    rows = pages.withColumn("sha1", F.sha1("payload")).join(F.broadcast(revisits) if few else revisits, ["page_id", "sha1"], "left")
+    rows = pages.withColumn("sha1", F.sha1("payload")).join(F.broadcast(revisits) if few else revisits, ["page_id", "row"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(folder)
@@ -143,7 +149,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = L
 
         def begin() -> None:
             path = f"{root}/{uuid.uuid4().hex}.warc.zst"
-            state.update(path=path, sink=store.open_output_stream(path), n=0, bytes=0)
+            state.update(path=path, sink=store.open_output_stream(path, compression=None), n=0, bytes=0)
             state["writer"] = Writer(state["sink"], held)
 
         def put(record: bytes) -> None:
@@ -158,8 +164,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = L
 
         sampled = 0
         for batch in slices(batches, "payload"):
-            for page_id, url, payload, sha1, refers_to in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to")), strict=True):
-                record = compose(page_id, url, payload, sha1, refers_to, date)
+            for page_id, url, payload, sha1, row, refers_to, refers_row in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "sha1", "row", "refers_to", "refers_row")), strict=True):
+                record = compose(page_id, url, payload, sha1, refers_to, date, row, refers_row)
                 if state["sink"]:
                     put(record)
                 else:
@@ -179,7 +185,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = L
         if state["sink"]:
             yield end()
 
-    files = materialize(rows.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(write, MANIFEST), "manifest")
+    files = materialize(rows.select("page_id", "url", "payload", "sha1", "row", "refers_to", "refers_row").mapInArrow(write, MANIFEST), "manifest")
     scheme = folder.split("://")[0] + "://" if "://" in folder else ""
     return files.withColumn("path", F.concat(F.lit(scheme), "path"))
 
@@ -197,7 +203,7 @@ def read_warc(files: DataFrame, with_payload: bool = False) -> DataFrame:
             for path in manifest["path"].to_pylist():
                 store, own = filesystem(path)
                 rows, size = [], 0
-                with store.open_input_stream(own) as f:
+                with store.open_input_stream(own, compression=None) as f:
                     for record in read_records(f):
                         x = parse(record)
                         refers = x.get("Page-Refers-To")
