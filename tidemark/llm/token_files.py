@@ -5,7 +5,8 @@ A file (all numbers little-endian; bits are packed from the high end of each byt
     magic TMHUF1\\0\\0 | blocks | footer | footer bytes uint32 | magic
     footer, compressed with zlib: one line of JSON, then the arrays that it lists, one after the other
         lengths   uint8   code length of every id, 0 for ids that do not occur
-        keys      int64   document keys in ascending order
+        keys      int64   document keys in ascending order, then 0 for each document without one
+        known     uint8   1 for a key, 0 for none
         counts    int64   ids of each document, its end id included
         offsets   uint64  bit offset of each block (a checkpoint): blocks are decoded on their own
 
@@ -15,8 +16,10 @@ window of LIMIT bits up in one table, for the same position of many blocks at on
 Documents are dealt by range of their key, a file for each range. Files of failed attempts have other names and are
 in no manifest, so they are never read.
 
+Documents with one key, or without one, may be any share of all: ranges go on by the number of the written row.
+
 Defined results: a null or empty text is its end id alone; repeated keys stay next to each other as rows of their own;
-rows without a key have no place in the order and are left out; other columns are ignored; an empty table makes no files.
+rows without a key come last; other columns are ignored; an empty table makes no files.
 """
 
 from __future__ import annotations
@@ -157,7 +160,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, slice_bytes: int =
             yield batch(0, part["doc_id"], np.diff(ends, prepend=0) + 1, kind.itemsize, own)
         yield batch(1, pa.array([None], pa.int64()), np.array([size]), 8, total)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInArrow(run, "kind int, doc_id long, n_tokens long, width int, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "kind int, doc_id long, n_tokens long, width int, ids binary")
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -184,7 +187,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
     """Writes the files and returns their manifest: part (their order), path, n_docs, n_ids."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-files")
-    ids = materialize(tokens(docs, tokenizer_path, end_id, slice_bytes, memory), "tokens")
+    ids = materialize(tokens(docs, tokenizer_path, end_id, slice_bytes, memory).withColumn("row", F.monotonically_increasing_id()), "tokens")
     counts = global_counts(ids)
     lengths = code_lengths(counts)
     known = spark.sparkContext.broadcast((lengths, code_table(lengths)))  # an entry for each id of the vocabulary
@@ -209,7 +212,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
         for batch in slices(batches, "ids"):
             if sink is None:
                 store.create_dir(root, recursive=True)
-                sink = store.open_output_stream(path)
+                sink = store.open_output_stream(path, compression=None)
                 sink.write(MAGIC)
             keys += batch["doc_id"].to_pylist()
             counts += batch["n_tokens"].to_pylist()
@@ -222,7 +225,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
             return
         if len(rest):
             put(rest)
-        arrays = {"lengths": lengths, "keys": np.array(keys, "<i8"), "counts": np.array(counts, "<i8"), "offsets": np.concatenate(offsets).astype("<u8")}
+        arrays = {"lengths": lengths, "keys": np.array([k or 0 for k in keys], "<i8"), "known": np.array([k is not None for k in keys], np.uint8), "counts": np.array(counts, "<i8"), "offsets": np.concatenate(offsets).astype("<u8")}
         head = json.dumps({"limit": LIMIT, "block": BLOCK, "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}).encode() + b"\n"
         footer = zlib.compress(head + b"".join(v.tobytes() for v in arrays.values()), 1)
         sink.write(footer + len(footer).to_bytes(4, "little") + MAGIC)
@@ -230,7 +233,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([sum(counts)], pa.int64())], names=["part", "path", "n_docs", "n_ids"])
 
     parts = max(1, -(-int(counts.sum()) // file_ids))
-    ranged = ids.where("kind = 0").drop("kind").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
+    ranged = ids.where("kind = 0").drop("kind").repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("row")
     scheme = folder.split("://")[0] + "://" if "://" in folder else ""
     files = materialize(ranged.mapInArrow(write, MANIFEST), "manifest")
     return files.withColumn("path", F.concat(F.lit(scheme), "path"))
@@ -269,7 +273,7 @@ def decode_file(path: str, base: int = 0, lanes: int = 4096) -> Iterator[pa.Reco
             arrays[name] = np.frombuffer(raw, kind, n, at)
             at += arrays[name].nbytes
         table = decode_table(arrays["lengths"], meta["limit"])
-        offsets, counts, keys = arrays["offsets"], arrays["counts"], arrays["keys"]
+        offsets, counts, keys, known = arrays["offsets"], arrays["counts"], arrays["keys"], arrays["known"]
         n_ids, data_end = int(counts.sum()), total - 12 - size - len(MAGIC)
         stops = np.cumsum(counts)
         crc, doc, done, rows = 0, 0, 0, []
@@ -281,7 +285,7 @@ def decode_file(path: str, base: int = 0, lanes: int = 4096) -> Iterator[pa.Reco
             view, begin = memoryview(ids.tobytes()), 0
             while doc < len(stops) and stops[doc] <= done + len(ids):
                 stop = int(stops[doc]) - done
-                rows.append((int(keys[doc]), base + int(stops[doc] - counts[doc]), int(counts[doc]), zlib.crc32(view[4 * begin : 4 * stop], crc)))
+                rows.append((int(keys[doc]) if known[doc] else None, base + int(stops[doc] - counts[doc]), int(counts[doc]), zlib.crc32(view[4 * begin : 4 * stop], crc)))
                 crc, begin, doc = 0, stop, doc + 1
             crc = zlib.crc32(view[4 * begin :], crc)
             done += len(ids)
