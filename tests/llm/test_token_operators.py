@@ -121,6 +121,56 @@ def test_packing_opens_no_more_than_it_must():
         assert (fill <= 2048).sum() <= 1 and fill.max() <= 4096
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=50))
+def test_each_placement_has_the_least_sum_of_squares(sizes):
+    """Replays the packing: each piece went where the sum of squared counts of open sequences by gap became smallest."""
+    capacity = 40
+    where, offset = packing.sum_of_squares(np.array(sizes, np.int64), capacity)
+    gaps = {}
+    for i in np.argsort(-np.array(sizes, np.int64), kind="stable").tolist():
+        def after(gap, s=sizes[i]):
+            left = [g for b, g in gaps.items()]
+            left.remove(gap)
+            left = [g for g in [*left, gap - s] if g > 0]
+            return sum(left.count(g) ** 2 for g in set(left))
+
+        fits = sorted({g for g in gaps.values() if g >= sizes[i] and g > 0})
+        b = int(where[i])
+        if fits:
+            best = min(fits, key=lambda g: (after(g), g))
+            assert gaps[b] == best
+        else:
+            assert b not in gaps
+            gaps[b] = capacity
+        assert offset[i] == capacity - gaps[b]
+        gaps[b] -= sizes[i]
+
+
+def test_packing_spreads_rows_without_ids(spark):
+    """Ids that are missing or repeat do not meet in one group."""
+    docs = spark.createDataFrame([(None if i % 2 else 5, "a b c " * (1 + i % 90)) for i in range(400)], "doc_id long, text string")
+    rows = packing.best_fit_pack(docs, WORDS, group=50).toPandas().sort_values(["sequence_id", "offset"])
+    by = rows.groupby("sequence_id").length
+    assert len(rows) == 400 and by.sum().max() <= 4096 and (rows.offset == by.cumsum() - rows.length).all()
+    assert by.ngroups <= -(-rows.length.sum() // 4096) + 8
+    items = spark.createDataFrame([(None, 0, 3000)] * 600, "doc_id long, piece int, length long")
+    numbered = packing._packed(items.withColumns({"unit": F.monotonically_increasing_id(), "size": F.col("length")}), 12, 4096)
+    assert numbered.groupBy("g").count().agg(F.max("count")).first()[0] < 120
+    assert packing.pack(items, group=50).select("sequence_id").distinct().count() == 600
+
+
+def test_packing_of_mixed_sizes(spark):
+    rng = np.random.default_rng(3)
+    sizes = rng.choice([4096, 3000, 2049, 1500, 700, 90, 1], 3000).tolist()
+    rows = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "doc_id long, piece int, length long")
+    out = packing.pack(rows, group=200).toPandas().sort_values(["sequence_id", "offset"])
+    by = out.groupby("sequence_id").length
+    assert sorted(out.doc_id) == list(range(3000)) and by.sum().max() <= 4096 and (out.offset == by.cumsum() - out.length).all()
+    one, _ = packing.sum_of_squares(np.array(sizes, np.int64))
+    assert by.ngroups <= 1.03 * (one.max() + 1)
+
+
 def huffman_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)
@@ -198,12 +248,34 @@ def test_rows_without_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (4, "a b"), (None, None)], "doc_id long, text string")
     rows = packing.best_fit_pack(docs, WORDS)
     assert sorted((r.doc_id or 0, r.length) for r in rows.collect()) == [(0, 1), (0, 3), (4, 3)]
-    assert [r.doc_id for r in token_files.read_token_files(token_files.write_token_files(docs, BYTES)).collect()] == [4]
+    files = token_files.write_token_files(docs, BYTES, file_ids=4)
+    assert sorted((r.doc_id or 0, r.start, r.n_tokens) for r in token_files.read_token_files(files).collect()) in ([(0, 3, 1), (0, 4, 3), (4, 0, 3)], [(0, 3, 3), (0, 6, 1), (4, 0, 3)])
     assert secrets.find_secrets(docs).count() == 3
     pages = spark.createDataFrame([(None, "u", "x"), (1, "u", "x"), (None, "u", None)], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.record_type) for r in warc.read_warc(warc.write_warc(pages)).collect()) == [(0, "response"), (0, "response"), (1, "response")]
 
 
+def test_records_have_identifiers_of_their_own(spark):
+    """Rows that repeat, share an id or have none; a revisit names the record of its response."""
+    rows = [(None, "u", "x"), (None, "u", "x"), (1, "u", "x"), (1, "u", "x"), (1, "u", "y"), (2, "u", "x"), (3, None, None), (3, "v", "")]
+    for data in (rows, [(i, u, h) for i, (_, u, h) in enumerate(rows)]):
+        pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+        folder = warc.write_warc(pages).collect()
+        heads = []
+        for f in folder:
+            with open(f.path.removeprefix("file://"), "rb") as source:
+                heads += [warc.parse(x) for x in warc.read_records(source)]
+        ids = [h["WARC-Record-ID"] for h in heads]
+        assert len(set(ids)) == len(ids) == len(rows)
+        responses = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+        for h in heads:
+            if h["WARC-Type"] == "revisit":
+                target = responses[h["WARC-Refers-To"]]
+                assert target["digest"] == h["digest"] and target["Page-Id"] == h["Page-Refers-To"]
+        with_id = [h for h in heads if "Page-Id" in h]
+        assert sum(h["WARC-Type"] == "response" for h in with_id) == 3
+
+
 def test_archive_dictionary():
     sink = io.BytesIO()
     records = [warc.compose(i, "u", b"<html>common header</html>" * 20 + str(i).encode(), "00" * 20, None, "d") for i in range(400)]
@@ -233,7 +305,7 @@ def test_base_spans(text):
 @pytest.fixture(scope="module")
 def field():
     docs = pq.read_table("/root/testdata/sf0.01/documents.parquet")
-    return secrets.train(docs["text"].combine_chunks().slice(0, 600), passes=60)
+    return secrets.train(docs["text"].combine_chunks().slice(0, 600))
 
 
 def test_secrets(spark, field):
@@ -243,6 +315,8 @@ def test_secrets(spark, field):
         joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in brute_spans(t or ""))
         assert rows[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(rows[i].spans.split(","))
+        assert rows[i].n_crf == len(rows[i].spans.split(",")) - len(joined.split(",")) if rows[i].spans else rows[i].n_crf == 0
+    assert secrets.summary(secrets.find_secrets(table(spark, ["a"]), field)).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"]
     assert secrets.find_secrets(table(spark, [])).count() == 0
 
 
@@ -263,7 +337,7 @@ def test_decoding_is_that_of_whole_texts(field):
             elif y == 2:
                 expected[-1][2] = int(tokens.end[t])
     got = secrets.decode(tokens, tables, steps)
-    assert [x[:2] for x in map(list, got)] == [x[:2] for x in expected]
+    assert list(map(list, got)) == expected and got
 
 
 def test_field_finds_held_out_secrets(field):
@@ -280,16 +354,113 @@ def test_field_finds_held_out_secrets(field):
     assert n > 5 and hit >= 0.8 * n
 
 
+def test_field_finds_secrets_that_the_patterns_miss(spark, field):
+    """Keys of heads, lengths and alphabets that training did not have, in texts not trained on: precision and recall."""
+    rng = random.Random(11)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[600:] if t and len(t) > 200 and not brute_spans(t)][:150]
+    planted, harmless = [], ["2024-11-03", "10.20.30.40", "4845168114407329", "usr/share/doc/readme.txt", "UNDERSTANDING", "v2.10.3", "well-known-place"]
+    for i, t in enumerate(texts):
+        at = rng.choice([m.end() for m in re.finditer(" ", t)])
+        key = rng.choice(("glpat-" + "".join(rng.choices(mixed, k=20)), "rk_test_" + "".join(rng.choices(mixed, k=28)), "".join(rng.choices(mixed, k=27)), "".join(rng.choices("0123456789ABCDEF", k=40)), "".join(rng.choices(mixed + "+/", k=52))))
+        value = key if i % 2 else rng.choice(harmless)
+        lead = rng.choice(("", "the ", "signing with ", "passphrase ", "key "))
+        planted.append((t[:at] + lead + value + " " + t[at:], value if i % 2 else None))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string")
+    right = found = 0
+    for r in secrets.find_secrets(docs, field).collect():
+        text, value = planted[r.doc_id]
+        spans = [text[s.start : s.end] for s in r.spans if s.kind == "crf"]
+        found += len(spans)
+        right += value is not None and any(value in x or x in value and len(x) > 15 for x in spans)
+    n = sum(v is not None for _, v in planted)
+    print(f"planted {n}, found {found}, right {right}")
+    assert right >= 0.9 * n and found <= right + 0.05 * n
+
+
+def test_the_sample_of_the_field_is_bounded(spark):
+    """So many texts and bytes, whatever the number of partitions, also if most rows are one."""
+    from tidemark.llm.common import bounded_texts
+
+    docs = spark.createDataFrame([(i % 700 if i < 700 else None, f"text {min(i, 700)} " * 5) for i in range(2100)], "key long, text string").repartition(16)
+    rows = bounded_texts(docs, 100, 10_000, "text", "key", "text").collect()
+    assert 50 < len(rows) <= 100 and sum(len(r.text) for r in rows) <= 10_000 and len(set(rows)) == len(rows)
+    assert bounded_texts(docs, 100, 10_000, "text", "key", "text").collect() == rows
+    assert len(bounded_texts(docs.limit(3), 100, 1, "text", "key", "text").collect()) == 1
+    assert secrets.fit(docs.limit(0), key="key")[1].shape == (3, 3)
+
+
 def test_toxicity_on_held_out_labels():
     docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pandas()
     rows = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas().merge(docs, on="doc_id")
     fit, rest = rows[:2500], rows[2500:]
     model = toxicity.train(pa.array(fit.text, pa.string()), fit.toxic.to_numpy())
-    assert (np.diff(model.cuts) > 0).all()
+    assert model.levels.tolist() == [0, 1]
     above = model.above(pa.array(rest.text, pa.string()))
     assert (np.diff(above, axis=1) <= 0).all()
     rejected, toxic = above[:, 0] >= 0.5, rest.toxic.to_numpy() == 1
     assert (rejected & toxic).sum() >= 0.9 * toxic.sum() and (rejected & ~toxic).sum() <= 0.01 * (~toxic).sum()
+    # The expected grade: right on average, for toxic and other texts.
+    severity = model.severity(above)
+    assert abs(severity.mean() - toxic.mean()) < 0.03
+    assert severity[toxic].mean() > 0.8 and severity[~toxic].mean() < 0.03
+
+
+def test_grades_may_be_any_ordered_labels():
+    """Words that go with each of four grades: the expected grade follows them, with one set of weights."""
+    rng = random.Random(4)
+    plain = ["plain", "words", "only", "here", "and", "there"]
+    texts, grades = [], []
+    for i in range(1200):
+        grade = (0, 1, 3, 7)[i % 4]
+        texts.append(" ".join(rng.choices(plain, k=20) + ["mean"] * (0, 1, 4, 14)[i % 4]))
+        grades.append(grade)
+    model = toxicity.train(pa.array(texts[:800], pa.string()), np.array(grades[:800]))
+    above = model.above(pa.array(texts[800:], pa.string()))
+    severity, held_out = model.severity(above), np.array(grades[800:])
+    means = [severity[held_out == g].mean() for g in (0, 1, 3, 7)]
+    assert model.levels.tolist() == [0, 1, 3, 7] and means == sorted(means)
+    assert all(abs(m - g) < 0.7 for m, g in zip(means, (0, 1, 3, 7), strict=True))
+
+
+def test_fit_takes_grades(spark):
+    docs = table(spark, ["fine day here", "mean day here", "mean mean mean day here"] * 30)
+    labels = spark.createDataFrame([(i, (0, 2, 5)[i % 3], 0) for i in range(90)] + [(3, 0, 0), (4, None, 1), (None, 5, 1)], "doc_id long, grade int, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert model.levels.tolist() == [0, 2, 5]
+    assert [rows[i].grade for i in range(3)] == [0, 2, 5] and rows[0].severity < rows[1].severity < rows[2].severity <= 5
+
+
+def test_likelihood_and_gradient():
+    """The likelihood as its definition, text by text, and the gradient as differences of it."""
+    rng = np.random.default_rng(5)
+    n, m = 30, 6
+    dense = rng.poisson(0.7, (n, m)).astype(float)
+    doc, feature = np.nonzero(dense)
+    x, grade, w, free = dense[doc, feature], rng.integers(0, 4, n), rng.normal(size=m), np.array([-0.5, 0.3, -0.4])
+    value, by_w, by_free = toxicity.likelihood(w, free, doc, feature, x, grade)
+    cuts = [-np.inf, *toxicity.cuts_of(free).tolist(), np.inf]
+    assert cuts == sorted(cuts)
+    up_to = lambda k, s: 1 / (1 + np.exp(-(cuts[k + 1] - s))) if k >= 0 else 0.0
+    total = sum(np.log(up_to(int(g), dense[i] @ w) - up_to(int(g) - 1, dense[i] @ w)) for i, g in enumerate(grade)) / n
+    assert abs(value - (total - 0.5e-4 * (w * w).sum())) < 1e-9
+    h = 1e-6
+    for k in range(m):
+        step = np.eye(m)[k] * h
+        slope = (toxicity.likelihood(w + step, free, doc, feature, x, grade)[0] - toxicity.likelihood(w - step, free, doc, feature, x, grade)[0]) / (2 * h)
+        assert abs(slope - by_w[k]) < 1e-6
+    for k in range(3):
+        step = np.eye(3)[k] * h
+        slope = (toxicity.likelihood(w, free + step, doc, feature, x, grade)[0] - toxicity.likelihood(w, free - step, doc, feature, x, grade)[0]) / (2 * h)
+        assert abs(slope - by_free[k]) < 1e-6
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    model = toxicity.train(pa.array(["you idiot", "good day"] * 20, pa.string()), np.array([1, 0] * 20))
+    docs = table(spark, ["good day " * 200_000 + "you idiot", "good day"])
+    assert {r.doc_id: r.rejected for r in toxicity.score(docs, model).collect()}[1] is False
+    assert toxicity.score(docs, model).count() == 2
 
 
 def test_toxicity_edges(spark):

@@ -90,12 +90,12 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
         f AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\x0B\x0C]+', ' ', 'g')) AS form FROM l),
-        u AS (SELECT form, length(form) AS n, min((doc_id, i)) AS first_place FROM f WHERE length(form) >= 20 GROUP BY form),
-        k AS (SELECT *, n AS b FROM u UNION ALL SELECT *, n - 1 AS b FROM u),
+        u AS (SELECT form, length(form) AS n, min((doc_id, i)) AS first_place FROM f WHERE form <> '' GROUP BY form),
+        k AS (SELECT *, n AS b FROM u WHERE n >= 20 UNION ALL SELECT *, n - 1 AS b FROM u WHERE n >= 20),
         c AS (SELECT x.form AS a, y.form AS o FROM k x JOIN k y ON x.b = y.b AND left(x.form, (x.b - 1) // 2) = left(y.form, (y.b - 1) // 2) AND y.first_place < x.first_place
               UNION SELECT x.form, y.form FROM k x JOIN k y ON x.b = y.b AND right(x.form, (x.b - 1) // 2) = right(y.form, (y.b - 1) // 2) AND y.first_place < x.first_place),
         g AS (SELECT DISTINCT a AS form FROM c WHERE abs(length(a) - length(o)) <= 1 AND levenshtein(a, o) <= 1),
-        r AS (SELECT f.*, length(form) >= 20 AND ((doc_id, i) <> first_place OR g.form IS NOT NULL) AS gone FROM f LEFT JOIN u USING (form) LEFT JOIN g USING (form))
+        r AS (SELECT f.*, form <> '' AND ((doc_id, i) <> first_place OR g.form IS NOT NULL) AS gone FROM f LEFT JOIN u USING (form) LEFT JOIN g USING (form))
         SELECT d.doc_id, CAST(count(r.i) AS BIGINT) AS n_lines, CAST(count(*) FILTER (r.gone) AS BIGINT) AS n_removed,
             CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(r.line, chr(10) ORDER BY r.i) FILTER (NOT coalesce(r.gone, false)), '') END AS text
         FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, d.text""",
@@ -132,15 +132,21 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-        k AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+        k AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0 AND item_id IS NOT NULL),
         g AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM k)),
         p AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM g))),
         m AS (SELECT doc_id, item_id, n, s FROM p JOIN g USING (n, g)),
         h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM m) GROUP BY doc_id),
-        i AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM m) GROUP BY doc_id)
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM m) GROUP BY doc_id),
+        o AS (SELECT doc_id, w[p] AS term, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+        f AS (SELECT term, count(*) AS n FROM o GROUP BY term),
+        t AS (SELECT DISTINCT item_id, w, least(len(list_distinct(w)), 3) AS needs, unnest(list_distinct(w)) AS term FROM b WHERE item_id IS NOT NULL),
+        c AS (SELECT * FROM t JOIN f USING (term) QUALIFY row_number() OVER (PARTITION BY item_id, w ORDER BY n, term) <= 3),
+        q AS (SELECT doc_id, item_id, needs, count(DISTINCT term) OVER (PARTITION BY doc_id, item_id, w ORDER BY p RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING) AS seen FROM o JOIN c USING (term)),
+        v AS (SELECT doc_id, count(*) AS n_near, string_agg(t, ',' ORDER BY t) AS near FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM q WHERE seen >= needs) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN v USING (doc_id)""",
     "op7_suffix_array_dedup": rf"""
         WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         g AS (SELECT doc_id, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM w)),
