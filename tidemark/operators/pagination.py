@@ -16,8 +16,11 @@ def page_urls(listings: DataFrame, pages: int = urls.PAGES) -> DataFrame:
 
 
 def until_end(responses: DataFrame) -> DataFrame:
-    """The responses of each catalog before the first bad one: not 200, empty, or a later page that led elsewhere."""
-    elsewhere = (F.col("page_no") != 1) & (F.col("request_url") != urls.normalise(F.col("final_url")))
-    bad = (F.col("status") != 200) | (F.coalesce(F.col("body"), F.lit("")) == "") | elsewhere
+    """The responses of each catalog before the first bad one: not 200, empty, or a later page that led elsewhere.
+
+    Addresses are those on the wire; both are normalised before they are compared.
+    """
+    elsewhere = (F.col("page_no") != 1) & ~urls.normalise(F.col("request_url")).eqNullSafe(urls.normalise(F.col("final_url")))
+    bad = ~F.col("status").eqNullSafe(200) | (F.coalesce(F.col("body"), F.lit("")) == "") | elsewhere
     ahead = Window.partitionBy("catalog_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return responses.withColumn("ended", F.max(bad.cast("int")).over(ahead)).where("ended = 0").drop("ended")

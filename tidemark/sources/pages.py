@@ -7,7 +7,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.urls import PAGES
+
 RESPONSES = "catalog_id long, page_no int, request_url string, final_url string, status int, body string"
+#: Characters of an address that go over the wire as they are.
+_PLAIN = "/:?#[]@!$&'()*+,;=%~-._"
+_REDIRECTS = (301, 302, 303, 307, 308)
 
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,11 +20,85 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/pages.parquet")
 
 
+#: Pairs of a listing and an entry of its series.
+EXAMPLE_PAIRS = [
+    ("https://fourseasonsforest.wordpress.com/about-your-pride-and-my-prejudice/", "https://fourseasonsforest.wordpress.com/2021/12/14/about-your-pride-and-my-prejudice-01/"),
+    ("https://lorenovels.com/surviving-in-a-romance-fantasy-novel/", "https://lorenovels.com/chapter-59-black-moon-unit-part-6/"),
+    ("https://asuracomic.net/manga/magic-academys-genius-blinker/", "https://asuracomic.net/magic-academys-genius-blinker-chapter-22/"),
+    ("https://www.lightnovelworld.co/novel/advent-of-the-three-calamities/chapters", "https://www.lightnovelworld.co/novel/advent-of-the-three-calamities-1678/chapter-4"),
+    ("https://genesistls.com/series/the-academys-weakest-became-a-demon-limited-hunter/", "https://genesistls.com/demon-limited-hunter-chapter-1/"),
+]
+
+
+def pairs(spark: SparkSession, rows: list[tuple[str, str]] = EXAMPLE_PAIRS) -> DataFrame:
+    """Listings given with a target: catalog_id in the order of the rows, source_url, target_url."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "catalog_id long, source_url string, target_url string")
+
+
 def database(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of a relational database; needs its JDBC driver on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def page_address(listing: str, page: int) -> str:
+    """The address to ask for: that of the listing, decoded once and without slashes at its end, and the page from 2 on."""
+    from urllib.parse import quote, unquote, urlsplit
+
+    base = unquote(listing).rstrip("/")
+    if page > 1:
+        base += f"{'&' if urlsplit(base).query else '?'}page={page}"
+    # A % that is left begins an escape that was there twice, or none at all.
+    return quote(base.replace("%", "%25"), safe=_PLAIN)
+
+
+class Connections:
+    """Connections to hosts, kept open from one request to the next."""
+
+    def __init__(self, timeout: float):
+        self.timeout, self.open = timeout, {}
+
+    def _once(self, url: str):
+        import http.client
+        from urllib.parse import urlsplit
+
+        parts = urlsplit(url)
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            raise ValueError(f"not an address of the web: {url}")
+        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+        key = parts.scheme, parts.hostname, parts.port
+        for fresh in (False, True):  # a connection that was kept may have been closed at the other end
+            if fresh or key not in self.open:
+                self.open[key] = kind(parts.hostname, parts.port, timeout=self.timeout)
+                fresh = True
+            try:
+                self.open[key].request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": "tidemark"})
+                answer = self.open[key].getresponse()
+                return answer.status, answer.headers, answer.read()
+            except (http.client.HTTPException, OSError):
+                self.open.pop(key).close()
+                if fresh:
+                    raise
+
+    def get(self, url: str, redirects: int = 3) -> tuple[str, int, str]:
+        """(final address, status, body) of an address; redirects are followed."""
+        from urllib.parse import urljoin
+
+        while True:
+            status, headers, raw = self._once(url)
+            if status not in _REDIRECTS or "Location" not in headers:
+                try:
+                    return url, status, raw.decode(headers.get_content_charset() or "utf-8", "replace")
+                except LookupError:  # a character set that there is not
+                    return url, status, raw.decode("utf-8", "replace")
+            if not redirects:
+                raise OSError("too many redirects")
+            url, redirects = urljoin(url, headers["Location"]), redirects - 1
+
+    def close(self) -> None:
+        for connection in self.open.values():
+            connection.close()
+
+
 class _Listing(InputPartition):
     def __init__(self, catalog_id: int, url: str):
         self.catalog_id, self.url = catalog_id, url
@@ -28,29 +107,30 @@ class _Listing(InputPartition):
 class _ListingReader(DataSourceReader):
     def __init__(self, options):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.pages = int(options.get("pages", 19))
+        self.pages = int(options.get("pages", PAGES))
         self.timeout = float(options.get("timeout", 30))
 
     def partitions(self):
         return [_Listing(i, u) for i, u in enumerate(self.urls)]
 
     def read(self, partition: _Listing) -> Iterator[tuple]:
-        """Later pages are asked for only while the listing goes on."""
-        import urllib.error
-        import urllib.request
-
-        for n in range(1, self.pages + 1):
-            url = partition.url if n == 1 else f"{partition.url}{'&' if '?' in partition.url else '?'}page={n}"
-            try:
-                with urllib.request.urlopen(url, timeout=self.timeout) as answer:
-                    final, status, body = answer.geturl(), answer.status, answer.read().decode("utf-8", "replace")
-            except urllib.error.HTTPError as e:
-                final, status, body = e.geturl(), e.code, ""
-            except OSError:
-                final, status, body = url, None, ""
-            yield partition.catalog_id, n, url, final, status, body
-            if status != 200 or not body or n > 1 and final.rstrip("/") != url:
-                return
+        """Later pages are asked for only while the listing goes on; whatever fails is a row without status and ends it."""
+        from urllib.parse import unquote
+
+        connections = Connections(self.timeout)
+        try:
+            for n in range(1, self.pages + 1):
+                url = partition.url
+                try:
+                    url = page_address(partition.url, n)
+                    final, status, body = connections.get(url)
+                except Exception:  # an address or an answer that is none must not stop the other listings
+                    final, status, body = url, None, ""
+                yield partition.catalog_id, n, url, final, status, body
+                if status != 200 or not body or n > 1 and unquote(final).rstrip("/") != unquote(url):
+                    return
+        finally:
+            connections.close()
 
 
 class ListingSource(DataSource):
@@ -67,7 +147,7 @@ class ListingSource(DataSource):
         return _ListingReader(self.options)
 
 
-def listings(spark: SparkSession, urls: list[str], pages: int = 19) -> DataFrame:
-    """Fetched responses of the listings, catalog_id in the order of urls."""
+def listings(spark: SparkSession, urls: list[str], pages: int = PAGES) -> DataFrame:
+    """Fetched responses of the listings, catalog_id in the order of urls; addresses as they went over the wire."""
     spark.dataSource.register(ListingSource)
     return spark.read.format("listing").option("urls", "\n".join(urls)).option("pages", pages).load()
