@@ -33,8 +33,8 @@ def unescape(text: Column) -> Column:
 
 
 def open_paragraphs(html: Column) -> Column:
-    """How many paragraphs begin."""
-    return F.regexp_count(visible(html), F.lit(PARAGRAPH)).cast("long")
+    """How many paragraphs begin; none without a text."""
+    return F.coalesce(F.regexp_count(visible(html), F.lit(PARAGRAPH)).cast("long"), F.lit(0).cast("long"))
 
 
 def toplevel_paragraphs(html: Column) -> Column:

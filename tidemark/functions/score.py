@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -25,21 +24,16 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(total)
 
 
-def above_mean(score: Column, catalog: WindowSpec) -> Column:
-    """score > mean, in whole numbers."""
-    return score * F.count(F.lit(1)).over(catalog) > F.sum(score).over(catalog)
+def above_mean(score: Column, n: Column, total: Column) -> Column:
+    """score > mean of n scores, in whole numbers."""
+    return score * n > total
 
 
-def above_share_of_mean(score: Column, catalog: WindowSpec, numerator: int = 4, denominator: int = 5) -> Column:
+def above_share_of_mean(score: Column, n: Column, total: Column, numerator: int = 4, denominator: int = 5) -> Column:
     """score > numerator / denominator * mean, in whole numbers."""
-    return score * F.count(F.lit(1)).over(catalog) * denominator > F.sum(score).over(catalog) * numerator
+    return score * n * denominator > total * numerator
 
 
-def all_equal(score: Column, catalog: WindowSpec) -> Column:
-    return F.min(score).over(catalog) == F.max(score).over(catalog)
-
-
-def z_score(score: Column, catalog: WindowSpec) -> Column:
-    """Standard score with the population deviation; null where all are equal."""
-    deviation = F.stddev_pop(score).over(catalog)
-    return (score - F.avg(score).over(catalog)) / F.nullif(deviation, F.lit(0.0))
+def z_score(score: Column, mean: Column, deviation: Column) -> Column:
+    """Standard score; null where all are equal."""
+    return (score - mean) / F.nullif(deviation, F.lit(0.0))

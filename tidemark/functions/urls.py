@@ -78,6 +78,14 @@ def join_classes(classes: Column) -> Column:
 
 
 def numbers(params: Column) -> Column:
-    """Distinct numbers of path?query in ascending order; a number at the very end is not one, nor one beyond 64 bits."""
-    runs = F.regexp_extract_all(params, F.lit("([0-9]+)[^0-9]"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(runs, lambda x: x.try_cast("long")), lambda x: x.isNotNull())))
+    """Distinct numbers of path?query in ascending order, as structs (size, digits); a number at the very end is not one.
+
+    Structs of the number of digits and the digits compare as the numbers do, however large these are.
+    """
+    runs = F.regexp_extract_all(params, F.lit("0*([0-9]+)[^0-9]"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(runs, lambda x: F.struct(F.length(x).alias("size"), x.alias("digits")))))
+
+
+def digits(found: Column) -> Column:
+    """Numbers as text."""
+    return F.transform(found, lambda x: x["digits"])

@@ -1,32 +1,56 @@
-"""Which links of a catalog are entries of its series. A catalog is all rows with one catalog_id."""
+"""Which links of a catalog are entries of its series. A catalog is all rows with one catalog_id (null is one too).
+
+What is compared with a catalog's mean is joined with its aggregates, which Spark counts up before it shuffles them: no
+task gets all links of a catalog, however many there are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-from ..functions.score import above_mean, above_share_of_mean, all_equal, similarity
+from ..functions.score import above_mean, above_share_of_mean, similarity, z_score
 
 
-def catalog() -> WindowSpec:
-    return Window.partitionBy("catalog_id")
+def by_catalog(links: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """links with the other columns of facts, which has a row for each catalog_id; catalogs without an id meet too."""
+    facts = facts.withColumnRenamed("catalog_id", "_catalog")
+    return links.join(facts, F.col("catalog_id").eqNullSafe(F.col("_catalog")), how).drop("_catalog")
 
 
 def scored(links: DataFrame, targets: DataFrame) -> DataFrame:
     """links (catalog_id, split_path, ...) with the similarity to the catalog's target (catalog_id, target_path).
 
-    An inner equi-join; Spark broadcasts the targets if they are small enough by its own threshold.
+    An equi-join; Spark broadcasts the targets if they are small enough by its own threshold.
     """
-    return links.join(targets, "catalog_id").withColumn("score", similarity(F.col("target_path"), F.col("split_path"))).drop("target_path")
+    return by_catalog(links, targets).withColumn("score", similarity(F.col("target_path"), F.col("split_path"))).drop("target_path")
+
+
+def statistics(links: DataFrame) -> DataFrame:
+    """Of each catalog: n links, the total, least and most score, their mean and population deviation."""
+    return links.groupBy("catalog_id").agg(
+        F.count("*").alias("n"), F.sum("score").alias("total"), F.min("score").alias("least"), F.max("score").alias("most"),
+        F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"),
+    )
+
+
+_STATISTICS = ("n", "total", "least", "most", "mean", "deviation")
+
+
+def z_scores(links: DataFrame) -> DataFrame:
+    """links with z, the standard score in their catalog."""
+    known = by_catalog(links, statistics(links))
+    return known.withColumn("z", z_score(F.col("score"), F.col("mean"), F.col("deviation"))).drop(*_STATISTICS)
 
 
-def keep_last(links: DataFrame) -> DataFrame:
-    """Of links with the same address, host and path, the last of the catalog."""
-    same = Window.partitionBy("catalog_id", "url", "hostname", "path").orderBy(F.desc("page_no"), F.desc("pos"))
-    return links.withColumn("rn", F.row_number().over(same)).where("rn = 1").drop("rn")
+def keep_last(links: DataFrame, *more: str) -> DataFrame:
+    """Of links with the same address, host and path (and more), the last of the catalog; an aggregate, so repeats are combined before they are shuffled."""
+    keys = ["catalog_id", "url", "hostname", "path", *more]
+    rest = F.struct(*(c for c in links.columns if c not in keys))
+    last = links.groupBy(*keys).agg(F.max_by(rest, F.struct("page_no", "pos")).alias("last"))
+    return last.select(*keys, "last.*").select(*links.columns)
 
 
 def where_value(rows: DataFrame, value: Column, keep: Callable[[Column], Column]) -> DataFrame:
@@ -36,15 +60,13 @@ def where_value(rows: DataFrame, value: Column, keep: Callable[[Column], Column]
 
 def filter_links(links: DataFrame) -> DataFrame:
     """Links that score above their catalog's mean, the last of equal ones; all links of a catalog with one score only."""
-    marked = links.withColumns({"flat": all_equal(F.col("score"), catalog()), "above": above_mean(F.col("score"), catalog())})
-    kept = marked.where("flat or above")
+    flat = F.col("least") == F.col("most")
+    kept = by_catalog(links, statistics(links)).where(flat | above_mean(F.col("score"), F.col("n"), F.col("total")))
     # Only catalogs with several scores lose duplicates: a flat link's own place makes it unlike all others.
-    place = lambda c: F.when(F.col("flat"), F.col(c)).otherwise(F.lit(None))
-    same = Window.partitionBy("catalog_id", "url", "hostname", "path", "flat_page", "flat_pos").orderBy(F.desc("page_no"), F.desc("pos"))
-    kept = kept.withColumns({"flat_page": place("page_no"), "flat_pos": place("pos")}).withColumn("rn", F.row_number().over(same))
-    return kept.where("rn = 1").drop("flat", "above", "flat_page", "flat_pos", "rn")
+    kept = kept.withColumns({"flat_page": F.when(flat, F.col("page_no")), "flat_pos": F.when(flat, F.col("pos"))}).drop(*_STATISTICS)
+    return keep_last(kept, "flat_page", "flat_pos").drop("flat_page", "flat_pos")
 
 
 def mean_filter(links: DataFrame) -> DataFrame:
     """Links that score above four fifths of the mean of the links given."""
-    return links.withColumn("keep", above_share_of_mean(F.col("score"), catalog())).where("keep").drop("keep")
+    return by_catalog(links, statistics(links)).where(above_share_of_mean(F.col("score"), F.col("n"), F.col("total"))).drop(*_STATISTICS)

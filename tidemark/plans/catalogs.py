@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import links as link_ops
-from ..operators.order import directions, reversed_unless
+from ..operators.order import directions, ranked, reversed_unless
 from ..operators.pagination import until_end
-from ..operators.select import filter_links, mean_filter, scored
+from ..operators.select import by_catalog, filter_links, mean_filter, scored
+from ..storage import written
 
 _PARTS = ("hostname", "path", "query", "protocol", "split_path", "path_params")
 
@@ -53,7 +54,7 @@ def listing_links(responses: DataFrame, listings: DataFrame, how: str = "compat"
     responses: catalog_id, page_no, request_url, final_url, status, body; listings: catalog_id, source_url.
     """
     own = listings.select("catalog_id", urls.parts(urls.normalise(F.col("source_url"))).alias("page")).select("catalog_id", F.col("page.hostname").alias("page_host"), F.col("page.protocol").alias("page_protocol"))
-    pages = until_end(responses.where(F.col("page_no") <= urls.PAGES)).select("catalog_id", "page_no", F.col("body").alias("html")).join(own, "catalog_id")
+    pages = by_catalog(until_end(responses.where(F.col("page_no") <= urls.PAGES)).select("catalog_id", "page_no", F.col("body").alias("html")), own)
     found = link_ops.extract(pages, title=title).withColumn("link", link_ops.resolve(F.col("href"), F.col("page_host"), F.col("page_protocol"), how))
     return found.select("catalog_id", "page_no", "pos", "href", F.col("link.url").alias("url"), *(F.col("link")[c].alias(c) for c in _PARTS))
 
@@ -63,14 +64,29 @@ def targets(listings: DataFrame) -> DataFrame:
     return listings.select("catalog_id", urls.parts(urls.normalise(F.col("target_url")))["split_path"].alias("target_path"))
 
 
+def _scored_once(links: DataFrame, target_paths: DataFrame) -> DataFrame:
+    """The scored links, written, as their catalogs' aggregates are needed beside them: pages are read and parsed once."""
+    return written(scored(links, target_paths).select("catalog_id", "page_no", "pos", "url", "hostname", "path", "path_params", "score"), "scored")
+
+
 def get_links(links: DataFrame, target_paths: DataFrame) -> DataFrame:
     """catalog_id, rank (from 1), url and score of each catalog's entries, in the order of the series."""
-    kept = filter_links(scored(links, target_paths))
-    ordered = reversed_unless(kept, directions(kept))
-    rank = F.row_number().over(Window.partitionBy("catalog_id").orderBy("ord"))
-    return ordered.select("catalog_id", rank.cast("long").alias("rank"), "url", "score")
+    kept = written(filter_links(_scored_once(links, target_paths)), "kept")
+    ordered = reversed_unless(kept, directions(kept)).select("catalog_id", "page_ord", "pos_ord", "url", "score")
+    return ranked(ordered, "catalog_id", "page_ord", "pos_ord").select("catalog_id", "rank", "url", "score")
 
 
 def batch(links: DataFrame, target_paths: DataFrame) -> DataFrame:
     """Entries after both filters, in the order in which they were found: catalog_id, page_no, pos, url, score."""
-    return mean_filter(filter_links(scored(links, target_paths))).select("catalog_id", "page_no", "pos", "url", "score")
+    kept = written(filter_links(_scored_once(links, target_paths)), "kept")
+    return mean_filter(kept).select("catalog_id", "page_no", "pos", "url", "score")
+
+
+def whole_listings(responses: DataFrame, listings: DataFrame, how: str = "compat", title: str | None = None) -> DataFrame:
+    """get_links over fetched listings: catalog_id, source_url, target_url."""
+    return get_links(listing_links(responses, listings, how, title), targets(listings))
+
+
+def batch_of_pairs(responses: DataFrame, listings: DataFrame) -> DataFrame:
+    """batch over fetched listings that are given with their targets: catalog_id, source_url, target_url."""
+    return batch(listing_links(responses, listings), targets(listings))

@@ -33,7 +33,12 @@ def names(items: DataFrame) -> DataFrame:
     return items.select("name")
 
 
-def append(items: DataFrame, path: str) -> None:
-    """Adds items; name and originUrl must not be empty, currUrl defaults to originUrl."""
+def valid(items: DataFrame) -> DataFrame:
+    """Items that may be added: name and originUrl must not be empty, currUrl defaults to originUrl."""
     good = items.where("name <> '' and originUrl <> ''")
-    good.withColumn("currUrl", current_url(F.col("currUrl"), F.col("originUrl"))).select("_id", "name", "originUrl", "currUrl").write.mode("append").parquet(path)
+    return good.withColumn("currUrl", current_url(F.col("currUrl"), F.col("originUrl"))).select("_id", "name", "originUrl", "currUrl")
+
+
+def append(items: DataFrame, path: str) -> None:
+    """Adds the items that are valid."""
+    valid(items).write.mode("append").parquet(path)
