@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, line_dedup, ngram_join, packing, toxicity
-from tidemark.llm.common import scratch, scratch_until_end
+from tidemark.storage import scratch, scratch_until_end
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

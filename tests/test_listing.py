@@ -1,4 +1,4 @@
-"""The listing tracker: goldens by hand, edge cases, and every query against its SQL."""
+"""Listings: goldens by hand, edge cases, and every query against its SQL."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,9 +83,9 @@ def test_keep_last(spark):
     assert [r.url for r in select.keep_last(rows).orderBy("pos").collect()] == ["b", "a", "c"]
 
 
-@pytest.mark.parametrize(("params", "found"), [("/en/825?page=2&ref=x", [2, 825]), ("/x?page=2", []), ("/a/1-22-3?", [1, 3, 22]), ("/c-01/v-1?", [1]), ("/99999999999999999999?", [])])
+@pytest.mark.parametrize(("params", "found"), [("/en/825?page=2&ref=x", [2, 825]), ("/x?page=2", []), ("/a/1-22-3?", [1, 3, 22]), ("/c-01/v-1?", [1]), ("/99999999999999999999?", [99999999999999999999]), ("/000/0007/7?", [0, 7]), ("/9/1" + "0" * 60 + "/10?", [9, 10, 10**60])])
 def test_numbers(spark, params, found):
-    assert one(spark, params, urls.numbers) == found
+    assert one(spark, params, lambda p: urls.digits(urls.numbers(p))) == [str(n) for n in found]
 
 
 @pytest.mark.parametrize(
@@ -107,7 +107,7 @@ def test_series_order(spark, given, out):
 
 def test_pagination(spark):
     cases = spark.createDataFrame(queries.RESPONSE_CASES, "catalog_id long, page_no int, request_url string, final_url string, status int, body string")
-    assert sorted((r.catalog_id, r.page_no) for r in pagination.until_end(cases).collect()) == [(1, 1), (1, 2), (2, 1), (4, 1)]
+    assert sorted((r.catalog_id, r.page_no) for r in pagination.until_end(cases).collect()) == [(1, 1), (1, 2), (2, 1), (4, 1), (5, 1), (5, 2), (5, 3)]
     listing = spark.createDataFrame([("http://h/x", ""), ("http://h/x?s=1", "s=1")], "url string, query string")
     got = pagination.page_urls(listing, 2).where("page_no = 2").collect()
     assert sorted(r.page_url for r in got) == ["http://h/x?page=2", "http://h/x?s=1&page=2"]
@@ -128,7 +128,7 @@ def test_paragraphs(spark):
     assert one(spark, html, open_paragraphs) == 3
     assert one(spark, html, toplevel_paragraphs) == 1
     assert one(spark, "<p>a</p><p>b</p>", toplevel_paragraphs) == 2
-    assert one(spark, None, open_paragraphs) is None
+    assert one(spark, None, open_paragraphs) == one(spark, None, toplevel_paragraphs) == 0
     assert one(spark, "", hrefs) == []
 
 
@@ -138,6 +138,155 @@ def test_content(spark, n, status, there):
     assert content.page_content(rows).first().has_content is there
 
 
+def test_no_text_is_no_content(spark):
+    rows = spark.createDataFrame([(1, None)], "page_id long, html string")
+    for how in ("open", "toplevel"):
+        assert tuple(content.page_content(rows, how).first()) == (1, 0, False)
+
+
+def brute_toplevel(html):
+    """Paragraphs that begin while no other is open, read tag by tag."""
+    import re
+
+    found = depth = 0
+    for m in re.finditer(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)p(?:\s[^>]*)?(/?)>", html):
+        if m[0].startswith("<!--") or m[1]:
+            continue
+        if m[2]:
+            depth = max(0, depth - 1)
+        else:
+            found += depth == 0
+            depth += not m[3]
+    return found
+
+
+def test_toplevel_paragraphs_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    parts = ["<p>", "</p>", "<p class='x'>", "<P>", "</P>", "<p/>", "<pre>", "</pre>", "text", "<!-- <p> -->", "<script>'<p>'</script>", "<div>", "</div>", "<style>p{}</style>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    got = {r.page_id: r.paragraphs for r in content.page_content(rows, "toplevel").collect()}
+    assert got == {i: brute_toplevel(t) for i, t in enumerate(texts)}
+    pages = queries.snapshot(spark, DATA).toPandas()
+    got = {r.page_id: r.paragraphs for r in queries.paragraph_count_toplevel(spark, DATA).collect()}
+    assert got == {i: brute_toplevel(t) for i, t in zip(pages.page_id, pages.html, strict=True)}
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7])
+def test_directions_by_ranges(spark, ranges):
+    """What ranges of rows do, put together, is what the whole walk gives."""
+    import random
+
+    rng = random.Random(ranges)
+    rows = [(c, p, i, f"/{'/'.join(str(rng.randint(0, 6)) for _ in range(rng.randint(0, 3)))}/x") for c in range(12) for p in (1, 2) for i in range(c * 2)]
+    links = spark.createDataFrame(rows, "catalog_id long, page_no int, pos int, path_params string")
+    got = {r.catalog_id: (r.forward, r.backward) for r in order.directions(links, ranges).collect()}
+    seqs = {}
+    for c, _, _, params in rows:
+        if found := sorted({int(x) for x in params.split("/") if x.isdigit()}):
+            seqs.setdefault(c, []).append(found)
+    whole = spark.createDataFrame(list(seqs.items()), "c long, r array<array<long>>").select("c", order.fold(F.col("r")).alias("a"), order.fold(F.reverse("r")).alias("b"))
+    assert got == {r.c: (r.a, r.b) for r in whole.collect()} == {c: (walk(s), walk(s[::-1])) for c, s in seqs.items()}
+
+
+def walk(rows):
+    """The fold, slot by slot."""
+    slots = [0] * (len(rows[0]) + 1)
+    for last, now in zip(rows, rows[1:], strict=False):
+        upto = lambda row, x: sum(e <= x for e in row)
+        begin = max(upto(now, last[0]) - 1, 0)
+        slots = [1 + slots[upto(last, x)] if k >= begin else 0 for k, x in enumerate(now)] + [0]
+    return max(slots)
+
+
+def test_ranks(spark):
+    rows = spark.createDataFrame([(None if i % 3 else "g", i * 7 % 50, i) for i in range(50)], "g string, x int, y int")
+    got = [tuple(r) for r in order.ranked(rows.repartition(5), "g", "x", "y").collect()]
+    for g in (None, "g"):
+        own = sorted((x, y, rank) for h, x, y, rank in got if h == g)
+        assert [r for _, _, r in own] == list(range(1, len(own) + 1))
+
+
+def test_catalogs_without_a_host(spark):
+    """They are catalogs like others: their links are scored, filtered and ordered."""
+    pages = spark.createDataFrame([(1, "mailto:a", "x"), (2, "mailto:b", "x"), (3, "http://h/a", "x")], "page_id long, url string, html string")
+    site = catalogs.site_catalogs(pages)
+    assert sorted((r.catalog_id or "", r.rank) for r in catalogs.get_links(site, catalogs.first_targets(site)).collect()) == [("", 1), ("h", 1)]
+    assert catalogs.batch(site, catalogs.first_targets(site)).count() >= 1
+
+
+@pytest.fixture(scope="module")
+def server():
+    """A site of listings: pages end by redirect, by status, by an empty body; some addresses fail."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, unquote, urlsplit
+
+    seen = []
+
+    class Site(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_GET(self):
+            seen.append((self.path, self.client_address))
+            parts = urlsplit(self.path)
+            page = int(parse_qs(parts.query).get("page", ["1"])[0])
+            path = unquote(parts.path)
+            status, body, to = 200, f'<a href="/c/{page}">x</a>', None
+            if path == "/a b" and page == 4:
+                status, to = 302, "/a%20b"
+            elif path == "/x" and page == 3:
+                status = 404
+            elif path == "/empty" and page == 2:
+                body = ""
+            elif path == "/loop":
+                status, to = 302, "/loop"
+            elif path == "/broken":
+                self.close_connection = True
+                return
+            data = body.encode()
+            self.send_response(status)
+            if to:
+                self.send_header("Location", to)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *a):
+            pass
+
+    site = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{site.server_port}", seen
+    site.shutdown()
+
+
+def test_live_listings(spark, server):
+    from tidemark.sources.pages import listings
+
+    base, seen = server
+    asked = ["/a%20b", "/a b/", "/x/", "/x", "/empty", "/q?s=1", "/loop", "/broken"]
+    urls_ = [base + a for a in asked] + ["http://[x", "no address", "ftp://127.0.0.1/x", "http://127.0.0.1:1/x"]
+    answers = listings(spark, urls_, 5)
+    rows = answers.collect()
+    by = lambda i: [(r.page_no, r.status) for r in sorted(rows, key=lambda r: r.page_no) if r.catalog_id == i]
+    assert by(0) == by(1) == [(1, 200), (2, 200), (3, 200), (4, 200)]
+    assert by(2) == by(3) == [(1, 200), (2, 200), (3, 404)]
+    assert by(4) == [(1, 200), (2, 200)] and by(5) == [(i, 200) for i in range(1, 6)]
+    assert all(by(i) == [(1, None)] for i in range(6, 12))
+    kept = sorted((r.catalog_id, r.page_no) for r in pagination.until_end(spark.createDataFrame(rows, answers.schema)).collect())
+    assert kept == [(c, p) for c, n in ((0, 3), (1, 3), (2, 2), (3, 2), (4, 1), (5, 5)) for p in range(1, n + 1)]
+    assert "/x?page=2" in {p for p, _ in seen} and "/q?s=1&page=2" in {p for p, _ in seen}
+    # One connection served all pages of a listing.
+    assert len({c for p, c in seen if p.startswith("/q")}) == 1
+    pairs = spark.createDataFrame([(i, u, base + "/c/9") for i, u in enumerate(urls_)], "catalog_id long, source_url string, target_url string")
+    found = catalogs.whole_listings(spark.createDataFrame(rows, answers.schema), pairs)
+    assert sorted((r.catalog_id, r.url.split("/")[-1]) for r in found.collect() if r.catalog_id == 0) == [(0, "1"), (0, "2"), (0, "3")]
+
+
 def test_items(spark, tmp_path):
     path = f"{tmp_path}/items"
     items.append(spark.createDataFrame([("1", "n", "o", ""), ("2", "", "o", "c")], "_id string, name string, originUrl string, currUrl string"), path)
@@ -169,9 +318,3 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "u", "<p>x</p>" * 30)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/in")
     content_updates(arriving_pages(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, 30, True)]
-
-
-def test_source_registers(spark):
-    from tidemark.sources.pages import listings
-
-    assert listings(spark, ["file:///nowhere"], 2).schema.names == ["catalog_id", "page_no", "request_url", "final_url", "status", "body"]
