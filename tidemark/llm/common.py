@@ -1,11 +1,9 @@
-"""What the operators of this subpackage share: scratch tables, file access, batches of text."""
+"""What the operators of this subpackage share: written tables, samples, joins on hot keys, file access, batches of text."""
 
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Characters of text that a worker turns into arrays at once.
 SLICE_CHARS = 4_000_000
 #: Bytes that Spark and Python pass to each other at once.
@@ -45,45 +45,6 @@ def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, which the session must have."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-    return root.rstrip("/")
-
-
-#: Scratch paths of this process that still stand.
-_standing: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    _standing.append(path)
-    return path
-
-
-def remove_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Removes the scratch tables made since so many stood; what was read from them must have been used."""
-    jvm = spark._jvm
-    for path in _standing[since:]:
-        if path not in keep:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-            _standing.remove(path)
-
-
-@contextmanager
-def scratch_until_end(spark: SparkSession, *keep: str) -> Iterator[None]:
-    """Scratch tables made inside are removed at the end, but for the paths to keep."""
-    since = len(_standing)
-    try:
-        yield
-    finally:
-        remove_scratch(spark, since, keep)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Batches between the JVM and Python of a few MB, whatever the size of a row; both sides hold some of them.
 
@@ -97,11 +58,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound_batches(df.sparkSession)
+    return written(df, name)
 
 
 def filesystem(uri: str):

@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, scratch, slices
+from ..storage import scratch
+from .common import filesystem, materialize, slices
 from .encoding import MEMORY, SLICE_BYTES, encoder
 
 MAGIC = b"TMHUF1\0\0"

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, join_counted, materialize, scratch, slices
+from ..storage import scratch
+from .common import filesystem, join_counted, materialize, slices
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 32_768
