@@ -243,6 +243,8 @@ def server():
                 body = ""
             elif path == "/loop":
                 status, to = 302, "/loop"
+            elif path == "/item/get-items":
+                body = '{"success": true, "data": [{"_id": "1", "name": "n", "originUrl": "o", "currUrl": null}]}'
             elif path == "/broken":
                 self.close_connection = True
                 return
@@ -255,6 +257,17 @@ def server():
             self.end_headers()
             self.wfile.write(data)
 
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            seen.append((self.path, body))
+            data = b'{"success": true}'
+            self.send_response(201)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        do_PUT = do_POST
+
         def log_message(self, *a):
             pass
 
@@ -318,3 +331,53 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "u", "<p>x</p>" * 30)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/in")
     content_updates(arriving_pages(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, 30, True)]
+
+
+def test_scratch_tables(spark, monkeypatch):
+    """They lie in the shared folder and go when they are no longer needed; a cluster without one is an error."""
+    from pathlib import Path
+
+    from tidemark import storage
+
+    root = Path(storage.shared_root(spark).removeprefix("file://")) / "tidemark"
+    with storage.scratch_until_end(spark):
+        table = storage.written(spark.range(3).selectExpr("id", "id * 2 as id_2"), "test")
+        assert table.count() == 3 and list(root.glob("test-*"))
+    assert not list(root.glob("test-*"))
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("Context", (), {"master": master})
+
+    assert storage.shared_root(Session("local[2]")).startswith("file:///")
+    with pytest.raises(ValueError, match=storage.SETTING):
+        storage.shared_root(Session("local-cluster[3,2,3000]"))
+
+
+def test_items_of_a_server(spark, server):
+    import json
+
+    from tidemark.sources import web
+
+    base, seen = server
+    assert [tuple(r) for r in items.fetch(spark, base).collect()] == [("1", "n", "o", None)]
+    assert items.fetch(spark, "http://127.0.0.1:1").count() == 0
+    rows = spark.createDataFrame([("1", "é", "o", ""), ("2", "", "o", "c"), ("3", "m", "o", "c")], "_id string, name string, originUrl string, currUrl string")
+    answers = items.create(rows, base).collect()
+    assert sorted((r["_id"], r.status, r.answer) for r in answers) == [("1", 201, '{"success": true}'), ("3", 201, '{"success": true}')]
+    sent = sorted((json.loads(b)["name"], json.loads(b)["currUrl"]) for p, b in seen if p == "/item/create-item")
+    assert sent == [("m", "c"), ("é", "o")]
+    put = web.request(spark.createDataFrame([("/x", 1), ("nowhere", 2)], "answer_to string, n int"), F.col("answer_to"), "PUT", F.lit("{}"), base).collect()
+    assert [(r.n, r.status) for r in put] == [(1, 201), (2, None)]
+
+
+def test_database(spark):
+    """A table of a database that runs inside the driver."""
+    from tidemark.sources.pages import database
+
+    url, driver = "jdbc:derby:memory:items;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.createDataFrame([(1, "a"), (2, None)], "id int, name string").write.format("jdbc").options(url=url, dbtable="items", driver=driver).save()
+    assert sorted(map(tuple, database(spark, url, "items", driver=driver).collect())) == [(1, "a"), (2, None)]

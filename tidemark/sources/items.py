@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import current_url
+from .web import request
 
 ENVELOPE = "success boolean, data array<struct<_id: string, name: string, originUrl: string, currUrl: string>>"
 
@@ -42,3 +43,14 @@ def valid(items: DataFrame) -> DataFrame:
 def append(items: DataFrame, path: str) -> None:
     """Adds the items that are valid."""
     valid(items).write.mode("append").parquet(path)
+
+
+def fetch(spark: SparkSession, origin: str) -> DataFrame:
+    """The items that a server lists; none if it does not answer that it succeeded."""
+    return from_answers(request(spark.createDataFrame([("/item/get-items",)], "path string"), F.col("path"), origin=origin), "answer")
+
+
+def create(items: DataFrame, origin: str) -> DataFrame:
+    """Sends the valid items to a server, one request each: the items with status and answer. Writing the result sends them."""
+    rows = valid(items)
+    return request(rows, F.lit("/item/create-item"), "POST", to_answer(rows), origin)

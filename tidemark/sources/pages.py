@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.urls import PAGES
+from .web import Connections
 
 RESPONSES = "catalog_id long, page_no int, request_url string, final_url string, status int, body string"
 #: Characters of an address that go over the wire as they are.
 _PLAIN = "/:?#[]@!$&'()*+,;=%~-._"
-_REDIRECTS = (301, 302, 303, 307, 308)
 
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,54 +51,6 @@ def page_address(listing: str, page: int) -> str:
     return quote(base.replace("%", "%25"), safe=_PLAIN)
 
 
-class Connections:
-    """Connections to hosts, kept open from one request to the next."""
-
-    def __init__(self, timeout: float):
-        self.timeout, self.open = timeout, {}
-
-    def _once(self, url: str):
-        import http.client
-        from urllib.parse import urlsplit
-
-        parts = urlsplit(url)
-        if parts.scheme not in ("http", "https") or not parts.hostname:
-            raise ValueError(f"not an address of the web: {url}")
-        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
-        key = parts.scheme, parts.hostname, parts.port
-        for fresh in (False, True):  # a connection that was kept may have been closed at the other end
-            if fresh or key not in self.open:
-                self.open[key] = kind(parts.hostname, parts.port, timeout=self.timeout)
-                fresh = True
-            try:
-                self.open[key].request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": "tidemark"})
-                answer = self.open[key].getresponse()
-                return answer.status, answer.headers, answer.read()
-            except (http.client.HTTPException, OSError):
-                self.open.pop(key).close()
-                if fresh:
-                    raise
-
-    def get(self, url: str, redirects: int = 3) -> tuple[str, int, str]:
-        """(final address, status, body) of an address; redirects are followed."""
-        from urllib.parse import urljoin
-
-        while True:
-            status, headers, raw = self._once(url)
-            if status not in _REDIRECTS or "Location" not in headers:
-                try:
-                    return url, status, raw.decode(headers.get_content_charset() or "utf-8", "replace")
-                except LookupError:  # a character set that there is not
-                    return url, status, raw.decode("utf-8", "replace")
-            if not redirects:
-                raise OSError("too many redirects")
-            url, redirects = urljoin(url, headers["Location"]), redirects - 1
-
-    def close(self) -> None:
-        for connection in self.open.values():
-            connection.close()
-
-
 class _Listing(InputPartition):
     def __init__(self, catalog_id: int, url: str):
         self.catalog_id, self.url = catalog_id, url
@@ -123,7 +75,7 @@ class _ListingReader(DataSourceReader):
                 url = partition.url
                 try:
                     url = page_address(partition.url, n)
-                    final, status, body = connections.get(url)
+                    final, status, body = connections.ask(url)
                 except Exception:  # an address or an answer that is none must not stop the other listings
                     final, status, body = url, None, ""
                 yield partition.catalog_id, n, url, final, status, body
