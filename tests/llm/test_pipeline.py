@@ -37,11 +37,11 @@ def test_stages(spark, tmp_path):
         gone[r.doc_id] = set()
         for i, x in enumerate(r.text.split("\n")):
             form = line_dedup.normal_form(x.encode())
-            if len(form) >= 20:
-                close = {form[:j] + form[j + 1 :] for j in range(len(form))} | {form}
-                if close & first.keys():
-                    gone[r.doc_id].add(i)
-                first |= dict.fromkeys(close)
+            # Deletions of forms of 20 characters or more, and each form itself.
+            close = {form} | ({("-", form[:j] + form[j + 1 :]) for j in range(len(form))} | {("-", form)} if len(form) >= 20 else set())
+            if form and close & first.keys():
+                gone[r.doc_id].add(i)
+            first |= dict.fromkeys(close)
     left = {r.doc_id: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone[r.doc_id]) for r in toxic.itertuples()}
     assert {r.doc_id: r.text for r in lines.itertuples()} == {k: t for k, t in left.items() if not gone[k] or t.strip()}
 
