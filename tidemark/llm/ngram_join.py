@@ -25,9 +25,10 @@ What follows, all exact:
 * before the sets of a pair meet, short sketches of them must: bits that tell for each bucket of shingles whether there
   is an odd number in it. Each bit that differs is a difference of the sets.
 
-Documents travel in packed rows, each the owner of its signatures or shingles. What is asked about a key (how often it
-occurs, in how many components) is asked once by each owner and answered to it, and a group's least member is found
-among each owner's members first. So a key that very many documents have brings a task one entry for each owner.
+Some thousand documents together are the owner of their signatures or shingles. What is asked about a key (how often it
+occurs, in how many components) is asked once by each owner, in packed rows, and answered to it if there is another; and
+a group's least member is found among each owner's members first. So a key that very many documents have brings a task
+one entry for each owner.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, lean, materialize, release, shuffle_width, slices
+from .common import join_counted, lean, materialize, slices
 from .components import components
 from .copies import BROADCAST_IDS, exact_copies, keyed, named, only
 from .hashing import mix, shingle_sets, word_hashes
@@ -54,8 +55,8 @@ SUBSETS = ((0, 1), (0, 2), (1, 2))
 SMALL = 32
 #: Members that larger groups are compared with before they are split.
 HUBS = 8
-#: Signatures or shingles of one owner, about, and bytes of text for each task that answers.
-HELD, BLOCK_BYTES = 500_000, 16_000_000
+#: Signatures or shingles of one owner, about; bytes of text for each task that answers, and such tasks at least.
+HELD, BLOCK_BYTES, LEAST_BLOCKS = 800_000, 8_000_000, 8
 #: Members of a group that one task compares with each other at once.
 WIDE = 4_000
 #: Bits of a sketch.
@@ -155,95 +156,127 @@ def _blocks(keys: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[
 
 
 def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return ((keys >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
-
+    return ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def _whole(rest: np.ndarray, block: np.ndarray | int) -> np.ndarray:
+    """The same key for the same block and last 32 bits. The blocks grow with the data, so few different keys become one, and none two."""
+    return mix(rest.astype(np.uint64) | np.asarray(block).astype(np.uint64) << np.uint64(32))
+
+
+def _tight(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loose(raw: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd"), kind)
+
+
+#: A packed row is an owner's documents (docs is not null), or what it asks a block about, or what it is told.
+_ROW = {"block": pa.int64(), "owner": pa.int64()} | dict.fromkeys(("docs", "m", "c", "needs", "who", "part", "keys", "n", "low", "high"), pa.binary())
+_SCHEMA = ", ".join(f"{k} {'binary' if pa.types.is_binary(t) else 'long'}" for k, t in _ROW.items())
+#: Documents of an owner, at most; this place stands for several documents that have a key.
+_SEVERAL = 65_535
+
+
+def _row_batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r.get(k) for r in rows], t) for k, t in _ROW.items()], names=list(_ROW))
+
+
+def _asks(owner: int, x: dict[str, np.ndarray], blocks: int) -> pa.RecordBatch:
+    """What an owner asks each block, and its documents, which wait in some block too."""
+    order = np.argsort(x["keys"], kind="stable")
+    keys, who, part = x["keys"][order], x["who"][order], x["part"][order]
+    c = x["c"][who] if len(x["c"]) else None
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(keys)))
+    several = n > 1
+    group = np.cumsum(several) - 1
+    facts = {"keys": keys[first], "several": several, "who": np.where(several, _SEVERAL, who[first]), "part": np.where(several, group, part[first]), "n": n}
+    if c is not None and len(first):
+        facts |= {"low": np.minimum.reduceat(c, first), "high": np.maximum.reduceat(c, first)}
+    rows = []
+    for block, y in _blocks(_block_of(facts["keys"], blocks), facts):
+        row = {"block": block, "owner": owner, "keys": y["keys"].astype("<u4").tobytes(), "who": _tight(y["who"].astype("<u2")), "part": _tight(y["part"].astype("<u4")), "n": y["n"][y["several"]].astype("<u4").tobytes()}
+        rows.append(row | {k: y[k].astype("<i8").tobytes() for k in ("low", "high") if k in y})
+    inner = np.repeat(several, n)
+    own = {k: x[k].astype("<i8").tobytes() for k in ("docs", "m", "c")} | {"needs": x["needs"].astype("<i4").tobytes()}
+    own |= {"who": who[inner].astype("<u2").tobytes(), "part": part[inner].astype("<u4").tobytes(), "n": n[several].astype("<u4").tobytes()}
+    return _row_batch([*rows, {"block": owner % blocks, "owner": owner} | own])
+
+
+def _told(table: pa.Table) -> pa.Table:
+    """For what a block is asked about: how many documents have it and whether they are of two components, if more than one has."""
+    waiting, asked = table.filter(pc.is_valid(table["docs"])), table.filter(pc.is_null(table["docs"]))
+    if not asked.num_rows:
+        return waiting
+    join = lambda k, t: np.frombuffer(b"".join(x or b"" for x in asked[k].to_pylist()), t)
+    sizes = [len(x) // 4 for x in asked["keys"].to_pylist()]
+    keys = join("keys", "<u4")
+    who, part = (np.concatenate([_loose(x, n, t) for x, n in zip(asked[k].to_pylist(), sizes, strict=True)]) for k, t in (("who", "<u2"), ("part", "<u4")))
+    count = np.ones(len(keys), np.int64)
+    count[who == _SEVERAL] = join("n", "<u4")
+    row = np.repeat(np.arange(asked.num_rows), sizes)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    size = np.diff(np.append(first, len(keys)))
+    total, foreign = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
+    total[order] = np.repeat(np.add.reduceat(count[order], first), size)
+    low, high = join("low", "<i8"), join("high", "<i8")
+    if len(low):
+        foreign[order] = np.repeat(np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first), size)
+    keep = np.flatnonzero(total > 1)
+    owner, block = asked["owner"].to_pylist(), asked["block"][0].as_py()
+    columns = {"keys": keys[keep], "who": who[keep], "part": part[keep], "n": np.minimum(total[keep], 2**32 - 1), "foreign": foreign[keep]}
+    rows = [{"block": block, "owner": owner[r], "keys": y["keys"].tobytes(), "who": y["who"].tobytes(), "part": y["part"].tobytes(), "n": y["n"].astype("<u4").tobytes(), "low": y["foreign"].tobytes()} for r, y in _blocks(row[keep], columns)]
+    return pa.concat_tables([waiting, pa.Table.from_batches([_row_batch(rows)]).cast(waiting.schema)])
 
-#: A packed row: the owner of documents, with a key of each (key, who: the place of its document) and more.
-_HELD = "owner long, docs binary, m binary, c binary, needs binary, who binary, part binary, keys binary"
-_TYPES = {"docs": "<i8", "m": "<i8", "c": "<i8", "needs": "<i4", "who": "<i4", "part": "<i4", "keys": "<u8"}
 
+def _answered(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], blocks: int, use: Callable[[dict[str, np.ndarray]], pa.Table], schema: str, text: str = "text", chars: int = 1_000_000) -> DataFrame:
+    """What use makes of an owner's documents and of the keys that others have too.
 
-def _hold(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], text: str = "text", chars: int = 1_000_000) -> DataFrame:
-    """Packed rows of what read gives of each batch: docs, m, c, needs (2 a document), and for each key who, part, keys."""
+    read gives of a batch docs, m, c (if it matters), needs (2 a document), and for each key who (the place of its
+    document), part and keys. use gets the same with the keys that two documents or more have, in order of who and part,
+    with n, how many documents have each, and foreign, whether these are of two components or more.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         owner, held, base, n = TaskContext.get().partitionId() << 32, [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            raw = [np.concatenate([h[k] for h in held]).astype(t).tobytes() for k, t in _TYPES.items()]
-            return pa.record_batch([pa.array([owner], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], names=["owner", *_TYPES])
+            return _asks(owner, {k: np.concatenate([h[k] for h in held]) for k in ("docs", "m", "c", "needs", "who", "part", "keys")}, blocks)
 
-        for batch in slices(batches, text, chars):
+        for batch in (b.slice(i, _SEVERAL // 2) for b in slices(batches, text, chars) for i in range(0, b.num_rows, _SEVERAL // 2)):
+            if base + batch.num_rows >= _SEVERAL or n >= HELD:
+                yield flush()
+                owner, held, base, n = owner + 1, [], 0, 0
             found = read(batch)
             none = np.zeros(0, np.int64)
-            held.append({k: found.get(k, none) for k in _TYPES} | {"who": found["who"] + base})
+            held.append({"m": none, "c": none, "needs": none, "part": np.zeros(len(found["keys"]), np.int64)} | found | {"who": found["who"] + base})
             base, n = base + batch.num_rows, n + len(found["keys"])
-            if n >= HELD:
-                yield flush()
-                owner, held, base, n = owner + 1, [], 0, 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, _HELD)
-
-
-def _unpack(table: pa.Table) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(table[k][0].as_buffer(), t) for k, t in _TYPES.items()}
-
-
-def _asked(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys, in which place of them each key is, and the order in which they are asked about."""
-    each, at = np.unique(keys, return_inverse=True)
-    return each, at, np.argsort(_block_of(each, blocks), kind="stable")
-
-
-def _answered(held: DataFrame, blocks: int, use: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """What use makes of each packed row, of how many documents have each key, and whether those are of two components or more."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x = _unpack(batch.slice(i, 1))
-                each, at, _ = _asked(x["keys"], blocks)
-                if not len(each):
-                    continue
-                c = x["c"][x["who"]] if len(x["c"]) else np.zeros(len(at), np.int64)
-                order = np.argsort(at, kind="stable")
-                first = np.searchsorted(at[order], np.arange(len(each)))
-                facts = {"keys": each, "n": np.bincount(at).astype("<u4"), "low": np.minimum.reduceat(c[order], first), "high": np.maximum.reduceat(c[order], first)}
-                rows = [(block, batch["owner"][i].as_py(), *(y[k].tobytes() for k in facts)) for block, y in _blocks(_block_of(each, blocks), facts)]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "owner", *facts])
-
-    def answer(table: pa.Table) -> pa.Table:
-        join = lambda k, t: np.frombuffer(b"".join(table[k].to_pylist()), t)
-        keys, n, low, high = join("keys", "<u8"), join("n", "<u4"), join("low", "<i8"), join("high", "<i8")
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-        size = np.diff(np.append(first, len(keys)))
-        total, foreign = np.zeros(len(keys), "<u4"), np.zeros(len(keys), np.uint8)
-        total[order] = np.repeat(np.minimum(np.add.reduceat(n[order].astype(np.int64), first), 2**32 - 1), size)
-        foreign[order] = np.repeat(np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first), size)
-        cuts = np.cumsum([len(x) // 8 for x in table["keys"].to_pylist()])[:-1]
-        split = lambda x: pa.array([y.tobytes() for y in np.split(x, cuts)], pa.binary())
-        return pa.table({"owner": table["owner"], "block": table["block"], "total": split(total), "foreign": split(foreign)})
-
-    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
-        x = _unpack(own)
-        each, at, order = _asked(x["keys"], blocks)
-        answers = answers.sort_by("block")
-        total, foreign = np.zeros(len(each), np.int64), np.zeros(len(each), bool)
-        total[order] = np.frombuffer(b"".join(answers["total"].to_pylist()), "<u4")
-        foreign[order] = np.frombuffer(b"".join(answers["foreign"].to_pylist()), np.uint8)
-        out = use(x, total[at], foreign[at])
-        release()
-        return out
-
-    asked = held.mapInArrow(ask, "block long, owner long, keys binary, n binary, low binary, high binary")
-    answers = asked.groupBy("block").applyInArrow(lean(answer), "owner long, block long, total binary, foreign binary")
-    return held.groupBy("owner").cogroup(answers.groupBy("owner")).applyInArrow(finish, schema)
+    def finish(table: pa.Table) -> pa.Table:
+        own, told = table.filter(pc.is_valid(table["docs"])), table.filter(pc.is_null(table["docs"]))
+        x = {k: np.frombuffer(own[k][0].as_buffer(), t) for k, t in (("docs", "<i8"), ("m", "<i8"), ("c", "<i8"), ("needs", "<i4"))}
+        members, parts, sizes = (np.frombuffer(own[k][0].as_buffer(), t) for k, t in (("who", "<u2"), ("part", "<u4"), ("n", "<u4")))
+        join = lambda k, t: np.frombuffer(b"".join(told[k].to_pylist()), t)
+        keys = _whole(join("keys", "<u4"), np.repeat(np.asarray(told["block"]).astype(np.int64), [len(k) // 4 for k in told["keys"].to_pylist()]))
+        who, part, n, foreign = join("who", "<u2"), join("part", "<u4"), join("n", "<u4"), join("low", np.uint8)
+        several = who == _SEVERAL
+        group = part[several].astype(np.int64)
+        begins, size = (np.cumsum(sizes) - sizes)[group].astype(np.int64), sizes[group].astype(np.int64)
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins, size)
+        both = lambda column, of: np.concatenate((column[~several], of))
+        x |= {"who": both(who, members[inner]).astype(np.int64), "part": both(part, parts[inner]).astype(np.int64)}
+        x |= {k: both(c, np.repeat(c[several], size)) for k, c in (("keys", keys), ("n", n.astype(np.int64)), ("foreign", foreign.astype(bool)))}
+        order = np.lexsort((x["part"], x["who"]))
+        return use(x | {k: x[k][order] for k in ("who", "part", "keys", "n", "foreign")})
+
+    return docs.mapInArrow(ask, _SCHEMA).repartition(blocks, "block").groupBy("block").applyInArrow(lean(_told), _SCHEMA).groupBy("owner").applyInArrow(lean(finish), schema)
 
 
 def _lists(who: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -252,26 +285,23 @@ def _lists(who: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.array([values[b:e].astype("<u8").tobytes() if e > b else None for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _members(docs: DataFrame, blocks: int) -> DataFrame:
+    """doc_id, m and its signatures that others have too: few, of groups of SMALL at most, and many, of larger ones."""
+
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
         row, part, sig, needs = signatures(values, ends)
         return {"docs": np.asarray(batch["doc_id"]), "m": np.diff(ends, prepend=0), "needs": needs, "who": row // 2, "part": 2 * part + row % 2, "keys": sig}
 
-    return _hold(docs, read)
-
-
-def _members(signed: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, m and its signatures that others have too: few, of groups of SMALL at most, and many, of larger ones."""
-
-    def use(x: dict[str, np.ndarray], df: np.ndarray, _: np.ndarray) -> pa.Table:
-        row = 2 * x["who"].astype(np.int64) + x["part"] % 2
-        keep = chosen(row, x["part"] // 2, x["keys"], df, x["needs"].astype(np.int64))
-        who, sigs, small = x["who"][keep], x["keys"][keep], df[keep] <= SMALL
+    def use(x: dict[str, np.ndarray]) -> pa.Table:
+        order = np.lexsort((x["part"] // 2, 2 * x["who"] + x["part"] % 2))
+        who, part, sigs, df = (x[k][order] for k in ("who", "part", "keys", "n"))
+        keep = chosen(2 * who + part % 2, part // 2, sigs, df, x["needs"].astype(np.int64))
+        who, sigs, small = who[keep], sigs[keep], df[keep] <= SMALL
         n = len(x["docs"])
         return pa.table({"doc_id": pa.array(x["docs"]), "m": pa.array(x["m"]), "few": _lists(who[small], sigs[small], n), "many": _lists(who[~small], sigs[~small], n)})
 
-    return _answered(signed, blocks, use, "doc_id long, m long, few binary, many binary")
+    return _answered(docs, read, blocks, use, "doc_id long, m long, few binary, many binary")
 
 
 _GROUPS = "block long, docs binary, m binary, c binary, keys binary, others binary"
@@ -307,10 +337,10 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
 
-def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1) -> DataFrame:
+def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1, alone: bool = False) -> DataFrame:
     """(a, b): in each group the first member with every other of another component whose size allows a link.
 
-    The first is the least of each owner's members, and then of these; with hubs, one by a hash that differs between
+    alone: each document is its own component. The first is the least of each owner's members, and then of these; with hubs, one by a hash that differs between
     so many kinds of signatures.
     """
 
@@ -329,19 +359,21 @@ def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1) -> DataF
             first, a, b = star(x)
             met = _pairs(x["docs"][a], x["docs"][b])
             a, b = np.asarray(met["a"]).astype("<i8"), np.asarray(met["b"]).astype("<i8")
-            rows = [(block, y["docs"].tobytes(), y["m"].tobytes(), y["c"].tobytes(), y["keys"].tobytes(), None) for block, y in _blocks(_block_of(x["keys"][first], blocks), {k: v[first] for k, v in x.items()})]
+            rows = [(block, y["docs"].tobytes(), y["m"].astype("<i4").tobytes(), None if alone else y["c"].tobytes(), y["keys"].tobytes(), None) for block, y in _blocks(_block_of(x["keys"][first], blocks), {k: v[first] for k, v in x.items()})]
             rows += [(block, None, y["a"].tobytes(), None, None, y["b"].tobytes()) for block, y in _blocks(b % blocks, {"a": a, "b": b})]
             yield _packed(rows)
 
     def run(table: pa.Table) -> pa.Table:
         known = table.filter(pc.is_valid(table["others"]))
         table = table.filter(pc.is_null(table["others"]))
-        x = {k: _joined(table, k, _TYPES[k]) for k in ("docs", "m", "c", "keys")}
+        x = {k: _joined(table, k, t) for k, t in (("docs", "<i8"), ("m", "<i4"), ("c", "<i8"), ("keys", "<u8"))}
+        x["m"] = x["m"].astype(np.int64)
+        x["c"] = x["c"] if len(x["c"]) else x["docs"]
         _, a, b = star(x)
         return _pairs(np.concatenate((_joined(known, "m"), x["docs"][a])), np.concatenate((_joined(known, "others"), x["docs"][b])))
 
     rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column)
-    return rows.mapInArrow(local, _GROUPS).groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
+    return rows.mapInArrow(local, _GROUPS).repartition(blocks, "block").groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
 
 
 def _allowed(m: np.ndarray, c: np.ndarray, use: np.ndarray, own: slice, other: slice) -> np.ndarray:
@@ -423,25 +455,26 @@ def _within(members: DataFrame, column: str, blocks: int, ranked: bool = False)
                 yield from pairs(_joined(table, "docs"), m, _joined(table, "c"), use, int(_joined(table, "keys")[0])).to_batches()
 
     rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column)
-    met = materialize(rows.mapInArrow(deal, _GROUPS).groupBy("block").applyInArrow(lean(run), "a long, b long, " + _GROUPS), "met")
-    split = met.where("a is null").drop("a", "b").repartition(blocks).mapInArrow(wide, "a long, b long")
-    return met.where("a is not null").select("a", "b").unionByName(split).distinct()
+    met = materialize(rows.mapInArrow(deal, _GROUPS).repartition(blocks, "block").groupBy("block").applyInArrow(lean(run), "a long, b long, " + _GROUPS), "met")
+    pairs_met, split = met.where("a is not null").select("a", "b"), met.where("a is null").drop("a", "b")
+    if not split.isEmpty():
+        pairs_met = pairs_met.unionByName(split.repartition(blocks).mapInArrow(wide, "a long, b long"))
+    return pairs_met.distinct()
 
 
 def _mixed(members: DataFrame, blocks: int) -> DataFrame:
     """doc_id and c of the members of large groups that have more than one component c."""
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        x = _spread(batch, "many")
         n = np.asarray(pc.binary_length(batch["many"])).astype(np.int64) // 8
-        return {"docs": np.asarray(batch["doc_id"]), "c": np.asarray(batch["c"]), "who": np.repeat(np.arange(batch.num_rows), n), "keys": x["keys"]}
+        return {"docs": np.asarray(batch["doc_id"]), "c": np.asarray(batch["c"]), "who": np.repeat(np.arange(batch.num_rows), n), "keys": _spread(batch, "many")["keys"]}
 
-    def use(x: dict[str, np.ndarray], _: np.ndarray, foreign: np.ndarray) -> pa.Table:
-        own = np.unique(x["who"][foreign])
+    def use(x: dict[str, np.ndarray]) -> pa.Table:
+        own = np.unique(x["who"][x["foreign"]])
         return pa.table({"doc_id": pa.array(x["docs"][own]), "c": pa.array(x["c"][own])})
 
     rows = members.where("many is not null").select("doc_id", "m", "c", "many")
-    return _answered(materialize(_hold(rows, read, "many", 8 * HELD), "held"), blocks, use, "doc_id long, c long")
+    return _answered(rows, read, blocks, use, "doc_id long, c long", "many", 8 * HELD)
 
 
 def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
@@ -456,9 +489,9 @@ def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
         n = np.diff(ends, prepend=0)
         return {"docs": np.asarray(batch["doc_id"]), "m": n, "c": np.asarray(batch["c"]), "who": np.repeat(np.arange(batch.num_rows), n), "keys": values}
 
-    def use(x: dict[str, np.ndarray], df: np.ndarray, foreign: np.ndarray) -> pa.Table:
-        n, m = len(x["docs"]), x["m"].astype(np.int64)
-        who, keys, df = x["who"][foreign], x["keys"][foreign], df[foreign]
+    def use(x: dict[str, np.ndarray]) -> pa.Table:
+        n, m = len(x["docs"]), x["m"]
+        who, keys, df = (x[k][x["foreign"]] for k in ("who", "keys", "n"))
         order = np.lexsort((keys, df, who))
         who, keys = who[order], keys[order]
         count = np.bincount(who, minlength=n)
@@ -468,7 +501,7 @@ def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
 
     few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.join(F.broadcast(parts) if few else parts, "doc_id").select("doc_id", "c", "text")
-    return _answered(materialize(_hold(rows, read), "held"), blocks, use, "doc_id long, m long, c long, use binary").where("use is not null")
+    return _answered(rows, read, blocks, use, "doc_id long, m long, c long, use binary").where("use is not null")
 
 
 def sketches(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -522,7 +555,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketched: bool = True) -> DataF
 
 def _components(docs: DataFrame, reps: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, m) of different texts, and (node, component) of those with links."""
-    members = materialize(_members(materialize(_signed(reps), "signed"), blocks), "members")
+    members = materialize(_members(reps, blocks), "members")
     sizes, members = members.select("doc_id", "m"), members.where("few is not null or many is not null")
 
     def placed(parts: DataFrame | None) -> DataFrame:
@@ -543,7 +576,7 @@ def _components(docs: DataFrame, reps: DataFrame, blocks: int) -> tuple[DataFram
             parts = components(links)
 
     now = placed(None)
-    linked(_stars(now, "few", blocks).unionByName(_stars(now, "many", blocks)).distinct(), sketched=False)
+    linked(_stars(now, "few", blocks, alone=True).unionByName(_stars(now, "many", blocks, alone=True)).distinct(), sketched=False)
     now = placed(parts)
     linked(_within(now, "few", blocks).unionByName(_stars(now, "many", blocks, HUBS)).distinct())
     mixed = materialize(_mixed(placed(parts), blocks), "mixed")
@@ -556,7 +589,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of documents (doc_id, text) with ids of their own."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     copies, total = exact_copies(docs)
-    blocks = max(shuffle_width(docs.sparkSession), -(-total // BLOCK_BYTES))
+    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
     sizes, parts = _components(docs, only(docs, copies.select("doc_id"), "left_anti"), blocks)
     reached = sizes.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("m").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     reached = materialize(reached, "reached")
