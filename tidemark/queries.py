@@ -312,7 +312,12 @@ _ANSWERS = f"""{_PAGES},
 _VISIBLE = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"
 _P = rf"CAST(len(regexp_extract_all({_VISIBLE}, '(?i)<p(?:\s[^>]*)?/?>')) AS BIGINT)"
 
+#: Tags of paragraphs as numbers (0 begins, 1 ends, 2 does both), walked with depth * 1000000 + found.
+_TOPLEVEL = rf"""CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(regexp_extract_all({_VISIBLE}, '(?i)</?p(?:\s[^>]*)?/?>'), lambda t: CAST(CASE WHEN starts_with(t, '</') THEN 1 WHEN ends_with(t, '/>') THEN 2 ELSE 0 END AS BIGINT))),
+    lambda a, c: CASE WHEN c = 1 THEN CASE WHEN a >= 1000000 THEN a - 1000000 ELSE a END ELSE a + CASE WHEN a < 1000000 THEN 1 ELSE 0 END + CASE WHEN c = 0 THEN 1000000 ELSE 0 END END) % 1000000 AS BIGINT)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "paragraph_count_toplevel": f"SELECT page_id, {_TOPLEVEL} AS paragraphs, {_TOPLEVEL} >= 30 AS has_content FROM pages",
     "scan_pages": "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages",
     "url_parts": f"WITH {_PAGES} SELECT page_id, url, hostname, path, query, protocol, array_to_string(split_path, '|') AS segments, path_params FROM pp",
     "url_decode_once": f"""WITH v AS (SELECT id, rtrim(url_decode(raw), '/') AS url FROM (VALUES {_values(enumerate(URL_CASES))}) AS v(id, raw))
