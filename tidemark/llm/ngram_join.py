@@ -564,16 +564,17 @@ def _components(docs: DataFrame, reps: DataFrame, blocks: int) -> tuple[DataFram
         own = parts.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "c")
         return materialize(members.join(own, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "placed")
 
-    links = tested = parts = None
+    tested = parts = None
 
     def linked(pairs: DataFrame, sketched: bool = True) -> None:
-        nonlocal links, tested, parts
+        nonlocal tested, parts
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(_verified(docs, pairs, sketched), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if parts is None or not found.isEmpty():
-            parts = components(links)
+        if parts is None:
+            parts = components(found)
+        elif not found.isEmpty():  # what is connected already is a star, which is settled at once
+            parts = components(found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     now = placed(None)
     linked(_stars(now, "few", blocks, alone=True).unionByName(_stars(now, "many", blocks, alone=True)).distinct(), sketched=False)
