@@ -64,8 +64,8 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def _search(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What to search documents (doc_id, words as they stand) for, and the postings of its terms.
 
-    (item_id, item, width of its windows, starts: for each window the places of its rarest terms), (item_id, item as a
-    hash, term, needs: how many of the item's terms are needed), (term, doc_id, pos).
+    (item_id, key, item, width of its windows, starts: for each window the places of its rarest terms), (item_id, key,
+    term, needs: how many of the item's terms are needed), (term, doc_id, pos). The key is a hash of the item's words.
     """
     items = materialize(benchmark.where("item_id is not null").select("item_id", words("text").alias("item")).distinct().where(F.size("item") > 0), "items")
     vocabulary = items.select(F.explode("item").alias("term")).distinct()
@@ -78,42 +78,42 @@ def _search(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFra
         lambda s: F.slice(F.array_sort(F.transform(F.slice("by_place", s + 1, F.col("width")), lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i")))), 1, RAREST),
     )
     searched = F.array_distinct(F.filter("rarest", lambda w: w[0]["n"] > 0))
-    windows = materialize(ordered.withColumn("width", width).withColumn("rarest", rarest).select("item_id", "item", "width", F.transform(searched, lambda w: F.transform(w, lambda x: x["i"])).alias("starts")), "windows")
+    windows = materialize(ordered.withColumn("width", width).withColumn("rarest", rarest).select("item_id", F.xxhash64("item").alias("key"), "item", "width", F.transform(searched, lambda w: F.transform(w, lambda x: x["i"])).alias("starts")), "windows")
 
-    own = items.select("item_id", F.xxhash64("item").alias("item"), F.least(F.size(F.array_distinct("item")), F.lit(NEAR)).alias("needs"), F.explode(F.array_distinct("item")).alias("term"))
-    ranked = own.join(counts, "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "item").orderBy("n", "term")))
-    near = materialize(ranked.where(F.col("rank") <= NEAR).select("item_id", "item", "term", "needs"), "near")
+    own = items.select("item_id", F.xxhash64("item").alias("key"), F.least(F.size(F.array_distinct("item")), F.lit(NEAR)).alias("needs"), F.explode(F.array_distinct("item")).alias("term"))
+    ranked = own.join(counts, "term").withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "key").orderBy("n", "term")))
+    near = materialize(ranked.where(F.col("rank") <= NEAR).select("item_id", "key", "term", "needs"), "near")
 
     terms = _places(windows).select("term").union(near.select("term")).distinct()
     return windows, near, materialize(index(docs, terms), "postings")
 
 
 def _places(windows: DataFrame) -> DataFrame:
-    """(item_id, item, i, term): the terms that windows start from, with their places in the item."""
-    return windows.select("item_id", "item", F.explode(F.array_distinct(F.flatten("starts"))).alias("i")).select("item_id", "item", "i", F.element_at("item", F.col("i") + 1).alias("term"))
+    """(item_id, key, i, term): the terms that windows start from, with their places in the item."""
+    return windows.select("item_id", "key", "item", F.explode(F.array_distinct(F.flatten("starts"))).alias("i")).select("item_id", "key", "i", F.element_at("item", F.col("i") + 1).alias("term"))
 
 
 def _alignments(windows: DataFrame, postings: DataFrame) -> DataFrame:
-    """(doc_id, item_id, item, shift): where all the rarest terms of some window of the item stand as in the item."""
-    met = postings.join(_places(windows), "term").groupBy("doc_id", "item_id", "item", (F.col("pos") - F.col("i")).alias("shift")).agg(F.collect_set("i").alias("seen"))
+    """(doc_id, item_id, key, n words of the item, shift): where all the rarest terms of some window of the item stand as in the item."""
+    met = postings.join(_places(windows), "term").groupBy("doc_id", "item_id", "key", (F.col("pos") - F.col("i")).alias("shift")).agg(F.collect_set("i").alias("seen"))
     whole = F.exists("starts", lambda w: F.forall(w, lambda i: F.array_contains("seen", i)))
-    return met.join(windows.select("item_id", "item", "starts", "width"), ["item_id", "item"]).where(whole).select("doc_id", "item_id", "item", "width", "shift")
+    return met.join(windows.select("item_id", "key", "starts", F.size("item").alias("n")), ["item_id", "key"]).where(whole).select("doc_id", "item_id", "key", "n", "shift")
 
 
 def _matches(docs: DataFrame, windows: DataFrame, postings: DataFrame) -> DataFrame:
     """doc_id, item_id and the places of document words that are inside an occurrence of a window of the item."""
     found = _alignments(windows, postings)
-    by_doc = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "item", "width", "shift")).alias("at")), "alignments")
-    part = F.transform("at", lambda x: x.withField("part", F.transform(F.sequence(F.lit(0), F.size(x["item"]) - 1), lambda i: fold(F.get("words", x["shift"] + i)))))
+    by_doc = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "key", "n", "shift")).alias("at")), "alignments")
+    part = F.transform("at", lambda x: x.withField("part", F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: fold(F.get("words", x["shift"] + i)))))
     parts = docs.join(_small(by_doc, BROADCAST_ALIGNMENTS), "doc_id").select("doc_id", F.explode(part).alias("x")).select("doc_id", "x.*")
     same = F.filter(F.sequence(F.lit(0), F.size("item") - F.col("width")), lambda s: F.slice("item", s + 1, F.col("width")) == F.slice("part", s + 1, F.col("width")))
     hits = F.array_distinct(F.flatten(F.transform(same, lambda s: F.sequence(F.col("shift") + s, F.col("shift") + s + F.col("width") - 1))))
-    return parts.select("doc_id", "item_id", hits.alias("hits")).where(F.size("hits") > 0)
+    return parts.join(windows.select("item_id", "key", "item", "width"), ["item_id", "key"]).select("doc_id", "item_id", hits.alias("hits")).where(F.size("hits") > 0)
 
 
 def _near(near: DataFrame, postings: DataFrame) -> DataFrame:
     """(doc_id, item_id) of the proximity matches."""
-    ahead = Window.partitionBy("doc_id", "item_id", "item").orderBy("pos").rangeBetween(0, SPAN - 1)
+    ahead = Window.partitionBy("doc_id", "item_id", "key").orderBy("pos").rangeBetween(0, SPAN - 1)
     return postings.join(near, "term").withColumn("seen", F.size(F.collect_set("term").over(ahead))).where(F.col("seen") >= F.col("needs")).select("doc_id", "item_id").distinct()
 
 
