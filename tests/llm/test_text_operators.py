@@ -231,6 +231,45 @@ def test_many_texts_just_below_the_threshold(spark):
     assert rows == 0 and sum(made) < 30 * len(texts)
 
 
+def rows_made(df, kind):
+    """How many rows the nodes of a kind made in the plan of df, which runs here."""
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        if name.startswith(kind):
+            total += node.metrics().apply("pythonNumRowsReceived").value()
+    return total
+
+
+def test_pairs_of_many_blocks_become_rows_once(spark, tmp_path):
+    """Near copies share signatures in very many blocks; each pair of the stars is one row, not one for each block."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(1_000):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"u{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    blocks, heaps = 60, 8
+    ngram_join._members(table(spark, texts), blocks).withColumn("c", F.col("doc_id")).repartition(50, "doc_id").write.parquet(f"{tmp_path}/members")
+    members = spark.read.parquet(*map(str, tmp_path.glob("members/*.parquet")))
+    stars = ngram_join._stars(members, "many", blocks, alone=True)
+    made = rows_made(stars, "FlatMapGroupsInArrow")
+    pairs = [tuple(r) for r in stars.collect()]
+    assert len(pairs) == len(set(pairs)) >= len(texts) - 1
+    assert made <= len(pairs) + blocks * heaps
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]

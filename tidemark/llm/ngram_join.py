@@ -337,8 +337,20 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
 
+def _once(rows: DataFrame, heaps: int) -> DataFrame:
+    """(a, b), each pair once: of packed rows (block, m, others) from all blocks that know it, dealt into heaps by their hash."""
+
+    def unique(table: pa.Table) -> pa.Table:
+        return _pairs(_joined(table, "m"), _joined(table, "others"))
+
+    return rows.repartition(heaps, "block").groupBy("block").applyInArrow(lean(unique), "a long, b long")
+
+
 def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1, alone: bool = False) -> DataFrame:
-    """(a, b): in each group the first member with every other of another component whose size allows a link.
+    """(a, b), each once: in each group the first member with every other of another component whose size allows a link.
+
+    Two documents share many signatures, which lie in as many blocks; so a block packs its pairs, and only when those of
+    all blocks are together a pair becomes a row.
 
     alone: each document is its own component. The first is the least of each owner's members, and then of these; with hubs, one by a hash that differs between
     so many kinds of signatures.
@@ -370,10 +382,14 @@ def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1, alone: b
         x["m"] = x["m"].astype(np.int64)
         x["c"] = x["c"] if len(x["c"]) else x["docs"]
         _, a, b = star(x)
-        return _pairs(np.concatenate((_joined(known, "m"), x["docs"][a])), np.concatenate((_joined(known, "others"), x["docs"][b])))
+        met = _pairs(np.concatenate((_joined(known, "m"), x["docs"][a])), np.concatenate((_joined(known, "others"), x["docs"][b])))
+        a, b = np.asarray(met["a"]), np.asarray(met["b"])
+        heap = _block_of(mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)), heaps)
+        return pa.Table.from_batches([_packed([(at, None, y["a"].tobytes(), None, None, y["b"].tobytes()) for at, y in _blocks(heap, {"a": a, "b": b})])])
 
+    heaps = max(LEAST_BLOCKS, blocks // LEAST_BLOCKS)
     rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column)
-    return rows.mapInArrow(local, _GROUPS).repartition(blocks, "block").groupBy("block").applyInArrow(lean(run), "a long, b long").distinct()
+    return _once(rows.mapInArrow(local, _GROUPS).repartition(blocks, "block").groupBy("block").applyInArrow(lean(run), _GROUPS), heaps)
 
 
 def _allowed(m: np.ndarray, c: np.ndarray, use: np.ndarray, own: slice, other: slice) -> np.ndarray:
