@@ -270,6 +270,21 @@ def test_pairs_of_many_blocks_become_rows_once(spark, tmp_path):
     assert made <= len(pairs) + blocks * heaps
 
 
+def test_asking_takes_little_memory():
+    """What an owner asks is made in a small multiple of its keys, of which it holds a bounded number."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, docs = ngram_join.HELD, 4_000
+    x = {"docs": np.arange(docs), "m": np.full(docs, 200), "c": np.zeros(0, np.int64), "needs": np.zeros(2 * docs, np.int64)}
+    x |= {"who": np.sort(rng.integers(0, docs, n)).astype(np.uint16), "part": rng.integers(0, 300, n).astype(np.uint32), "keys": rng.integers(0, 2**63, n).astype(np.uint64)}
+    tracemalloc.start()
+    rows = ngram_join._asks(0, x, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.num_rows == 13 and peak < 60_000_000
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]

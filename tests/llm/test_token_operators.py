@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, secrets, token_files, toxicity, warc
+from tidemark.llm import common, packing, secrets, token_files, toxicity, warc
 from tidemark.llm.encoding import Encoder, encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -41,6 +41,14 @@ def direct(path, text):
     return encoder(path).tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_a_worker_forgets_its_words_for_other_tasks():
+    """What encoders remember stays for tasks that encode, and goes when a task of another kind begins."""
+    batches = [pa.record_batch([pa.array(TEXTS)], names=["text"])]
+    encoder(WORDS)
+    assert sum(b.num_rows for b in common.slices(iter(batches), remember=True)) == len(TEXTS) and encoder.cache_info().currsize
+    assert sum(b.num_rows for b in common.slices(iter(batches))) == len(TEXTS) and not encoder.cache_info().currsize
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet="ab0'st é́\n\t\r   .漢\0Σ", max_size=25), max_size=5))

@@ -20,6 +20,8 @@ SLICE_CHARS = 4_000_000
 BATCH_BYTES = 8_000_000
 #: Rows that one key may bring to a task of a join, at least.
 HOT_ROWS = 1_000
+#: How a worker forgets what it remembers for tasks of one kind. Tasks of other kinds begin with that.
+forgetting: list[Callable[[], None]] = []
 
 # Workers serve many tasks; what one frees must not stay with the worker.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -73,8 +75,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about `chars` bytes of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS, remember: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about `chars` bytes of text, or one row. remember: the task uses what the worker remembers."""
+    if not remember and forgetting:
+        for forget in forgetting:
+            forget()
+        release()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import forgetting
+
 #: Words kept between batches, which are forgotten when there are more. With more, a worker is faster and larger.
 MEMORY = 200_000
 #: Bytes of text to encode at once.
@@ -125,5 +127,8 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str, memory: int = MEMORY) -> Encoder:
-    """The worker's encoder for a file: it and what it remembers serve all tasks of the worker."""
+    """The worker's encoder for a file: it and what it remembers serve all tasks of the worker that encode."""
     return Encoder(path, memory)
+
+
+forgetting.append(encoder.cache_clear)

@@ -56,7 +56,7 @@ SMALL = 32
 #: Members that larger groups are compared with before they are split.
 HUBS = 8
 #: Signatures or shingles of one owner, about; bytes of text for each task that answers, and such tasks at least.
-HELD, BLOCK_BYTES, LEAST_BLOCKS = 800_000, 8_000_000, 8
+HELD, BLOCK_BYTES, LEAST_BLOCKS = 400_000, 8_000_000, 8
 #: Members of a group that one task compares with each other at once.
 WIDE = 4_000
 #: Bits of a sketch.
@@ -184,9 +184,10 @@ def _row_batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _asks(owner: int, x: dict[str, np.ndarray], blocks: int) -> pa.RecordBatch:
-    """What an owner asks each block, and its documents, which wait in some block too."""
+    """What an owner asks each block, and its documents, which wait in some block too. x loses its keys."""
     order = np.argsort(x["keys"], kind="stable")
-    keys, who, part = x["keys"][order], x["who"][order], x["part"][order]
+    keys, who, part = (x.pop(k)[order] for k in ("keys", "who", "part"))
+    del order
     c = x["c"][who] if len(x["c"]) else None
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(keys)))
@@ -246,7 +247,7 @@ def _answered(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.nda
         owner, held, base, n = TaskContext.get().partitionId() << 32, [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return _asks(owner, {k: np.concatenate([h[k] for h in held]) for k in ("docs", "m", "c", "needs", "who", "part", "keys")}, blocks)
+            return _asks(owner, {k: np.concatenate([h.pop(k) for h in held]) for k in ("docs", "m", "c", "needs", "who", "part", "keys")}, blocks)
 
         for batch in (b.slice(i, _SEVERAL // 2) for b in slices(batches, text, chars) for i in range(0, b.num_rows, _SEVERAL // 2)):
             if base + batch.num_rows >= _SEVERAL or n >= HELD:
@@ -254,8 +255,10 @@ def _answered(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.nda
                 owner, held, base, n = owner + 1, [], 0, 0
             found = read(batch)
             none = np.zeros(0, np.int64)
-            held.append({"m": none, "c": none, "needs": none, "part": np.zeros(len(found["keys"]), np.int64)} | found | {"who": found["who"] + base})
+            found = {"m": none, "c": none, "needs": none, "part": np.zeros(len(found["keys"]), np.int64)} | found
+            held.append(found | {"who": (found["who"] + base).astype(np.uint16), "part": found["part"].astype(np.uint32)})
             base, n = base + batch.num_rows, n + len(found["keys"])
+            del found
         if held:
             yield flush()
 

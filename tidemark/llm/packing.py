@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path, memory)
-        for batch in slices(batches, chars=slice_bytes):
+        for batch in slices(batches, chars=slice_bytes, remember=True):
             ids, ends = words.encode(batch["text"])
             begin, rows = 0, []
             for k, end in zip(batch["key"].to_pylist(), ends.tolist(), strict=True):

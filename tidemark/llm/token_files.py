@@ -152,7 +152,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, slice_bytes: int =
         size = max(words.tokenizer.get_vocab_size(), end_id + 1)
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         total = np.zeros(size, np.int64)
-        for part in slices(batches, chars=slice_bytes):
+        for part in slices(batches, chars=slice_bytes, remember=True):
             ids, ends = words.encode(part["text"])
             total += np.bincount(ids, minlength=size)
             total[end_id] += part.num_rows
