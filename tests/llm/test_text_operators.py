@@ -277,7 +277,7 @@ def test_asking_takes_little_memory():
     rng = np.random.default_rng(3)
     n, docs = ngram_join.HELD, 4_000
     x = {"docs": np.arange(docs), "m": np.full(docs, 200), "c": np.zeros(0, np.int64), "needs": np.zeros(2 * docs, np.int64)}
-    x |= {"who": np.sort(rng.integers(0, docs, n)).astype(np.uint16), "part": rng.integers(0, 300, n).astype(np.uint32), "keys": rng.integers(0, 2**63, n).astype(np.uint64)}
+    x |= {"who": np.sort(rng.integers(0, docs, n)).astype(np.uint16), "part": rng.integers(0, 300, n).astype(np.uint32), "keys": rng.integers(0, 2**64, n, dtype=np.uint64)}
     tracemalloc.start()
     rows = ngram_join._asks(0, x, 12)
     peak = tracemalloc.get_traced_memory()[1]
