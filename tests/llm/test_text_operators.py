@@ -231,6 +231,29 @@ def test_many_texts_just_below_the_threshold(spark):
     assert rows == 0 and sum(made) < 30 * len(texts)
 
 
+def test_pairs_of_much_shared_text_stay_in_their_group(spark):
+    """Texts of chapters that many others have too, similar to few: pairs as many as the square of a group do not become rows."""
+    rng = random.Random(11)
+    chapters = [" ".join(f"c{k}x{i}" for i in range(20)) for k in range(60)]
+    texts = [" ".join(rng.sample(chapters, 6)) for _ in range(900)]
+    texts += [f"{t} end{i}" for i, t in enumerate(texts[:100])]  # each similar to one of them
+    made = []
+    original = ngram_join._verified
+
+    def counted(docs, pairs, *more):
+        made.append(pairs.count())
+        return original(docs, pairs, *more)
+
+    ngram_join._verified = counted
+    try:
+        got = {r.doc_id: (r.component_id, r.n_shingles) for r in ngram_join.jaccard_components(table(spark, texts)).collect()}
+    finally:
+        ngram_join._verified = original
+    parts, sizes = brute_components(texts)
+    assert got == {i: (parts[i], sizes[i]) for i in range(len(texts))}
+    assert sum(made[1:]) < len(texts)
+
+
 def rows_made(df, kind):
     """How many rows the nodes of a kind made in the plan of df, which runs here."""
     df.collect()

@@ -23,7 +23,9 @@ What follows, all exact:
   groups are split: two sets that are similar share one of their rarest shingles that other components have too, when
   of each as many are put aside as the pair needs. A set needs three quarters of its size of such shingles to take part;
 * before the sets of a pair meet, short sketches of them must: bits that tell for each bucket of shingles whether there
-  is an odd number in it. Each bit that differs is a difference of the sets.
+  is an odd number in it. Each bit that differs is a difference of the sets. From the second comparison on, the members of
+  a group bring a shorter sketch with them: of documents that share much and yet too little, which a common passage makes
+  of all that hold it, the pairs (as many as the square of the group) are seen in the group only and do not become rows.
 
 Some thousand documents together are the owner of their signatures or shingles. What is asked about a key (how often it
 occurs, in how many components) is asked once by each owner, in packed rows, and answered to it if there is another; and
@@ -59,8 +61,10 @@ HUBS = 8
 HELD, BLOCK_BYTES, LEAST_BLOCKS = 400_000, 8_000_000, 8
 #: Members of a group that one task compares with each other at once.
 WIDE = 4_000
-#: Bits of a sketch.
-SKETCH = 1_024
+#: Bits of a sketch, and of the one that a document brings to each block that has a key of it.
+SKETCH, SHORT = 1_024, 512
+#: Pairs whose sketches are held side by side.
+PAIRS = 100_000
 
 
 def first_parts(band: np.ndarray) -> np.ndarray:
@@ -173,7 +177,7 @@ def _loose(raw: bytes, n: int, kind: str) -> np.ndarray:
 
 
 #: A packed row is an owner's documents (docs is not null), or what it asks a block about, or what it is told.
-_ROW = {"block": pa.int64(), "owner": pa.int64()} | dict.fromkeys(("docs", "m", "c", "needs", "who", "part", "keys", "n", "low", "high"), pa.binary())
+_ROW = {"block": pa.int64(), "owner": pa.int64()} | dict.fromkeys(("docs", "m", "c", "needs", "bits", "who", "part", "keys", "n", "low", "high"), pa.binary())
 _SCHEMA = ", ".join(f"{k} {'binary' if pa.types.is_binary(t) else 'long'}" for k, t in _ROW.items())
 #: Documents of an owner, at most; this place stands for several documents that have a key.
 _SEVERAL = 65_535
@@ -201,7 +205,7 @@ def _asks(owner: int, x: dict[str, np.ndarray], blocks: int) -> pa.RecordBatch:
         row = {"block": block, "owner": owner, "keys": y["keys"].astype("<u4").tobytes(), "who": _tight(y["who"].astype("<u2")), "part": _tight(y["part"].astype("<u4")), "n": y["n"][y["several"]].astype("<u4").tobytes()}
         rows.append(row | {k: y[k].astype("<i8").tobytes() for k in ("low", "high") if k in y})
     inner = np.repeat(several, n)
-    own = {k: x[k].astype("<i8").tobytes() for k in ("docs", "m", "c")} | {"needs": x["needs"].astype("<i4").tobytes()}
+    own = {k: x[k].astype("<i8").tobytes() for k in ("docs", "m", "c")} | {"needs": x["needs"].astype("<i4").tobytes(), "bits": x["bits"].tobytes() if "bits" in x else b""}
     own |= {"who": who[inner].astype("<u2").tobytes(), "part": part[inner].astype("<u4").tobytes(), "n": n[several].astype("<u4").tobytes()}
     return _row_batch([*rows, {"block": owner % blocks, "owner": owner} | own])
 
@@ -236,8 +240,8 @@ def _told(table: pa.Table) -> pa.Table:
 def _answered(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], blocks: int, use: Callable[[dict[str, np.ndarray]], pa.Table], schema: str, text: str = "text", chars: int = 1_000_000) -> DataFrame:
     """What use makes of an owner's documents and of the keys that others have too.
 
-    read gives of a batch docs, m, c (if it matters), needs (2 a document), and for each key who (the place of its
-    document), part and keys. use gets the same with the keys that two documents or more have, in order of who and part,
+    read gives of a batch docs, m, c and bits (if they matter), needs (2 a document), and for each key who (the place of
+    its document), part and keys. use gets the same with the keys that two documents or more have, in order of who and part,
     with n, how many documents have each, and foreign, whether these are of two components or more.
     """
 
@@ -247,7 +251,7 @@ def _answered(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.nda
         owner, held, base, n = TaskContext.get().partitionId() << 32, [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return _asks(owner, {k: np.concatenate([h.pop(k) for h in held]) for k in ("docs", "m", "c", "needs", "who", "part", "keys")}, blocks)
+            return _asks(owner, {k: np.concatenate([h.pop(k) for h in held]) for k in ("docs", "m", "c", "needs", "bits", "who", "part", "keys")}, blocks)
 
         for batch in (b.slice(i, _SEVERAL // 2) for b in slices(batches, text, chars) for i in range(0, b.num_rows, _SEVERAL // 2)):
             if base + batch.num_rows >= _SEVERAL or n >= HELD:
@@ -255,7 +259,7 @@ def _answered(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.nda
                 owner, held, base, n = owner + 1, [], 0, 0
             found = read(batch)
             none = np.zeros(0, np.int64)
-            found = {"m": none, "c": none, "needs": none, "part": np.zeros(len(found["keys"]), np.int64)} | found
+            found = {"m": none, "c": none, "needs": none, "bits": np.zeros((0, SHORT // 8), np.uint8), "part": np.zeros(len(found["keys"]), np.int64)} | found
             held.append(found | {"who": (found["who"] + base).astype(np.uint16), "part": found["part"].astype(np.uint32)})
             base, n = base + batch.num_rows, n + len(found["keys"])
             del found
@@ -264,7 +268,7 @@ def _answered(docs: DataFrame, read: Callable[[pa.RecordBatch], dict[str, np.nda
 
     def finish(table: pa.Table) -> pa.Table:
         own, told = table.filter(pc.is_valid(table["docs"])), table.filter(pc.is_null(table["docs"]))
-        x = {k: np.frombuffer(own[k][0].as_buffer(), t) for k, t in (("docs", "<i8"), ("m", "<i8"), ("c", "<i8"), ("needs", "<i4"))}
+        x = {k: np.frombuffer(own[k][0].as_buffer(), t) for k, t in (("docs", "<i8"), ("m", "<i8"), ("c", "<i8"), ("needs", "<i4"), ("bits", np.uint8))}
         members, parts, sizes = (np.frombuffer(own[k][0].as_buffer(), t) for k, t in (("who", "<u2"), ("part", "<u4"), ("n", "<u4")))
         join = lambda k, t: np.frombuffer(b"".join(told[k].to_pylist()), t)
         keys = _whole(join("keys", "<u4"), np.repeat(np.asarray(told["block"]).astype(np.int64), [len(k) // 4 for k in told["keys"].to_pylist()]))
@@ -288,13 +292,19 @@ def _lists(who: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.array([values[b:e].astype("<u8").tobytes() if e > b else None for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
 
 
+def _sketched(bits: np.ndarray, who: np.ndarray, n: int) -> pa.Array:
+    """The sketches of those of n documents that are in who, as one binary for each, else null."""
+    bits, there = bits.reshape(n, SHORT // 8), np.bincount(who, minlength=n) > 0
+    return pa.array([x.tobytes() if y else None for x, y in zip(bits, there.tolist(), strict=True)], pa.binary())
+
+
 def _members(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, m and its signatures that others have too: few, of groups of SMALL at most, and many, of larger ones."""
+    """doc_id, m and its signatures that others have too: few, of groups of SMALL at most, and many, of larger ones; bits, its short sketch, if it has any."""
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
         row, part, sig, needs = signatures(values, ends)
-        return {"docs": np.asarray(batch["doc_id"]), "m": np.diff(ends, prepend=0), "needs": needs, "who": row // 2, "part": 2 * part + row % 2, "keys": sig}
+        return {"docs": np.asarray(batch["doc_id"]), "m": np.diff(ends, prepend=0), "needs": needs, "bits": sketches(values, ends, SHORT), "who": row // 2, "part": 2 * part + row % 2, "keys": sig}
 
     def use(x: dict[str, np.ndarray]) -> pa.Table:
         order = np.lexsort((x["part"] // 2, 2 * x["who"] + x["part"] % 2))
@@ -302,12 +312,12 @@ def _members(docs: DataFrame, blocks: int) -> DataFrame:
         keep = chosen(2 * who + part % 2, part // 2, sigs, df, x["needs"].astype(np.int64))
         who, sigs, small = who[keep], sigs[keep], df[keep] <= SMALL
         n = len(x["docs"])
-        return pa.table({"doc_id": pa.array(x["docs"]), "m": pa.array(x["m"]), "few": _lists(who[small], sigs[small], n), "many": _lists(who[~small], sigs[~small], n)})
+        return pa.table({"doc_id": pa.array(x["docs"]), "m": pa.array(x["m"]), "few": _lists(who[small], sigs[small], n), "many": _lists(who[~small], sigs[~small], n), "bits": _sketched(x["bits"], who, n)})
 
-    return _answered(docs, read, blocks, use, "doc_id long, m long, few binary, many binary")
+    return _answered(docs, read, blocks, use, "doc_id long, m long, few binary, many binary, bits binary")
 
 
-_GROUPS = "block long, docs binary, m binary, c binary, keys binary, others binary"
+_GROUPS = "block long, docs binary, m binary, c binary, keys binary, others binary, bits binary"
 
 
 def _runs(keys: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,21 +330,47 @@ def _runs(keys: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _spread(batch: pa.RecordBatch, column: str) -> dict[str, np.ndarray]:
-    """docs, m, c and keys: a row for each key in the lists of a column."""
+    """docs, m, c, keys and who (the place in the batch): a row for each key in the lists of a column."""
     lists = [np.frombuffer(x, "<u8") for x in batch[column].to_pylist()]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     out = {k: np.repeat(np.asarray(batch[c]).astype("<i8"), n) for k, c in (("docs", "doc_id"), ("m", "m"), ("c", "c"))}
-    return out | {"keys": np.concatenate(lists)}
+    return out | {"keys": np.concatenate(lists), "who": np.repeat(np.arange(len(n)), n)}
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(6)], names=[x.split()[0] for x in _GROUPS.split(", ")])
+    return pa.record_batch([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(7)], names=[x.split()[0] for x in _GROUPS.split(", ")])
 
 
 def _joined(table: pa.Table, column: str, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in table[column].to_pylist()), kind)
 
 
+def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Short sketches as rows of whole numbers."""
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), "<u8").reshape(-1, SHORT // 64)
+
+
+def _brought(x: dict[str, np.ndarray], bits: np.ndarray) -> bytes:
+    """The sketches of the documents of some rows, each once, in order of docs. bits: by the place in the batch."""
+    return bits[x["who"][np.unique(x["docs"], return_index=True)[1]]].tobytes()
+
+
+def _places(table: pa.Table, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches, and for each of docs which is its own. Each packed row has brought those of its documents, which no other has."""
+    ids = np.concatenate([np.zeros(0, np.int64), *(np.unique(np.frombuffer(x, "<i8")) for x in table["docs"].to_pylist())])
+    order = np.argsort(ids)
+    return _bits(table["bits"]), order[np.searchsorted(ids[order], docs)] if len(ids) else ids
+
+
+def _may(bits: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the sketches at x and y differ in no more bits than similar sets of m elements together differ in."""
+    ok = np.zeros(len(x), bool)
+    for i in range(0, len(x), PAIRS):
+        k = slice(i, i + PAIRS)
+        ok[k] = 7 * np.bitwise_count(bits[x[k]] ^ bits[y[k]]).sum(axis=1, dtype=np.int64) <= m[k]
+    return ok
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
@@ -355,27 +391,31 @@ def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1, alone: b
     Two documents share many signatures, which lie in as many blocks; so a block packs its pairs, and only when those of
     all blocks are together a pair becomes a row.
 
-    alone: each document is its own component. The first is the least of each owner's members, and then of these; with hubs, one by a hash that differs between
-    so many kinds of signatures.
+    alone: each document is its own component, and sketches are not asked. The first is the least of each owner's members, and then of these; with hubs, one by a
+    hash that differs between so many kinds of signatures.
     """
 
-    def star(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The places of the hubs, and of pairs with them."""
+    def star(x: dict[str, np.ndarray], bits: np.ndarray | None, at: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the hubs, and of pairs with them. at: where in bits the sketch of each is."""
         by = x["docs"].astype(np.uint64)
         order, begins, ends = _runs(x["keys"], by if hubs == 1 else mix(by + (x["keys"] % np.uint64(hubs)) * np.uint64(0x9E3779B97F4A7C15)))
         hub = np.repeat(order[begins], ends - begins)
         m, c = x["m"], x["c"]
         fits = (order != hub) & (c[order] != c[hub]) & (4 * np.minimum(m[order], m[hub]) >= 3 * np.maximum(m[order], m[hub]))
-        return order[begins], hub[fits], order[fits]
+        hub, other = hub[fits], order[fits]
+        if bits is not None:
+            fits = _may(bits, at[hub], at[other], m[hub] + m[other])
+            hub, other = hub[fits], other[fits]
+        return order[begins], hub, other
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, 8 * HELD):
-            x = _spread(batch, column)
-            first, a, b = star(x)
+            x, bits = _spread(batch, column), None if alone else _bits(batch["bits"])
+            first, a, b = star(x, bits, x["who"])
             met = _pairs(x["docs"][a], x["docs"][b])
             a, b = np.asarray(met["a"]).astype("<i8"), np.asarray(met["b"]).astype("<i8")
-            rows = [(block, y["docs"].tobytes(), y["m"].astype("<i4").tobytes(), None if alone else y["c"].tobytes(), y["keys"].tobytes(), None) for block, y in _blocks(_block_of(x["keys"][first], blocks), {k: v[first] for k, v in x.items()})]
-            rows += [(block, None, y["a"].tobytes(), None, None, y["b"].tobytes()) for block, y in _blocks(b % blocks, {"a": a, "b": b})]
+            rows = [(block, y["docs"].tobytes(), y["m"].astype("<i4").tobytes(), None if alone else y["c"].tobytes(), y["keys"].tobytes(), None, None if alone else _brought(y, bits)) for block, y in _blocks(_block_of(x["keys"][first], blocks), {k: v[first] for k, v in x.items()})]
+            rows += [(block, None, y["a"].tobytes(), None, None, y["b"].tobytes(), None) for block, y in _blocks(b % blocks, {"a": a, "b": b})]
             yield _packed(rows)
 
     def run(table: pa.Table) -> pa.Table:
@@ -384,14 +424,14 @@ def _stars(members: DataFrame, column: str, blocks: int, hubs: int = 1, alone: b
         x = {k: _joined(table, k, t) for k, t in (("docs", "<i8"), ("m", "<i4"), ("c", "<i8"), ("keys", "<u8"))}
         x["m"] = x["m"].astype(np.int64)
         x["c"] = x["c"] if len(x["c"]) else x["docs"]
-        _, a, b = star(x)
+        _, a, b = star(x, *((None, None) if alone else _places(table, x["docs"])))
         met = _pairs(np.concatenate((_joined(known, "m"), x["docs"][a])), np.concatenate((_joined(known, "others"), x["docs"][b])))
         a, b = np.asarray(met["a"]), np.asarray(met["b"])
         heap = _block_of(mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)), heaps)
-        return pa.Table.from_batches([_packed([(at, None, y["a"].tobytes(), None, None, y["b"].tobytes()) for at, y in _blocks(heap, {"a": a, "b": b})])])
+        return pa.Table.from_batches([_packed([(at, None, y["a"].tobytes(), None, None, y["b"].tobytes(), None) for at, y in _blocks(heap, {"a": a, "b": b})])])
 
     heaps = max(LEAST_BLOCKS, blocks // LEAST_BLOCKS)
-    rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column)
+    rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column, *["bits"] * (not alone))
     return _once(rows.mapInArrow(local, _GROUPS).repartition(blocks, "block").groupBy("block").applyInArrow(lean(run), _GROUPS), heaps)
 
 
@@ -403,7 +443,7 @@ def _allowed(m: np.ndarray, c: np.ndarray, use: np.ndarray, own: slice, other: s
 
 
 def _within(members: DataFrame, column: str, blocks: int, ranked: bool = False) -> DataFrame:
-    """(a, b): in each group all pairs of two components whose sizes allow a link.
+    """(a, b): in each group all pairs of two components whose sizes and sketches allow a link.
 
     ranked: m holds use << 32 | size, and the lists are in the order of each document's rarest shingles: what is
     before a group's own shingle does not count, as a pair that shares it is found there.
@@ -411,24 +451,26 @@ def _within(members: DataFrame, column: str, blocks: int, ranked: bool = False)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, 8 * HELD):
-            x = _spread(batch, column)
+            x, bits = _spread(batch, column), _bits(batch["bits"])
             if ranked:
                 n = np.asarray(pc.binary_length(batch[column])).astype(np.int64) // 8
                 x["m"] = x["m"] - ((np.arange(len(x["m"])) - np.repeat(np.cumsum(n) - n, n)) << 32)
-            yield _packed([(block, y["docs"].tobytes(), y["m"].tobytes(), y["c"].tobytes(), y["keys"].tobytes(), None) for block, y in _blocks(_block_of(x["keys"], blocks), x)])
+            yield _packed([(block, y["docs"].tobytes(), y["m"].tobytes(), y["c"].tobytes(), y["keys"].tobytes(), None, _brought(y, bits)) for block, y in _blocks(_block_of(x["keys"], blocks), x)])
 
-    def pairs(docs: np.ndarray, m: np.ndarray, c: np.ndarray, use: np.ndarray, cut: int) -> pa.Table:
+    def pairs(docs: np.ndarray, m: np.ndarray, c: np.ndarray, use: np.ndarray, bits: np.ndarray, cut: int) -> pa.Table:
         """All pairs, or only those of a member before the cut with one after it."""
         n = len(docs)
         own, other = (slice(0, cut), slice(cut, n)) if cut else (slice(0, n), slice(0, n))
-        i, j = np.nonzero(_allowed(m, c, use, own, other))
-        j = j + (cut or 0)
-        keep = i < j
+        ok = _allowed(m, c, use, own, other)
+        i, j = np.nonzero(ok if cut else np.triu(ok, 1))
+        j = j + cut
+        keep = _may(bits, i, j, m[i] + m[j])
         return _pairs(docs[i[keep]], docs[j[keep]])
 
     def run(table: pa.Table) -> pa.Table:
         docs, both, c, keys = (_joined(table, k, t) for k, t in (("docs", "<i8"), ("m", "<i8"), ("c", "<i8"), ("keys", "<u8")))
         m, use = (both & 0xFFFFFFFF, both >> 32) if ranked else (both, both)
+        bits, place = _places(table, docs)
         order, begins, ends = _runs(keys, docs, m)
         size, most = ends - begins, 7 * use // 3 - m
         a, b, wide = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
@@ -439,6 +481,8 @@ def _within(members: DataFrame, column: str, blocks: int, ranked: bool = False)
         while len(i := i[i + apart < len(own)]) and len(i := i[group[i] == group[i + apart]]):
             x, y = own[i], own[i + apart]
             ok = (c[x] != c[y]) & (m[y] <= most[x]) & (m[x] <= most[y])
+            x, y = x[ok], y[ok]
+            ok = _may(bits, place[x], place[y], m[x] + m[y])
             a.append(docs[x[ok]])
             b.append(docs[y[ok]])
             apart += 1
@@ -453,13 +497,13 @@ def _within(members: DataFrame, column: str, blocks: int, ranked: bool = False)
             if len(own) < 2 or (c[own] == c[own[0]]).all():
                 continue
             if len(own) <= WIDE:
-                met = pairs(docs[own], m[own], c[own], use[own], 0)
+                met = pairs(docs[own], m[own], c[own], use[own], bits[place[own]], 0)
                 a.append(np.asarray(met["a"]))
                 b.append(np.asarray(met["b"]))
                 continue
             parts = [own[k : k + WIDE] for k in range(0, len(own), WIDE)]  # by size, so most pairs of parts are too far apart
             for k, p in enumerate(parts):
-                wide += [(k * len(parts) + j, *(x[np.concatenate((p, q)) if j > k else p].tobytes() for x in (docs, both, c)), np.array([len(p) if j > k else 0], "<u8").tobytes(), None) for j, q in enumerate(parts[k:], k) if m[q[0]] <= most[p].max()]
+                wide += [(k * len(parts) + j, *(x[np.concatenate((p, q)) if j > k else p].tobytes() for x in (docs, both, c)), np.array([len(p) if j > k else 0], "<u8").tobytes(), None, bits[place[np.concatenate((p, q)) if j > k else p]].tobytes()) for j, q in enumerate(parts[k:], k) if m[q[0]] <= most[p].max()]
         met = _pairs(np.concatenate(a), np.concatenate(b))
         n = met.num_rows
         rest = pa.Table.from_batches([_packed(wide)])
@@ -471,9 +515,9 @@ def _within(members: DataFrame, column: str, blocks: int, ranked: bool = False)
                 table = batch.slice(i, 1)
                 both = _joined(table, "m")
                 m, use = (both & 0xFFFFFFFF, both >> 32) if ranked else (both, both)
-                yield from pairs(_joined(table, "docs"), m, _joined(table, "c"), use, int(_joined(table, "keys")[0])).to_batches()
+                yield from pairs(_joined(table, "docs"), m, _joined(table, "c"), use, _bits(table["bits"]), int(_joined(table, "keys")[0])).to_batches()
 
-    rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column)
+    rows = members.where(f"{column} is not null").select("doc_id", "m", "c", column, "bits")
     met = materialize(rows.mapInArrow(deal, _GROUPS).repartition(blocks, "block").groupBy("block").applyInArrow(lean(run), "a long, b long, " + _GROUPS), "met")
     pairs_met, split = met.where("a is not null").select("a", "b"), met.where("a is null").drop("a", "b")
     if not split.isEmpty():
@@ -500,13 +544,13 @@ def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
     """doc_id, c and m of the documents in parts (doc_id, c), and use, their rarest shingles, of those that another component has too.
 
     m is the number of these << 32 | the size. Documents with less than three quarters of their size of them are left
-    out; of the others as many are in use as a similar set has one of at least.
+    out; of the others as many are in use as a similar set has one of at least. bits is the short sketch.
     """
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         values, ends = shingle_sets(*word_hashes(batch["text"]), SHINGLE)
         n = np.diff(ends, prepend=0)
-        return {"docs": np.asarray(batch["doc_id"]), "m": n, "c": np.asarray(batch["c"]), "who": np.repeat(np.arange(batch.num_rows), n), "keys": values}
+        return {"docs": np.asarray(batch["doc_id"]), "m": n, "c": np.asarray(batch["c"]), "bits": sketches(values, ends, SHORT), "who": np.repeat(np.arange(batch.num_rows), n), "keys": values}
 
     def use(x: dict[str, np.ndarray]) -> pa.Table:
         n, m = len(x["docs"]), x["m"]
@@ -516,19 +560,19 @@ def _usable(docs: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
         count = np.bincount(who, minlength=n)
         place = np.arange(len(who)) - (np.cumsum(count) - count)[who]
         keep = (4 * count >= 3 * m)[who] & (place < (count - -(-3 * m // 4) + 1)[who])
-        return pa.table({"doc_id": pa.array(x["docs"]), "m": pa.array(count << 32 | m), "c": pa.array(x["c"]), "use": _lists(who[keep], keys[keep], n)})
+        return pa.table({"doc_id": pa.array(x["docs"]), "m": pa.array(count << 32 | m), "c": pa.array(x["c"]), "use": _lists(who[keep], keys[keep], n), "bits": _sketched(x["bits"], who[keep], n)})
 
     few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.join(F.broadcast(parts) if few else parts, "doc_id").select("doc_id", "c", "text")
-    return _answered(rows, read, blocks, use, "doc_id long, m long, c long, use binary").where("use is not null")
+    return _answered(rows, read, blocks, use, "doc_id long, m long, c long, use binary, bits binary").where("use is not null")
 
 
-def sketches(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each set, SKETCH bits as bytes: whether a bucket has an odd number of elements."""
+def sketches(values: np.ndarray, ends: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """For each set, so many bits as bytes: whether a bucket has an odd number of elements."""
     who = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    key, n = np.unique(who * SKETCH + (mix(values) % np.uint64(SKETCH)).astype(np.int64), return_counts=True)
+    key, n = np.unique(who * size + (mix(values) % np.uint64(size)).astype(np.int64), return_counts=True)
     key = key[n % 2 == 1]
-    return np.bincount(key >> 3, weights=(1 << (key & 7)).astype(float), minlength=len(ends) * SKETCH // 8).astype(np.uint8).reshape(len(ends), -1)
+    return np.bincount(key >> 3, weights=(1 << (key & 7)).astype(float), minlength=len(ends) * size // 8).astype(np.uint8).reshape(len(ends), -1)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sketched: bool = True) -> DataFrame:
@@ -565,7 +609,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketched: bool = True) -> DataF
         rows = join_counted(pairs, materialize(hubs, "hubs"), ["a"])
         return rows.join(held.select(F.col("doc_id").alias("b"), F.col("m").alias("o"), F.col(column).alias("y")), "b").select("a", "b", "m", "o", "x", "y")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     held = materialize(only(docs, ids).mapInArrow(sets, "doc_id long, m long, bits binary, values binary"), "sets")
     if sketched:
         pairs = materialize(with_both(pairs, "bits").mapInArrow(near, "a long, b long"), "near")
