@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded_sample, bounded_texts, slices
+from .common import bound_batches, bounded_sample, bounded_texts, slices, release
 
 #: Labelled documents that the model is fitted on, at most, and bytes of their texts.
 SAMPLE, SAMPLE_BYTES = 6_000, 96_000_000
@@ -157,7 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = bounded_sample(known, sample, "key")  # bounded, so it may be broadcast
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
     rows = bounded_texts(rows, sample, SAMPLE_BYTES, "text", "key", "text").toArrow()  # a key may have several texts
-    return train(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows["grade"]))
+    model = train(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows["grade"]))
+    del rows
+    release()  # the driver has more to do
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
