@@ -254,6 +254,30 @@ def test_pairs_of_much_shared_text_stay_in_their_group(spark):
     assert sum(made[1:]) < len(texts)
 
 
+def test_only_pairs_whose_sketches_meet_bring_their_sets(spark, monkeypatch):
+    """Texts that share signatures and yet too little, also in the first comparison: their sets are not moved."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    chapters = [" ".join(f"c{k}x{i}" for i in range(20)) for k in range(60)]
+    texts = [" ".join(rng.sample(chapters, 6)) for _ in range(600)]
+    texts += [f"{t} end{i}" for i, t in enumerate(texts[:100])]
+    asked, moved = [], []
+    original = ngram_join.join_counted
+
+    def counted(rows, groups, on):
+        if "x" in groups.columns:
+            sketches = groups.where(F.octet_length("x") != ngram_join.SKETCH // 8).isEmpty()
+            (asked if sketches else moved).append(rows.count())
+        return original(rows, groups, on)
+
+    monkeypatch.setattr(ngram_join, "join_counted", counted)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in ngram_join.jaccard_components(table(spark, texts)).collect()}
+    parts, sizes = brute_components(texts)
+    assert got == {i: (parts[i], sizes[i]) for i in range(len(texts))}
+    assert sum(asked) > len(texts) and 100 <= sum(moved) < len(texts) // 2, (asked, moved)
+
+
 def rows_made(df, kind):
     """How many rows the nodes of a kind made in the plan of df, which runs here."""
     df.collect()

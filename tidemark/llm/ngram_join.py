@@ -575,8 +575,8 @@ def sketches(values: np.ndarray, ends: np.ndarray, size: int = SKETCH) -> np.nda
     return np.bincount(key >> 3, weights=(1 << (key & 7)).astype(float), minlength=len(ends) * size // 8).astype(np.uint8).reshape(len(ends), -1)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, sketched: bool = True) -> DataFrame:
-    """The pairs (a, b), a written table, whose sets are similar."""
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b), a written table, whose sets are similar. Only sets of documents of a pair whose sketches meet are moved."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=1_000_000):
@@ -605,14 +605,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketched: bool = True) -> DataF
 
     def with_both(pairs: DataFrame, column: str) -> DataFrame:
         """pairs with a column of a, which may be the hub of very many, as x (and its m), and of b as y (and its m as o)."""
-        hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).join(held.select(F.col("doc_id").alias("a"), "m", F.col(column).alias("x")), "a")
+        hubs = only(held, pairs.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("n")), "inner").select(F.col("doc_id").alias("a"), "n", "m", F.col(column).alias("x"))
         rows = join_counted(pairs, materialize(hubs, "hubs"), ["a"])
         return rows.join(held.select(F.col("doc_id").alias("b"), F.col("m").alias("o"), F.col(column).alias("y")), "b").select("a", "b", "m", "o", "x", "y")
 
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    held = materialize(only(docs, ids).mapInArrow(sets, "doc_id long, m long, bits binary, values binary"), "sets")
-    if sketched:
-        pairs = materialize(with_both(pairs, "bits").mapInArrow(near, "a long, b long"), "near")
+    def ids(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+
+    held = materialize(only(docs, ids(pairs)).mapInArrow(sets, "doc_id long, m long, bits binary, values binary"), "sets")
+    pairs = materialize(with_both(pairs, "bits").mapInArrow(near, "a long, b long"), "near")
+    held = only(held, ids(pairs))
     return with_both(pairs, "values").mapInArrow(test, "a long, b long")
 
 
@@ -629,10 +631,10 @@ def _components(docs: DataFrame, reps: DataFrame, blocks: int) -> tuple[DataFram
 
     tested = parts = None
 
-    def linked(pairs: DataFrame, sketched: bool = True) -> None:
+    def linked(pairs: DataFrame) -> None:
         nonlocal tested, parts
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_verified(docs, pairs, sketched), "links")
+        found = materialize(_verified(docs, pairs), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if parts is None:
             parts = components(found)
@@ -640,7 +642,7 @@ def _components(docs: DataFrame, reps: DataFrame, blocks: int) -> tuple[DataFram
             parts = components(found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     now = placed(None)
-    linked(_stars(now, "few", blocks, alone=True).unionByName(_stars(now, "many", blocks, alone=True)).distinct(), sketched=False)
+    linked(_stars(now, "few", blocks, alone=True).unionByName(_stars(now, "many", blocks, alone=True)).distinct())
     now = placed(parts)
     linked(_within(now, "few", blocks).unionByName(_stars(now, "many", blocks, HUBS)).distinct())
     mixed = materialize(_mixed(placed(parts), blocks), "mixed")
