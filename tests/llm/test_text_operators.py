@@ -538,6 +538,21 @@ def test_cascade(spark):
     assert rejected == {k: n for k, n in rejected.items() if set(k) <= set(seconds)}
 
 
+def test_the_sample_is_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are, and however little is put together again."""
+    few, written, real = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        _, rejected = quality.measure(table(spark, [f"some words of the text {i}" for i in range(300)]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written[0].inputFiles()) <= quality.SAMPLE_FILES and sum(rejected.values()) == written[0].count() == 300
+
+
 def test_rules_on_a_very_long_text(spark):
     rng = random.Random(9)
     text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200_000))

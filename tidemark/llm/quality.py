@@ -31,6 +31,8 @@ REPEAT_WINDOW = 8
 SAMPLE, SAMPLE_BYTES = 2_000, 16_000_000
 #: How often a job tests each document of the sample, and how often it is timed.
 TIMES, RUNS = 4, 3
+#: Files of the sample, at most, whatever the number of shuffle partitions: an executor starts processes for each file it writes.
+SAMPLE_FILES = 8
 _SPACES = " \t\n\x0b\x0c\r"
 
 Rule = tuple[str, Callable[[], Column]]
@@ -101,7 +103,8 @@ def base_failed() -> Column:
 
 def measure(docs: DataFrame, rules: list[Rule] = RULES, sample: int = SAMPLE) -> tuple[dict[str, float], dict[tuple[str, ...], int]]:
     """Seconds of each rule on the sample, and how many of its documents exactly these rules reject."""
-    part = materialize(_words(bounded_texts(docs.select("doc_id", "text"), sample, SAMPLE_BYTES, "text", "doc_id", "text")).select("text", "words", "n_words"), "sample")
+    few = bounded_texts(docs.select("doc_id", "text"), sample, SAMPLE_BYTES, "text", "doc_id", "text").coalesce(SAMPLE_FILES)
+    part = materialize(_words(few).select("text", "words", "n_words"), "sample")
     names = F.filter(F.array(*(F.when(~keeps(), F.lit(name)) for name, keeps in rules)), lambda x: x.isNotNull())
     rejected = {tuple(r["names"]): r["count"] for r in _counted(part).select(names.alias("names")).groupBy("names").count().collect()}  # a row for each set of rules
     again = part.withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
