@@ -4,6 +4,7 @@ import base64
 import hashlib
 import heapq
 import io
+import itertools
 import random
 import re
 import zlib
@@ -78,6 +79,16 @@ def test_separators(path, texts):
     assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_signs_after_letters_make_no_new_words():
+    """What the library is asked for is a word once, not once with each sign that follows it; ids are those of whole texts."""
+    names = ["".join(x) for x in itertools.product("bdfklé", "aeo", "lmnr", "iu")]
+    texts = [" ".join(n + s for n in names) + "\n" + "\n".join(names[:20]) for s in ("", ".", ",", "!", "?", "###", "'s", ".x")]
+    own = Encoder(BYTES)
+    ids, ends = own.encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [fresh_tokenizer(BYTES).encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own.known) < 1.4 * len(names)
+
+
 def test_packing(spark):
     rows = packing.best_fit_pack(table(spark, TEXTS), WORDS).toPandas()
     for i, t in enumerate(TEXTS):

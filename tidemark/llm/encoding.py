@@ -11,7 +11,7 @@ import gc
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,14 @@ MEMORY = 200_000
 SLICE_BYTES = 3_000_000
 #: New words that are encoded as one text.
 RUN = 24
-_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_OTHER = r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE = " " + _OTHER
 #: White space that the byte-level rule keeps in one piece where this module would cut.
 _RUN = f"[{_SPACE}][{_SPACE}](?:[{_SPACE}]|\\z)|\\x00"
 #: Separators at which Arrow cuts words and drops them, while the tokenizer gives them ids.
 _KEPT = r"[\x1c-\x1f]"
+#: A letter and a sign after it, between which the byte-level rule always cuts; only those that are letters in any version of Unicode.
+_SIGN = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}])([!-/:-@\[-`{-~])"
 
 
 class Encoder:
@@ -49,7 +52,12 @@ class Encoder:
         # What can stand between words without changing their ids, and its id; words for which that fails go alone.
         self.between, inner = ("\n", "\n") if self.spaced else (" 0 ", "0")
         self.mark = self.tokenizer.encode(inner, add_special_tokens=False).ids[0]
-        self.apart = re.compile(r".\s|^\s\s*$|^[^\S ]|^$" if self.spaced else "0|^$", re.S).search
+        self.apart = f"(?s).[{_SPACE}]|^ ?$|^[{_OTHER}]" if self.spaced else "0|^$"
+        if self.spaced:
+            #: Bytes of each id: these files write each byte as one character.
+            self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.bytes[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -59,19 +67,62 @@ class Encoder:
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words, RUN at a time with a mark between them: fewer results to unpack than one for each word."""
-        odd = [w for w in words if self.apart(w)]
-        plain = [w for w in words if not self.apart(w)] if odd else words
-        runs = [plain[at : at + RUN] for at in range(0, len(plain), RUN)]
+    def _learn(self, words: pa.Array) -> None:
+        """Encodes new words, RUN at a time in one text: fewer results to unpack than one for each word."""
+        apart = np.asarray(pc.match_substring_regex(words, self.apart))
+        odd = words.filter(pa.array(apart)).to_pylist()
+        plain = words.filter(pa.array(~apart)) if odd else words
         gc.disable()  # many small lists, none in a cycle
-        chunks, sizes = [], []
+        chunks, size = self._by_length(plain) if self.spaced else self._by_marks(plain.to_pylist())
+        for w in odd:
+            chunks.append(self.direct(w))
+        gc.enable()
+        size = np.concatenate((size, np.fromiter(map(len, chunks[len(chunks) - len(odd) :]), np.int64, len(odd))))
+        self.known.update(zip(chain(plain.to_pylist(), odd), range(len(self.size), len(self.size) + len(words)), strict=True))
+        begin = len(self.pool) + np.cumsum(size) - size
+        if self.spaced:  # line ends before words are no part of them
+            first = np.zeros(len(size), bool)
+            first[: len(plain)] = ~np.asarray(pc.starts_with(plain, " "))
+            begin, size = begin + first, size - first
+        self.begin = np.concatenate((self.begin, begin))
+        self.size = np.concatenate((self.size, size))
+        self.pool = np.concatenate((self.pool, *chunks))
+
+    def _ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all runs, and how many each has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
+
+    def _by_length(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of byte-level words and how many each has. A word begins with its space, any other with a line end before it.
+
+        Each id stands for a fixed number of bytes, so the words' lengths say where in a run each begins.
+        """
+        spaced = pc.starts_with(words, " ")
+        line, nothing = pa.scalar("\n", words.type), pa.scalar("", words.type)
+        texts = pc.binary_join_element_wise(pc.if_else(spaced, nothing, line), words, nothing)
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        starts = np.append(np.arange(0, len(texts), RUN), len(texts))
+        runs = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), texts), nothing) if len(texts) else pa.array([], pa.large_string())
+        chunks = [self._ids(runs[at : at + 256].to_pylist())[0] for at in range(0, len(runs), 256)]
+        ids = np.concatenate((np.zeros(0, np.uint32), *chunks))
+        bytes_to = np.cumsum(self.bytes[ids])
+        stops = np.searchsorted(bytes_to, ends)
+        begin = np.append(0, stops + 1)[: len(texts)]
+        first = ~np.asarray(spaced)
+        if len(texts) and (stops[-1] != len(ids) - 1 or (bytes_to[stops] != ends).any() or (ids[begin[first]] != self.mark).any()):
+            raise ValueError("ids of two words in a run became one")
+        return chunks, stops + 1 - begin
+
+    def _by_marks(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of words that white space parts, and how many each has, with a mark between words."""
+        runs = [words[at : at + RUN] for at in range(0, len(words), RUN)]
+        chunks, sizes = [], [np.zeros(0, np.int64)]
         for at in range(0, len(runs), 256):
             some = runs[at : at + 256]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([self.between.join(r) for r in some], add_special_tokens=False)]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum()))
-            marks = np.zeros(len(ids) + len(lists), bool)
+            ids, n = self._ids([self.between.join(r) for r in some])
+            marks = np.zeros(len(ids) + len(some), bool)
             last = np.cumsum(n + 1) - 1
             marks[last] = True
             inner = np.flatnonzero(~marks)
@@ -81,15 +132,26 @@ class Encoder:
                 raise ValueError("a mark between words did not stay one id")
             sizes.append(np.diff(stops, prepend=-1) - 1)
             chunks.append(ids[ids != self.mark])
-        for w in odd:
-            chunks.append(self.direct(w))
-            sizes.append(np.array([len(chunks[-1])]))
-        gc.enable()
-        size = np.concatenate(sizes)
-        self.known.update(zip(chain(plain, odd), range(len(self.size), len(self.size) + len(words)), strict=True))
-        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.pool = np.concatenate((self.pool, *chunks))
+        return chunks, np.concatenate(sizes)
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all these words in one array, and where each word begins and how many it has."""
+        if self.spaced:  # a letter and a sign after it never are in one piece, so signs do not make new words
+            cut = pc.split_pattern(pc.replace_substring_regex(words, _SIGN, "\\1\0\\2"), "\0")
+            per_word, words = np.diff(np.asarray(cut.offsets)), cut.flatten()
+        coded = words.dictionary_encode()
+        names, at = coded.dictionary, np.asarray(coded.indices)
+        known = np.fromiter(map(self.known.get, names.to_pylist(), repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new = names.take(pa.array(missing))
+            self._learn(new)
+            known[missing] = np.fromiter(map(self.known.__getitem__, new.to_pylist()), np.int64, len(new))
+        n, begin = self.size[known][at], self.begin[known][at]
+        if not self.spaced:
+            return self.pool, begin, n
+        stops = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(per_word)))]
+        return _gather(self.pool, begin, n), stops[:-1], np.diff(stops)
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32, ends int64): text i has ids[ends[i - 1]:ends[i]]; null reads as empty."""
@@ -103,19 +165,14 @@ class Encoder:
             cut = pc.utf8_split_whitespace(texts)
         per_text = np.diff(np.asarray(cut.offsets))
         coded = cut.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        words, at = coded.dictionary, np.asarray(coded.indices)
         if len(self.known) > self.memory:
             self._forget()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n, begin = self.size[known][at], self.begin[known][at]
-        stops = np.cumsum(n)
-        total = int(stops[-1]) if len(stops) else 0
-        place = np.repeat((begin - (stops - n)).astype(np.int32), n)  # the pool is far below 2**31
-        place += np.arange(total, dtype=np.int32)
-        ids = self.pool[place]
-        counts = np.diff(np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(per_text)))])
+        pool, begin, n = self._parts(words)
+        n, begin = n[at], begin[at]
+        ids = _gather(pool, begin, n)
+        stops = np.concatenate(([0], np.cumsum(n)))
+        counts = np.diff(stops[np.concatenate(([0], np.cumsum(per_text)))])
         if odd:
             chunks = np.split(ids, np.cumsum(counts)[:-1])
             for i, own in odd.items():
@@ -125,6 +182,15 @@ class Encoder:
         return ids, np.cumsum(counts)
 
 
+def _gather(pool: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """pool[begin : begin + n] of all places, one after the other."""
+    stops = np.cumsum(n)
+    total = int(stops[-1]) if len(stops) else 0
+    place = np.repeat((begin - (stops - n)).astype(np.int32), n)  # the pool is far below 2**31
+    place += np.arange(total, dtype=np.int32)
+    return pool[place]
+
+
 @lru_cache(2)
 def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """The worker's encoder for a file: it and what it remembers serve all tasks of the worker that encode."""
