@@ -89,6 +89,20 @@ def test_signs_after_letters_make_no_new_words():
     assert len(own.known) < 1.4 * len(names)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_that_come_again_stay(path, monkeypatch):
+    """When there are more words than may be kept, those of one batch go; ids stay those of whole texts."""
+    own, learned, learn = Encoder(path, 40), [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, words, names: learned.extend(names) or learn(self, words, names))
+    often = " ".join(["again", "and", "often"] * 3)
+    for batch in range(12):
+        texts = [often, " ".join(f"w{batch}x{i}y" for i in range(30))]
+        ids, ends = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [fresh_tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.known) == len(own.size) <= 40 + 40
+    assert max(map(learned.count, learned)) == 1
+
+
 def test_packing(spark):
     rows = packing.best_fit_pack(table(spark, TEXTS), WORDS).toPandas()
     for i, t in enumerate(TEXTS):

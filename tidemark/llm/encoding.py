@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 from .common import forgetting
 
-#: Words kept between batches, which are forgotten when there are more. With more, a worker is faster and larger.
+#: Words kept between batches; when there are more, those of one batch are forgotten. With more, a worker is faster and larger.
 MEMORY = 200_000
 #: Bytes of text to encode at once.
 SLICE_BYTES = 3_000_000
@@ -58,17 +58,29 @@ class Encoder:
             self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.bytes[i] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: In how many batches each word came since words were last forgotten.
+        self.uses = np.zeros(0, np.int32)
 
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, words: pa.Array) -> None:
-        """Encodes new words, RUN at a time in one text: fewer results to unpack than one for each word."""
+    def _thin(self) -> None:
+        """Forgets words of one batch only and, of the others, those of the fewest batches if half the memory does not hold them."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.memory // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.memory // 2]])
+        place = np.full(len(self.size), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        self.known = {w: i for w, i in zip(self.known, place[np.fromiter(self.known.values(), np.int64, len(self.known))].tolist(), strict=True) if i >= 0}
+        self.pool = _gather(self.pool, self.begin[kept], self.size[kept])
+        self.size = self.size[kept]
+        self.begin = np.cumsum(self.size) - self.size
+        self.uses = np.ones(len(kept), np.int32)  # a word that does not come again goes the next time
+
+    def _learn(self, words: pa.Array, names: list[str]) -> np.ndarray:
+        """The numbers of new words, which are encoded RUN at a time in one text: fewer results to unpack than one for each word."""
         apart = np.asarray(pc.match_substring_regex(words, self.apart))
         odd = words.filter(pa.array(apart)).to_pylist()
         plain = words.filter(pa.array(~apart)) if odd else words
@@ -78,7 +90,10 @@ class Encoder:
             chunks.append(self.direct(w))
         gc.enable()
         size = np.concatenate((size, np.fromiter(map(len, chunks[len(chunks) - len(odd) :]), np.int64, len(odd))))
-        self.known.update(zip(chain(plain.to_pylist(), odd), range(len(self.size), len(self.size) + len(words)), strict=True))
+        number = np.zeros(len(words), np.int64)
+        number[~apart] = len(self.size) + np.arange(len(plain))
+        number[apart] = len(self.size) + len(plain) + np.arange(len(odd))
+        self.known.update(zip(names, number.tolist(), strict=True))
         begin = len(self.pool) + np.cumsum(size) - size
         if self.spaced:  # line ends before words are no part of them
             first = np.zeros(len(size), bool)
@@ -86,7 +101,9 @@ class Encoder:
             begin, size = begin + first, size - first
         self.begin = np.concatenate((self.begin, begin))
         self.size = np.concatenate((self.size, size))
+        self.uses = np.concatenate((self.uses, np.zeros(len(size), np.int32)))
         self.pool = np.concatenate((self.pool, *chunks))
+        return number
 
     def _ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all runs, and how many each has."""
@@ -140,13 +157,12 @@ class Encoder:
             cut = pc.split_pattern(pc.replace_substring_regex(words, _SIGN, "\\1\0\\2"), "\0")
             per_word, words = np.diff(np.asarray(cut.offsets)), cut.flatten()
         coded = words.dictionary_encode()
-        names, at = coded.dictionary, np.asarray(coded.indices)
-        known = np.fromiter(map(self.known.get, names.to_pylist(), repeat(-1)), np.int64, len(names))
+        names, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        known = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         missing = np.flatnonzero(known < 0)
         if len(missing):
-            new = names.take(pa.array(missing))
-            self._learn(new)
-            known[missing] = np.fromiter(map(self.known.__getitem__, new.to_pylist()), np.int64, len(new))
+            known[missing] = self._learn(coded.dictionary.take(pa.array(missing)), [names[i] for i in missing.tolist()])
+        self.uses[known] += 1
         n, begin = self.size[known][at], self.begin[known][at]
         if not self.spaced:
             return self.pool, begin, n
@@ -167,7 +183,7 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         words, at = coded.dictionary, np.asarray(coded.indices)
         if len(self.known) > self.memory:
-            self._forget()
+            self._thin()
         pool, begin, n = self._parts(words)
         n, begin = n[at], begin[at]
         ids = _gather(pool, begin, n)
